@@ -137,7 +137,7 @@ def slot_plan(spark, sources: list[Source], shards: int = OUTPUT_SHARDS, seed: i
     plan = [(int(s), int(i), int(starts[i, s]), int(counts[i, s]), sources[s].blocks) for i in range(shards) for s in range(len(sources)) if counts[i, s]]
     segments = spark.createDataFrame(plan, "source_no long, shard long, first long, slots long, blocks long")
     runs = segments.select("source_no", "shard", "blocks", (F.col("first") + F.col("slots")).alias("stop"), F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1, F.lit(RUN))).alias("start"))
-    runs = runs.repartition("source_no", "start")
+    runs = runs.repartition(shuffle_partitions(spark), "source_no", "start")
 
     def opened(frames):
         for frame in frames:
@@ -179,7 +179,7 @@ def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OU
     narrow = rows.select("doc_id", "size", "source_size", "target", "source_no", "start")
     taken = (
         pieces(narrow, block_words)
-        .join(uses, ["source_no", "block"], "left")
+        .join(uses.hint("merge"), ["source_no", "block"], "left")  # as many rows as blocks: estimates from the small plan would broadcast it
         .groupBy("source_no", "start", "doc_id", "size", "source_size", "target")
         .agg(F.sum(F.col("words") * F.coalesce(F.col("uses"), F.lit(0))).cast("long").alias("taken"))
         .select("doc_id", "size", "source_size", "target", "taken")
@@ -213,6 +213,6 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
         return F.struct(block.alias("block"), first.alias("first_word"), F.array_join(F.slice("tokens", first.cast("int") + 1, (stop - first).cast("int")), "").alias("text"))
 
     cut_up = rows.select("held", "source_no", F.inline(F.transform(blocks, piece)))
-    mixed = slot_plan(spark, sources, shards, seed).join(cut_up, ["source_no", "block"])
+    mixed = slot_plan(spark, sources, shards, seed).hint("merge").join(cut_up, ["source_no", "block"])
     kept = [F.col("text") if c == "text" else F.col(f"held.{c}").alias(c) for c in docs.columns]
     return mixed.select(*kept, F.col("shard").alias("mix_shard"), F.col("slot").alias("mix_slot"), F.col("source_no").alias("mix_source_no"), F.col("first_word").alias("mix_word"))
