@@ -93,53 +93,57 @@ class Templates:
         self.shingles = [np.unique(shingled(words(np.frombuffer(t.encode(), dtype=np.uint8))[2])) for _, t in templates]
         self.windows = [max(1, math.ceil(SLACK * len(s))) for s in self.shingles]
         rng = np.random.default_rng(seed)
-        self.multipliers = rng.integers(1, 1 << 62, size=256, dtype=np.uint64) | np.uint64(1)
-        # Windows of similar size share a class; its step is a quarter of its window.
-        self.classes = []
+        self.multipliers = rng.integers(1, 1 << 32, size=256, dtype=np.uint32) | np.uint32(1)
+        # Windows of similar size share a class.  Its step is a power of two, at most a quarter of its window.
         sizes: dict[int, list[int]] = {}
         for t, w in enumerate(self.windows):
-            sizes.setdefault(math.ceil(1.5 ** math.ceil(math.log(w, 1.5))) if w > 1 else 1, []).append(t)
+            sizes.setdefault(w if w <= 8 else math.ceil(1.25 ** math.ceil(math.log(w, 1.25))), []).append(t)
+        self.classes = []
         for size, members in sorted(sizes.items()):
-            step = max(1, size // 4)
-            span = -(-size // step) * step + step if size > 1 else 1
-            least = min(CONTAINED * len(self.shingles[t]) / (span + (1 - CONTAINED) * len(self.shingles[t])) for t in members) if size > 1 else 1.0
+            step = 1 << max(0, size // 4).bit_length() >> 1 if size >= 8 else 1
+            span = size if step == 1 else -(-size // step) * step + step  # so some window covers any of this size
+            least = 1.0
+            for t in members:
+                n = len(self.shingles[t])
+                shared = math.ceil(CONTAINED * n)
+                least = min(least, shared / (span + n - shared))
             bands = []
             for k in range(bands_for(least)):
-                minima = np.array([self._hashed(self.shingles[t], k).min() for t in members], dtype=np.uint64)
-                order = np.argsort(minima, kind="stable")
-                bands.append((minima[order], np.array(members)[order]))
+                minima: dict[int, list[int]] = {}
+                for t in members:
+                    minima.setdefault(int(self._hashed(self.shingles[t], k).min()), []).append(t)
+                bands.append(minima)
             self.classes.append((step, span, bands))
+        self.top = max(step for step, _, _ in self.classes)
 
     def _hashed(self, shingles: np.ndarray, k: int) -> np.ndarray:
-        return _mixed(shingles * self.multipliers[k])
+        """A permutation of 32 bits of the shingles' hashes; pairs that only share those are verified away."""
+        return (shingles >> np.uint64(32)).astype(np.uint32) * self.multipliers[k]
 
     def retrieved(self, shingles: np.ndarray) -> set[tuple[int, int, int]]:
-        """(template, first shingle, span) for windows that share a band."""
+        """(template, first shingle, span) for windows that share a band.
+
+        Minima of steps are halved from level to level, and a class takes those of its step."""
         found = set()
-        for step, span, bands in self.classes:
-            for k, (minima, members) in enumerate(bands):
-                hashed = self._hashed(shingles, k)
-                if step > 1 or span > 1:
-                    blocks = -(-len(hashed) // step)
-                    padded = np.full(blocks * step, ~np.uint64(0), dtype=np.uint64)
-                    padded[: len(hashed)] = hashed
-                    low = padded.reshape(blocks, step).min(axis=1)
-                    reach = span // step
-                    if len(low) > reach:
-                        out = low[: len(low) - reach + 1].copy()
-                        for j in range(1, reach):
-                            np.minimum(out, low[j : j + len(out)], out=out)
-                    else:
-                        out = np.array([low.min()], dtype=np.uint64)
-                else:
-                    out = hashed
-                at = np.searchsorted(minima, out)
-                at[at == len(minima)] = 0
-                for w in np.flatnonzero(minima[at] == out):
-                    for j in range(at[w], len(minima)):
-                        if minima[j] != out[w]:
-                            break
-                        found.add((int(members[j]), int(w) * step, span))
+        short = (shingles >> np.uint64(32)).astype(np.uint32)
+        padded = np.full(-(-len(short) // self.top) * self.top, ~np.uint32(0), dtype=np.uint32)
+        for k in range(max(len(bands) for _, _, bands in self.classes)):
+            np.multiply(short, self.multipliers[k], out=padded[: len(short)])
+            level, step = padded, 1
+            for size, span, bands in self.classes:
+                if k >= len(bands):
+                    continue
+                while step < size:
+                    level, step = np.minimum(level[::2], level[1::2]), 2 * step
+                reach = min(span // step, len(level))
+                low, width = level, 1  # windows grow by doubling
+                while 2 * width <= reach:
+                    low, width = np.minimum(low[:-width], low[width:]), 2 * width
+                if width < reach:
+                    low = np.minimum(low[: len(level) - reach + 1], low[reach - width :][: len(level) - reach + 1])
+                for value, members in bands[k].items():
+                    for w in np.flatnonzero(low == np.uint32(value)).tolist():
+                        found.update((t, w * step, span) for t in members)
         return found
 
     def best(self, template: int, shingles: np.ndarray) -> tuple[float, int, int]:
