@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker remembers, in each of two generations.
-MEMO = 150_000
+MEMO = 400_000
 
 
 class Vocabulary:
@@ -33,8 +34,8 @@ class Vocabulary:
         for token, rank in tokens.items():
             self.bytes[rank] = token
         self.single = [tokens[bytes([b])] for b in range(256)]
-        #: Every suffix of a token: a suffix of a prefix that isn't in it can't grow into a token.
-        self.suffixes = {t[k:] for t in tokens for k in range(len(t))}
+        #: Every suffix of a token, with its rank or -1: an end of a prefix that isn't here can't grow into a token.
+        self.tails = {t[k:]: -1 for t in tokens for k in range(len(t))} | tokens
         self.longest = max(map(len, tokens), default=0)
         self.left, self.right = list(range(len(self.bytes))), list(range(len(self.bytes)))
         self.merged: dict[tuple[int, int], int] = {}
@@ -82,15 +83,35 @@ class Vocabulary:
                 else:
                     b = inner
 
-    def compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.known.get(key)
-        if known is None:
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            known = self.known[key] = self._meets(a, b)
+    def compatible(self, key: int) -> bool:
+        """Of two ranks in one number, and remembered."""
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        known = self.known[key] = self._meets(key >> 32, key & 0xFFFFFFFF)
         return known
 
+    def extend(self, data: bytes, last: list[int], stop: int) -> None:
+        """Add the valid last tokens of the prefixes of data up to stop to those in last."""
+        tails, known, compatible = self.tails, self.known, self.compatible
+        for end in range(len(last) + 1, stop + 1):
+            start = end - 1
+            try:
+                while True:
+                    token = tails[data[start:end]]
+                    if token >= 0:
+                        if not start:
+                            break
+                        key = last[start - 1] << 32 | token
+                        meets = known.get(key)
+                        if meets or meets is None and compatible(key):
+                            break
+                    start -= 1
+                    if start < 0:
+                        raise KeyError(data)
+            except KeyError:
+                raise ValueError("the vocabulary has no valid token here: not every byte is a token, or a token doesn't encode to itself") from None
+            last.append(token)
+
 
 class Prefixes:
     """The valid last token of each prefix of some bytes: append, edit and read the ids of any prefix."""
@@ -101,40 +122,24 @@ class Prefixes:
             self.append(data)
 
     def append(self, more: bytes) -> None:
-        start = len(self.data)
         self.data += more
-        for stop in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(stop))
-
-    def _last(self, stop: int) -> int:
-        data, last, v = self.data, self.last, self.vocabulary
-        ids, suffixes, compatible = v.ids, v.suffixes, v.compatible
-        start = stop - 1
-        while start >= 0 and (tail := data[start:stop]) in suffixes:
-            token = ids.get(tail)
-            if token is not None and (not start or compatible(last[start - 1], token)):
-                return token
-            start -= 1
-        raise ValueError("the vocabulary has no valid token here: not every byte is a token, or a token doesn't encode to itself")
+        self.vocabulary.extend(self.data, self.last, len(self.data))
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace data[start:stop]; returns how many prefixes were computed again."""
         tail = self.last[stop:]
         rest = self.data[stop:]
         self.data, self.last = self.data[:start] + new + rest, self.last[:start]
-        done = 0
-        while len(self.last) < start + len(new):
-            self.last.append(self._last(len(self.last) + 1))
-            done += 1
-        agreed = 0
+        extend = self.vocabulary.extend
+        extend(self.data, self.last, start + len(new))
+        done, agreed = len(new), 0
         for k in range(len(rest)):
             # A last token depends on the entries up to the longest token back, and on nothing before them.
             if agreed >= self.vocabulary.longest:
                 self.last.extend(tail[k:])
                 break
-            token = self._last(len(self.last) + 1)
-            agreed = agreed + 1 if token == tail[k] else 0
-            self.last.append(token)
+            extend(self.data, self.last, len(self.last) + 1)
+            agreed = agreed + 1 if self.last[-1] == tail[k] else 0
             done += 1
         return done
 
@@ -157,7 +162,7 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            packed = np.asarray(Prefixes(self.vocabulary, piece.encode()).ids(), dtype="<u4").tobytes()
+            packed = self.encoded(piece.encode())
         if len(piece) <= 64:
             if len(self) >= MEMO:
                 self.older = dict(self)
@@ -165,6 +170,14 @@ class Encoder(dict):
             self[piece] = packed
         return packed
 
+    def encoded(self, data: bytes) -> bytes:
+        tokens, last, ids, at = self.vocabulary.bytes, [], [], len(data)
+        self.vocabulary.extend(data, last, at)
+        while at:
+            ids.append(last[at - 1])
+            at -= len(tokens[ids[-1]])
+        return struct.pack(f"<{len(ids)}I", *reversed(ids))
+
     def packed(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pieces(text)))
 
