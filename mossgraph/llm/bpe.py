@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker remembers, in each of two generations.
-MEMO = 400_000
+MEMO = 600_000
 
 
 class Vocabulary:
@@ -92,25 +92,32 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int], stop: int) -> None:
         """Add the valid last tokens of the prefixes of data up to stop to those in last."""
-        tails, known, compatible = self.tails, self.known, self.compatible
+        tails, known, compatible, tokens = self.tails, self.known, self.compatible, self.bytes
+        behind = len(last) - len(tokens[last[-1]]) if last else 0  # where the last token begins
         for end in range(len(last) + 1, stop + 1):
+            # The last token often grows by the new byte; if that is valid, no other is.
+            token = tails.get(data[behind:end], -1)
+            if token >= 0 and (not behind or known.get(key := last[behind - 1] << 32 | token) or key not in known and compatible(key)):
+                last.append(token)
+                continue
             start = end - 1
-            try:
-                while True:
-                    token = tails[data[start:end]]
-                    if token >= 0:
-                        if not start:
-                            break
-                        key = last[start - 1] << 32 | token
-                        meets = known.get(key)
-                        if meets or meets is None and compatible(key):
-                            break
-                    start -= 1
-                    if start < 0:
-                        raise KeyError(data)
-            except KeyError:
-                raise ValueError("the vocabulary has no valid token here: not every byte is a token, or a token doesn't encode to itself") from None
+            while start >= 0:
+                token = tails.get(data[start:end])
+                if token is None:
+                    start = -1
+                    break
+                if token >= 0:
+                    if not start:
+                        break
+                    key = last[start - 1] << 32 | token
+                    meets = known.get(key)
+                    if meets or meets is None and compatible(key):
+                        break
+                start -= 1
+            if start < 0:
+                raise ValueError("the vocabulary has no valid token here: not every byte is a token, or a token doesn't encode to itself")
             last.append(token)
+            behind = start
 
 
 class Prefixes:
