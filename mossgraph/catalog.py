@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import retrieval
+from .plans import graphs, retrieval
 
-PARTS = [retrieval]
+PARTS = [retrieval, graphs]
 
 
 def queries() -> dict:
