@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graphs, retrieval
+from .plans import graphs, ledger, retrieval
 
-PARTS = [retrieval, graphs]
+PARTS = [retrieval, graphs, ledger]
 
 
 def queries() -> dict:
