@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graphs, ledger, retrieval
+from .plans import graphs, ledger, retrieval, streams
 
-PARTS = [retrieval, graphs, ledger]
+PARTS = [retrieval, graphs, ledger, streams]
 
 
 def queries() -> dict:

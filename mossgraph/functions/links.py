@@ -27,10 +27,15 @@ def scan(text: str | None) -> list[tuple[str, str, int, int, bool]]:
     return found
 
 
-@F.pandas_udf(LINK_TYPE)
-def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield pd.Series([[dict(zip(("raw", "inner", "line", "column", "embed"), x)) for x in scan(t)] for t in batch])
+def scanned(text: Column) -> Column:
+    """An array of links, from Arrow batches."""
+
+    @F.pandas_udf(LINK_TYPE)
+    def scans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[dict(zip(("raw", "inner", "line", "column", "embed"), x)) for x in scan(t)] for t in batch])
+
+    return scans(text)
 
 
 def parsed(inner: Column) -> dict[str, Column]:
@@ -55,7 +60,7 @@ def link_type(embed: Column, block_ref: Column, heading: Column) -> Column:
 
 def links_of(docs: DataFrame, id_col: str = "path", text: str = "content") -> DataFrame:
     """A row for each link of each document."""
-    found = docs.select(F.col(id_col).alias("source"), F.inline(scanned(F.col(text))))
+    found = docs.select(F.col(id_col).alias("source"), scanned(F.col(text)).alias("found")).select("source", F.inline("found"))
     named = found.withColumns(parsed(F.col("inner")))
     return named.withColumn("link_type", link_type(F.col("embed"), F.col("block_ref"), F.col("heading"))).drop("inner")
 

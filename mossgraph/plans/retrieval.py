@@ -19,14 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores (a small table in one file), dealt out before work that Python does.
+
+    Larger scans stay as they are, without a shuffle."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents that aren't empty; block_id is a struct-free key made of document and line."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines()).alias("line", "content"))
+    return _blocks(table(spark, sf_dir, "documents"))
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode(T.lines()).alias("line", "content"))
     return rows.where(F.trim("content") != "").select("doc_id", F.col("line").cast("long").alias("line"), "content", F.concat_ws(":", F.col("doc_id").cast("string"), F.lpad(F.col("line").cast("string"), 6, "0")).alias("block_id"))
 
 
 def semantic(spark, sf_dir) -> DataFrame:
-    scored = vector.query_scores(blocks(spark, sf_dir).select("block_id", T.tokens(F.col("content")).alias("tokens")), WORDS)
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = vector.query_scores(_blocks(rows).select("block_id", T.tokens(F.col("content")).alias("tokens")), WORDS)
     return scored.select("block_id", F.round("score", 6).alias("score")).where("score > 0.01")
 
 
@@ -74,7 +87,7 @@ fts AS (SELECT block_id, round(greatest(ln((n - d0 + .5) / (d0 + .5)), 1e-6) * t
 
 
 def hybrid_rrf(spark, sf_dir, limit: int = 20):
-    source = blocks(spark, sf_dir)
+    source = _blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     legs = {"fts": fulltext.bm25(source, FTS, 3 * limit), "semantic": semantic(spark, sf_dir).orderBy(F.desc("score"), "block_id").limit(3 * limit)}
     return fulltext.fused(legs, limit)
 
