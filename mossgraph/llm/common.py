@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: ASCII white space of the operator contracts, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = str(16 << 20)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -27,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def for_python(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, ready to go to Python: batches are bounded in bytes (where the session doesn't say otherwise), since
+    ten thousand rows of long texts would not fit into a worker."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("bB")) > 1 << 31:
+        conf.set(name, BATCH_BYTES)
+    return docs.select(*columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

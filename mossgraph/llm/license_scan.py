@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import for_python
+
 SHINGLE, CONTAINED, SLACK = 5, 0.8, 1.25
 #: Accepted probability that a matching window shares no band with its template.
 MISS = 1e-5
@@ -228,7 +230,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
     schema = f"doc_id {kind}, license string, template int, containment double, first_word long, first_byte long, end_byte long"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, schema)
+    return for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, schema)
 
 
 def _scanned(index: Templates, texts: pa.Array):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import for_python
+
 RATE, TARGET_RATE = 8_000, 16_000
 #: Bytes to which a payload is padded with 255: also one ADPCM block.
 UNIT = 576
@@ -185,4 +187,4 @@ def telephony_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     schema = ", ".join([f"doc_id {kind}", *[f"{f} {names[t]}" for f, t in fields.items()]])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, schema)
+    return for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, schema)

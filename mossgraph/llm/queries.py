@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores (a small table in one file), dealt out; larger scans stay as they are."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+
+
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     """Path and pattern of a public vocabulary: of the installed package, or of the folder in /opt/tokenizers."""
     try:
@@ -25,7 +31,7 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
 
 
@@ -34,7 +40,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), *tokenizer(), keep_ids=False)
+    return bpe.encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), *tokenizer(), keep_ids=False)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +61,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return simhash.simhash_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.telephony_columns(table(spark, sf_dir, "documents"), keep_audio=False)
+    return media.telephony_columns(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), keep_audio=False)
 
 
 def op10_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

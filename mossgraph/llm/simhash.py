@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_limit, shuffle_partitions, skew_safe_lookup
+from .common import cut, for_python, hot_limit, shuffle_partitions, skew_safe_lookup
 
 BUDGET = 2
 SHINGLE = 3
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(2).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())], ["doc_id", "tie", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, tie long, fp long")
+    return for_python(docs, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, tie long, fp long")
 
 
 class Forest:

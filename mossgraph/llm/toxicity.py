@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, for_python
 
 #: Bound of the fitted sample: most labelled rows of each label that become examples.
 EXAMPLES = 6_000
@@ -34,6 +34,8 @@ NEIGHBOURS, BLOCK = 15, 64
 #: First letters of longer words that are a term of their own.
 STEM = 6
 THRESHOLD = 0.7
+#: Term counts that a worker hands on at once.
+PAIRS = 50_000
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -67,13 +69,13 @@ class Model:
         """Terms of a text and their weights, of length 1."""
         found: dict[int, int] = {}
         terms, stems = self.terms, self.stems
-        for word in _WORDS((text or "").lower()):
-            t = terms.get(word)
-            if t is not None:
-                found[t] = found.get(t, 0) + 1
-            if len(word) > STEM and (stem := word[:STEM]) in stems:
-                t = terms[stem + "*"]
-                found[t] = found.get(t, 0) + 1
+        words = _WORDS((text or "").lower())
+        different = set(words)
+        for word in different & terms.keys():
+            found[terms[word]] = words.count(word)
+        for word in [w for w in different if w[:STEM] in stems and len(w) > STEM]:
+            t = terms[word[:STEM] + "*"]
+            found[t] = found.get(t, 0) + words.count(word)
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         at = np.fromiter(sorted(found), dtype=np.int64)
@@ -158,9 +160,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     picked = cut(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col))
 
     def counted(frames):
+        ids, names, ns = [], [], []
         for frame in frames:
-            found = [(i, t, n) for i, x in zip(frame[id_col], frame[text_col]) for t, n in terms_of(x).items()]
-            yield pd.DataFrame(found, columns=["id", "term", "n"])
+            for i, text in zip(frame[id_col], frame[text_col]):
+                bag = terms_of(text)
+                ids += [i] * len(bag)
+                names += bag
+                ns += bag.values()
+                if len(ids) >= PAIRS:
+                    yield pd.DataFrame({"id": ids, "term": names, "n": ns})
+                    ids, names, ns = [], [], []
+        yield pd.DataFrame({"id": ids, "term": names, "n": ns})
 
     counts = picked.mapInPandas(counted, "id long, term string, n long")
     first = picked.select(F.col(id_col).cast("long").alias("id"), "label", F.coalesce(text_col, F.lit("")).alias("x")).groupBy(F.xxhash64("x").alias("key")).agg(F.min("id").alias("id"), F.max("label").alias("label"))
@@ -199,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
                     seen[terms[t]] += 1
         yield pd.DataFrame({"term": [-1, *np.flatnonzero(seen)], "n": [total, *seen[seen > 0]]})
 
-    df = docs.select(text_col).mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = for_python(docs, F.col(text_col)).mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     seen = {r["term"]: r["n"] for r in df}
     idf = np.array([math.log((1 + seen.get(-1, 0)) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
     return built(terms, stems, idf, rows, bag, {1: sizes.get(1, 0) / n1, 0: sizes.get(0, 0) / n0})
@@ -255,7 +265,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 shown.append([int(model.ids[e]) for _, e in near[:evidence]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, score double, evidence array<long>")
+    scored = for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, score double, evidence array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
@@ -269,4 +279,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py())[0] < THRESHOLD for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return for_python(docs, F.col("*")).mapInArrow(each, docs.schema)
