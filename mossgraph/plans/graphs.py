@@ -205,5 +205,8 @@ b AS (SELECT source, k, members, '• doc ' || doc_id || CASE WHEN l = '' THEN '
 r AS (SELECT source, 0::BIGINT AS k, ''::VARCHAR AS s, false AS stopped FROM (SELECT DISTINCT source FROM b) UNION ALL
       SELECT r.source, b.k, CASE WHEN octet_length(encode(r.s)) + octet_length(encode(b.entry)) <= {communities.CAP} THEN r.s || b.entry ELSE r.s END, octet_length(encode(r.s)) + octet_length(encode(b.entry)) > {communities.CAP} FROM r JOIN b ON b.source = r.source AND b.k = r.k + 1 WHERE NOT r.stopped)
 SELECT r.source, any_value(m.members) AS members, rtrim(regexp_replace(arg_max(r.s, r.k), '\n+$', '')) AS summary FROM r JOIN (SELECT DISTINCT source, members FROM b) m USING (source) GROUP BY r.source""",
+        "graphrag_context": f"""WITH {_ROUTED}, k AS (SELECT *, row_number() OVER (ORDER BY score DESC, label) AS rank FROM g),
+p AS (SELECT trim(regexp_replace(string_agg('## Theme ' || rank || ' (notes: ' || members || ', score: ' || printf('%.3f', score) || ')' || chr(10) || 'label ' || label || chr(10) || chr(10), '' ORDER BY rank), '\\n+$', '')) AS payload, sum(members)::BIGINT AS covered FROM k)
+SELECT payload, covered, ceil(octet_length(encode(payload)) / 4)::BIGINT AS tokens FROM p""",
         "graphrag_query": f"WITH {_ROUTED} SELECT * FROM g",
     }

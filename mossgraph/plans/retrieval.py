@@ -151,6 +151,8 @@ s AS (SELECT *, CASE WHEN hit > 0 THEN greatest(hit - 41, 0) ELSE 0 END AS a, CA
 SELECT doc_id, CASE WHEN a > 0 THEN '…' ELSE '' END || replace(substring(t, a + 1, z - a), chr(10), ' ') || CASE WHEN z < length(t) THEN '…' ELSE '' END AS snippet FROM s""",
         "block_split_hash": f"WITH {T.SQL_BLOCKS} SELECT doc_id, line, sha256(content) AS content_hash, length(content) AS chars FROM blocks",
         "word_count": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words, ceil(octet_length(encode(trim(coalesce(text, '')))) / 4)::BIGINT AS token_estimate FROM documents",
+        "leading_paragraph": """WITH l AS (SELECT doc_id, list_reduce(list_prepend('', list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x))), lambda s, x: CASE WHEN length(s) >= 240 OR starts_with(x, '#') THEN s WHEN x = '' THEN CASE WHEN s = '' THEN s ELSE s || chr(10) END WHEN s = '' OR ends_with(s, ' ') OR ends_with(s, chr(10)) THEN s || x ELSE s || ' ' || x END) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 240 THEN substring(t, 1, 240) || '…' ELSE t END AS lead FROM l""",
         "vector_topk": f"WITH {SQL_V} SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 20",
         "vector_threshold": f"WITH {SQL_V} SELECT * FROM v WHERE score > 0.01",
         "vector_all_pairs_topk": f"SELECT source, target, score, rank FROM (SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM (SELECT a.vec_id AS source, b.vec_id AS target, round({_COS.format('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 5",
