@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Folders that a vault walk leaves out, and endings it takes; fixed values.
-PRUNED = (".aura", ".git", "node_modules")
+#: Folders that a vault walk leaves out (an application's own folder comes as an option), and endings it takes; fixed values.
+PRUNED = (".git", "node_modules")
 ENDINGS = (".md", ".markdown")
 
 
@@ -43,6 +43,7 @@ class VaultReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
         self.parts = int(options.get("parts", 8))
+        self.pruned = {*PRUNED, *options.get("pruned", "").split()}
         self.endings = tuple(options.get("endings", " ".join(ENDINGS)).split())
 
     def partitions(self) -> list[InputPartition]:
@@ -52,7 +53,7 @@ class VaultReader(DataSourceReader):
             with open(top, errors="replace") as lines:
                 patterns = [x.strip() for x in lines if x.strip() and not x.startswith("#")]
         for folder, folders, names in os.walk(self.root):
-            folders[:] = sorted(f for f in folders if f not in PRUNED)
+            folders[:] = sorted(f for f in folders if f not in self.pruned)
             for name in sorted(names):
                 rel = os.path.relpath(os.path.join(folder, name), self.root).replace(os.sep, "/")
                 if name.endswith(self.endings) and not ignored(rel, patterns):

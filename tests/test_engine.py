@@ -246,3 +246,27 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     if not os.path.isdir(os.path.join(os.path.dirname(__spark_entry__.__file__), "mossgraph", "llm")):
         assert not any(n.startswith("op") and n[2].isdigit() for n in __spark_entry__.queries())
+
+
+def test_loop(spark):
+    from mossgraph.operators import loop
+
+    rows = spark.createDataFrame([(k, t, [float(t % 3)] * 8 if t % 5 else None) for k in (1, 2) for t in range(35)], "k long, t long, x array<double>")
+    found = loop.ticks(rows, "k", "t", "x").collect()
+    assert sorted((r["key"], r["tick"]) for r in found) == [(k, t) for k in "12" for t in (10, 20, 30)]
+    assert {r["tick"]: r["energy"] for r in found if r["key"] == "1"} == {r["tick"]: r["energy"] for r in found if r["key"] == "2"}
+    marked = spark.createDataFrame([(1, 9.0, 0.0), (2, 1.0, -2.0), (3, 1.0, 0.0)], "tick long, energy double, progress double").withColumn("ts", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    notes = loop.notes(loop.reflections(marked)).orderBy("name").collect()
+    assert [(n["day"], n["name"]) for n in notes] == [("2024-01-02", "030405-1.md"), ("2024-01-02", "030405-2.md")] and "reason: energy" in notes[0]["text"]
+
+
+def test_workflows(spark):
+    from mossgraph.plans import workflow
+
+    flow = {"steps": [{"id": "a", "kind": "llm", "args": {"prompt": "hi {{who}}"}}, {"id": "b", "kind": "write_note", "args": {"path": "n.md", "content": "{{prev_output}}!"}}, {"id": "c", "kind": "odd"}]}
+    done = workflow.run(flow, {"who": "you"}, workflow.Echo())
+    assert done.outputs == ["[echo] hi you", "[echo] hi you!"] and done.error.startswith("step c")
+    assert workflow.pending_writes(spark, done).count() == 1
+    assert workflow.run({"steps": [{"id": "x", "kind": "write_note", "args": {"path": "../n"}}]}, {}, workflow.Echo()).error
+    flows = spark.createDataFrame([("a", 0.7, [1.0, 0.0]), ("b", 0.7, [0.0, 1.0]), ("c", 0.7, None)], "name string, threshold double, trigger_vector array<double>")
+    assert [r["name"] for r in workflow.resonant(flows, [1.0, 0.1]).collect()] == ["a"]
