@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import for_python
 
 #: Pieces whose ids a worker remembers, in each of two generations.
-MEMO = 600_000
+MEMO = 400_000
 
 
 class Vocabulary:
