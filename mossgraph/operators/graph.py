@@ -277,3 +277,10 @@ def layout_frame(spark: SparkSession, nodes: DataFrame, edges: DataFrame, iterat
         return pd.DataFrame({"id": ids, "x": at[:, 0], "y": at[:, 1], "degree": np.bincount(pairs.reshape(-1), minlength=len(ids))})
 
     return ns.groupBy("one").cogroup(es.groupBy("one")).applyInPandas(work, "id long, x double, y double, degree long")
+
+
+def framed(positions: DataFrame, width: float, height: float, margin: float = 0.9) -> DataFrame:
+    """One row: the box around positions (x, y), and the scale at which it fills the share ``margin`` of a canvas."""
+    box = positions.agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+    wide, high = F.greatest(F.col("right") - F.col("left"), F.lit(1.0)), F.greatest(F.col("bottom") - F.col("top"), F.lit(1.0))
+    return box.withColumn("scale", F.lit(margin) * F.least(F.lit(width) / wide, F.lit(height) / high))

@@ -216,3 +216,20 @@ def complex_bundle(vectors: list[np.ndarray]) -> np.ndarray:
 
 def complex_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float((a * b.conj()).real.mean())
+
+
+def recalled_complex(pairs: DataFrame, key: str, role: str, value: str, dim: int = 1024) -> DataFrame:
+    """``recalled`` in complex vectors; one key's pairs are one task's work, its vectors are drawn once a token."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["role", "value"])
+        roles = {r: phases(T.fnv1a(r), dim) for r in set(frame["role"])}
+        known = sorted(set(frame["value"]))
+        values = np.stack([phases(T.fnv1a(v), dim) for v in known])
+        place = {v: k for k, v in enumerate(known)}
+        trace = complex_bundle([bound(roles[r], values[place[v]]) for r, v in zip(frame["role"], frame["value"])])
+        scores = {r: (values.conj() @ unbound(trace, roles[r])).real for r in roles}
+        return frame.assign(recalled=[known[int(scores[r].argmax())] for r in frame["role"]])
+
+    rows = pairs.select(F.col(key).cast("string").alias("key"), F.col(role).cast("string").alias("role"), F.col(value).cast("string").alias("value"))
+    return rows.groupBy("key").applyInPandas(run, "key string, role string, value string, recalled string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import wave
+
 import numpy as np
 
 
@@ -72,3 +75,34 @@ def log_mel(x: np.ndarray, rate: int = 16_000, size: int = 400, hop: int = 160,
     power = np.abs(np.fft.rfft(frames * np.hanning(size + 1)[:-1], axis=1)) ** 2
     logs = np.log10(np.maximum(power @ mel_filters(bands, size, rate).T, 1e-10))
     return (np.maximum(logs, logs.max() - 8) + 4) / 4
+
+
+def wav_mono(data: bytes, rate: int = 16_000) -> np.ndarray:
+    """A PCM WAV file as mono samples from -1 to 1 at one rate; channels are averaged."""
+    with wave.open(io.BytesIO(data)) as f:
+        width, channels, own = f.getsampwidth(), f.getnchannels(), f.getframerate()
+        raw = np.frombuffer(f.readframes(f.getnframes()), dtype=np.uint8).reshape(-1, width)
+    if width == 1:
+        x = (raw[:, 0].astype(np.float64) - 128) / 128
+    else:
+        whole = np.zeros((len(raw), 4), dtype=np.uint8)
+        whole[:, 4 - width :] = raw  # the sample's bytes on top keep its sign
+        x = whole.view("<i4")[:, 0] / 2.0**31
+    return resampled(x.reshape(-1, channels).mean(axis=1).astype(np.float32), own, rate)
+
+
+def fitted(x: np.ndarray, n: int) -> np.ndarray:
+    """Exactly n samples: cut, or filled up with silence."""
+    return np.pad(x[:n], (0, max(0, n - len(x))))
+
+
+def masked_mean(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean of the token states that the mask keeps, at length one; batch, token and place are the axes."""
+    kept = mask[..., None].astype(np.float64)
+    mean = (states * kept).sum(axis=-2) / np.maximum(kept.sum(axis=-2), 1e-9)
+    return mean / np.maximum(np.sqrt((mean**2).sum(axis=-1, keepdims=True)), 1e-12)
+
+
+def halved(v: np.ndarray) -> np.ndarray:
+    """Means of neighbouring places: 768 to 384."""
+    return v.reshape(*v.shape[:-1], -1, 2).mean(axis=-1)

@@ -96,6 +96,24 @@ def decide(candidate: str, neighbours: list[tuple[str, str, float]]) -> tuple[st
     return "ADD", None
 
 
+def decided(candidate: Column, neighbours: Column) -> Column:
+    """``decide`` as a column: struct of op and about.  neighbours: array of (id, text, sim), the most similar first."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+    def negative(c: Column) -> Column:
+        padded, out = F.concat(F.lit(" "), plain(c), F.lit(" ")), F.lit(False)
+        for n in NEGATIONS:
+            out = out | padded.contains(n)
+        return out
+
+    same = F.get(F.filter(neighbours, lambda n: plain(n["text"]) == plain(candidate)), F.lit(0))
+    flips = F.get(F.filter(neighbours, lambda n: (n["sim"] >= CONTRARY) & (negative(n["text"]) != negative(candidate))), F.lit(0))
+    first = F.get(neighbours, F.lit(0))
+    made = lambda op, n: F.struct(F.lit(op).alias("op"), n.alias("about"))
+    refined = (first["sim"] >= REFINED) & (F.octet_length(candidate) > F.octet_length(first["text"]))
+    return F.when(same.isNotNull(), made("NOOP", same["id"])).when(flips.isNotNull(), made("DELETE", flips["id"])).when(first["sim"] >= DUPLICATE, made("NOOP", first["id"])).when(refined, made("UPDATE", first["id"])).otherwise(made("ADD", F.lit(None).cast("string")))
+
+
 class Memory:
     """Facts of one key, in order: each candidate sees what the ones before it changed."""
 

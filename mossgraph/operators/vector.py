@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Rows that a block of ``all_pairs_topk`` should hold: there are as many blocks as that takes, whatever the table's size.
+BLOCK_ROWS = 4096
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 for arrays of different or no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -96,7 +100,7 @@ def all_pairs_topk(vectors: DataFrame, k: int = 5, least: float = -1.0, blocks:
     Rows are hashed into blocks; a block meets every block in one matrix product, which leaves k rows of each source,
     and a window with a group limit merges those.  Links are taken out before the ranking."""
     if blocks is None:
-        blocks = max(1, min(64, vectors.count() // 2048 + 1))
+        blocks = vectors.count() // BLOCK_ROWS + 1
     rows = vectors.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
     left = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "block").select("id", "v", F.struct(F.col("block").alias("a"), F.col("other").alias("b")).alias("pair"))
     right = rows.select(F.col("id").alias("r_id"), F.col("v").alias("r_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "block").select("r_id", "r_v", F.struct(F.col("other").alias("a"), F.col("block").alias("b")).alias("pair"))
@@ -110,9 +114,10 @@ def all_pairs_topk(vectors: DataFrame, k: int = 5, least: float = -1.0, blocks:
         if not len(a) or not len(b):
             return pd.DataFrame({"source": [], "target": [], "score": []})
         unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
-        scores = np.round(unit(np.stack(a["v"])) @ unit(np.stack(b["r_v"])).T, 6)
-        ids, found = b["r_id"].to_numpy(), []
-        for i, (row, own, out) in enumerate(zip(scores, a["id"], a["out"])):
+        other, ids, found = unit(np.stack(b["r_v"])).T, b["r_id"].to_numpy(), []
+        # A product of some rows at a time, so that memory doesn't grow with the square of a block.
+        scores = (row for k in range(0, len(a), 256) for row in np.round(unit(np.stack(a["v"].iloc[k : k + 256])) @ other, 6))
+        for row, own, out in zip(scores, a["id"], a["out"]):
             row = np.where((ids == own) | (row < least) | (np.isin(ids, out) if out is not None else False), -np.inf, row)
             best = np.lexsort([ids, -row])[:k]
             found += [(own, ids[j], row[j]) for j in best if row[j] > -np.inf]

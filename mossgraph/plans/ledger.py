@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import mutations, state, telemetry
 from .retrieval import table
 
@@ -99,20 +101,35 @@ def fact_history(spark, sf_dir):
 
 
 def fact_extract(spark, sf_dir):
-    """Sentences about oneself in documents whose lines are read as messages (the tables hold none in English prose)."""
-    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("I like "), F.coalesce(F.substring("text", 1, 20), F.lit("")), F.lit("! My name is known, ")).alias("m"))
-    return made.select("doc_id", F.posexplode(state.facts_in(F.col("m"))).alias("part", "fact")).withColumn("part", F.col("part").cast("long"))
+    """Facts in whole documents, each sentence read as one about oneself (the tables hold none in English prose)."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"(^|[.!?\n])", "$1I like ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(state.facts_in(said)).alias("part", "fact")).withColumn("part", F.col("part").cast("long"))
+
+
+def fact_decide(spark, sf_dir):
+    """What each user turn would do to the five turns before it as facts, by shared words as similarity."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(-5, -1)
+    seen = turns.withColumn("words", F.array_distinct(T.tokens(F.col("text")))).withColumn("near", F.collect_list(F.struct("turn", "text", "words")).over(before))
+
+    def shared(n):
+        union = F.size(F.array_union("words", n["words"]))
+        return F.when(union > 0, F.size(F.array_intersect("words", n["words"])) / union).otherwise(F.lit(0.0))
+
+    ranked = F.array_sort(F.transform("near", lambda n: F.struct((-shared(n)).alias("less"), n["turn"].cast("string").alias("id"), n["text"].alias("text"))))
+    near = F.transform(ranked, lambda n: F.struct(n["id"].alias("id"), n["text"].alias("text"), (-n["less"]).alias("sim")))
+    return seen.withColumn("d", state.decided(F.col("text"), near)).select("conv_id", "turn", F.col("d.op").alias("op"), F.col("d.about").cast("long").alias("about"))
 
 
 def upsert_merge(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    new = c.where("c_custkey % 3 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(10_000_000)).alias("c_custkey"), F.concat("c_name", F.lit("*")).alias("c_name"), "c_nationkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), "c_mktsegment")
+    new = c.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + F.when(F.col("c_acctbal") >= 0, 0).otherwise(10_000_000)).alias("c_custkey"), F.concat("c_name", F.lit("*")).alias("c_name"), "c_nationkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), "c_mktsegment")
     return mutations.upserted(c, new, "c_custkey", ["c_name"]).select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
 def replace_partition(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    new = o.where("o_custkey % 10 = 0 AND o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("N"))
+    new = o.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("N"))
     return mutations.replaced(o, new, "o_custkey")
 
 
@@ -131,7 +148,7 @@ def json_props(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [daily_cost, cache_hit_ratio, recent_log, budget_running_sum, ledger_rollup, model_costs, wilson_ab, wilson_promotion, champion_version, ema_state, learning_progress, debounced_trigger, fact_current_state, fact_history, fact_extract, upsert_merge, replace_partition, cascade_delete, set_null_delete, json_props]
+    named = [daily_cost, cache_hit_ratio, recent_log, budget_running_sum, ledger_rollup, model_costs, wilson_ab, wilson_promotion, champion_version, ema_state, learning_progress, debounced_trigger, fact_current_state, fact_history, fact_extract, fact_decide, upsert_merge, replace_partition, cascade_delete, set_null_delete, json_props]
     return {f.__name__: f for f in named}
 
 
@@ -141,6 +158,11 @@ def _wilson(p: str, n: str) -> tuple[str, str]:
     return f"round(greatest(({a} - {b}) / (1 + 3.8416::DOUBLE / {n}), 0), 6)", f"round(least(({a} + {b}) / (1 + 3.8416::DOUBLE / {n}), 1), 6)"
 
 
+def _negated() -> str:
+    padded = "(' ' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || ' ')"
+    return "(" + " OR ".join("contains({}, '{}')".format(padded, n.replace("'", "''")) for n in state.NEGATIONS) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     low, high = _wilson("positive", "n")
     rates = {"click": (100.0, 125.0, 10.0, 500.0), "view": (1500.0, 1875.0, 150.0, 7500.0)}
@@ -167,10 +189,19 @@ r AS (SELECT user_id, min(tick) AS tick FROM n GROUP BY 1 UNION ALL SELECT user_
 SELECT user_id, tick FROM r""",
         "fact_current_state": "WITH e AS (SELECT user_id || '/' || event_type AS fact_id, event_id, CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, value FROM events) SELECT * FROM (SELECT fact_id, max(event_id) AS event_id, arg_max(op, event_id) AS op, arg_max(value, event_id) AS value FROM e GROUP BY 1) WHERE op <> 'DELETE'",
         "fact_history": "SELECT CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, count(*) AS n, count(DISTINCT user_id || '/' || event_type) AS facts FROM events GROUP BY 1",
-        "fact_extract": r"""WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array('I like ' || coalesce(substring(text, 1, 20), '') || '! My name is known, ', '[.!?\n]'), lambda s: trim(s)), lambda s: starts_with(lower(s), 'i like ') OR starts_with(lower(s), 'my ')) AS f FROM documents)
+        "fact_extract": r"""WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '(^|[.!?\n])', '\1I like ', 'g'), '[.!?\n]'), lambda s: trim(s)), lambda s: starts_with(lower(s), 'i like ')) AS f FROM documents)
 SELECT doc_id, unnest(range(len(f))) AS part, regexp_replace(unnest(f), '[,"]+$', '') AS fact FROM m""",
-        "upsert_merge": "WITH n AS (SELECT c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 10000000 END AS c_custkey, c_name || '*' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0) SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(o.c_name, n.c_name) AS c_name, round(coalesce(n.c_acctbal, o.c_acctbal), 2) AS c_acctbal FROM customer o FULL JOIN n ON o.c_custkey = n.c_custkey",
-        "replace_partition": "WITH n AS (SELECT o_custkey, o_orderkey, 'N' AS o_orderstatus FROM orders WHERE o_custkey % 10 = 0 AND o_orderkey % 2 = 0) SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT * FROM n",
+        "fact_decide": f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS k FROM conversations WHERE role = 'user'),
+w AS (SELECT *, list_distinct({T.SQL_TOKENS.format('text')}) AS words, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS normal, {_negated()} AS neg FROM t),
+p AS (SELECT a.conv_id, a.k, a.turn, octet_length(encode(a.text)) AS size, b.turn AS id, octet_length(encode(b.text)) AS b_size, a.normal = b.normal AS same, a.neg <> b.neg AS flips,
+  coalesce(len(list_intersect(a.words, b.words))::DOUBLE / nullif(len(list_distinct(a.words || b.words)), 0), 0) AS sim,
+  row_number() OVER (PARTITION BY a.conv_id, a.k ORDER BY coalesce(len(list_intersect(a.words, b.words))::DOUBLE / nullif(len(list_distinct(a.words || b.words)), 0), 0) DESC, b.turn::VARCHAR, b.text) AS place
+  FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.k BETWEEN a.k - 5 AND a.k - 1),
+g AS (SELECT conv_id, k, arg_min(id, place) FILTER (same) AS same_id, arg_min(id, place) FILTER (flips AND sim >= {state.CONTRARY}) AS flip_id, arg_min(id, place) AS first_id, max(sim) AS first_sim, arg_min(b_size < size, place) AS longer FROM p GROUP BY 1, 2),
+d AS (SELECT t.conv_id, t.turn, same_id, flip_id, first_id, CASE WHEN same_id IS NOT NULL THEN 'NOOP' WHEN flip_id IS NOT NULL THEN 'DELETE' WHEN first_sim >= {state.DUPLICATE} THEN 'NOOP' WHEN first_sim >= {state.REFINED} AND longer THEN 'UPDATE' ELSE 'ADD' END AS op FROM t LEFT JOIN g USING (conv_id, k))
+SELECT conv_id, turn, op, (CASE WHEN op <> 'ADD' THEN coalesce(same_id, flip_id, first_id) END)::BIGINT AS about FROM d""",
+        "upsert_merge": "WITH n AS (SELECT c_custkey + CASE WHEN c_acctbal >= 0 THEN 0 ELSE 10000000 END AS c_custkey, c_name || '*' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING') SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(o.c_name, n.c_name) AS c_name, round(coalesce(n.c_acctbal, o.c_acctbal), 2) AS c_acctbal FROM customer o FULL JOIN n ON o.c_custkey = n.c_custkey",
+        "replace_partition": "WITH n AS (SELECT o_custkey, o_orderkey, 'N' AS o_orderstatus FROM orders WHERE o_orderstatus = 'F') SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT * FROM n",
         "cascade_delete": "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
         "set_null_delete": "SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN o_custkey END AS o_custkey FROM orders",
         "json_props": "SELECT (props::JSON->>'k')::BIGINT AS k, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1",

@@ -74,6 +74,13 @@ def vsa_recall(spark, sf_dir):
     return made.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("value") == F.col("recalled")).cast("long")).alias("recovered"))
 
 
+def fhrr_recall(spark, sf_dir):
+    """The pairs of ``vsa_recall`` in complex vectors, where binding is undone by the conjugate."""
+    pairs = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    made = hyper.recalled_complex(pairs, "c_mktsegment", "c_nationkey", "n")
+    return made.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("value") == F.col("recalled")).cast("long")).alias("recovered"))
+
+
 def media_fingerprint(spark, sf_dir):
     """Pages as files: kind and description of each by its path and size."""
     path = F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".MP3").when(F.col("page_id") % 3 == 1, ".png").otherwise(".txt"))
@@ -82,13 +89,13 @@ def media_fingerprint(spark, sf_dir):
 
 
 def memory_ingest(spark, sf_dir):
-    """Facts of each conversation, in order: what a turn says is read as a sentence about oneself."""
-    said = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("I like "), F.element_at(F.split("text", r"[.\n]"), 1)).alias("text"))
+    """Facts of each conversation, in order: each sentence of a user's turns is read as one about oneself."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.regexp_replace("text", r"(^|[.!?\n])", "$1I like ").alias("text"))
     return state.remembered(said, "conv_id", "turn", "text")
 
 
 def queries() -> dict:
-    named = [stream_window_counts, stream_dedup, stream_ema, stream_triggers, session_counts, change_feed, hdc_related, hdc_suggest, vsa_recall, media_fingerprint, memory_ingest]
+    named = [stream_window_counts, stream_dedup, stream_ema, stream_triggers, session_counts, change_feed, hdc_related, hdc_suggest, vsa_recall, fhrr_recall, media_fingerprint, memory_ingest]
     return {f.__name__: f for f in named}
 
 
