@@ -122,21 +122,21 @@ TOOLS: dict[str, tuple[str, dict[str, str], Callable]] = {
 }
 
 
-def dispatch(engine: Engine, request: dict) -> dict:
+def dispatch(engine: Engine, request: dict, tools: dict = TOOLS) -> dict:
     """A JSON-RPC request to its response; results of tools are rows, at most 1000 of them."""
     at, method, params = request.get("id"), request.get("method"), request.get("params") or {}
     error = lambda code, text: {"jsonrpc": "2.0", "id": at, "error": {"code": code, "message": text}}
     if request.get("jsonrpc") != "2.0" or not method:
         return error(-32600, "not a request")
     if method == "tools/list":
-        found = [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": {k: {"type": t} for k, t in p.items()}}} for n, (d, p, _) in TOOLS.items()]
+        found = [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": {k: {"type": t} for k, t in p.items()}}} for n, (d, p, _) in tools.items()]
         return {"jsonrpc": "2.0", "id": at, "result": {"tools": found}}
     if method != "tools/call":
         return error(-32601, "no such method")
-    if params.get("name") not in TOOLS:
+    if params.get("name") not in tools:
         return error(-32602, "no such tool")
     try:
-        rows = TOOLS[params["name"]][2](engine, params.get("arguments") or {}).limit(1000).toJSON().collect()
+        rows = tools[params["name"]][2](engine, params.get("arguments") or {}).limit(1000).toJSON().collect()
     except (KeyError, ValueError) as e:
         return error(-32602, str(e))
     return {"jsonrpc": "2.0", "id": at, "result": {"rows": [json.loads(r) for r in rows]}}

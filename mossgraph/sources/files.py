@@ -44,7 +44,7 @@ class VaultReader(DataSourceReader):
         self.root = os.path.abspath(options["path"])
         self.parts = int(options.get("parts", 8))
         self.pruned = {*PRUNED, *options.get("pruned", "").split()}
-        self.endings = tuple(options.get("endings", " ".join(ENDINGS)).split())
+        self.endings = ("",) if options.get("every") else tuple(options.get("endings", " ".join(ENDINGS)).split())
 
     def partitions(self) -> list[InputPartition]:
         found, patterns = [], []
@@ -58,7 +58,7 @@ class VaultReader(DataSourceReader):
                 rel = os.path.relpath(os.path.join(folder, name), self.root).replace(os.sep, "/")
                 if name.endswith(self.endings) and not ignored(rel, patterns):
                     found.append(rel)
-        return [_Part(found[k :: self.parts]) for k in range(min(self.parts, len(found)))]
+        return [_Part(found[k :: self.parts]) for k in range(max(1, min(self.parts, len(found))))]  # none at all would be read as one without a name
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for rel in partition.paths:
@@ -89,6 +89,46 @@ def vault(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("vault").options(**options).load(root)
 
 
+class MediaReader(VaultReader):
+    """The same walk over files of any kind; bytes as they are."""
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for rel in partition.paths:
+            at = os.path.join(self.root, rel)
+            try:
+                with open(at, "rb") as f:
+                    data = f.read()
+                yield rel, data, len(data), int(os.stat(at).st_mtime * 1000), None
+            except OSError as e:
+                yield rel, None, 0, 0, type(e).__name__
+
+
+class Media(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "vault_media"
+
+    def schema(self) -> str:
+        return "path string, data binary, size_bytes long, modified_at long, error string"
+
+    def reader(self, schema) -> MediaReader:
+        return MediaReader(self.options)
+
+
+def media_files(spark: SparkSession, root: str, endings: list[str] | None) -> DataFrame:
+    """path, data, size_bytes, modified_at, error of files with one of the endings (lower or upper case), or of all files."""
+    spark.dataSource.register(Media)
+    kept = " ".join(f".{x}" for e in endings for x in (e.lower(), e.upper())) if endings else None
+    reader = spark.read.format("vault_media")
+    return (reader.option("endings", kept) if kept else reader.option("every", "true")).load(root)
+
+
+def models(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """name, present, total_bytes: a model is there if each file of its manifest (name, path, size_bytes) has that very size."""
+    found = manifest.join(files.select("path", F.col("size_bytes").alias("own")), "path", "left")
+    return found.groupBy("name").agg(F.every(F.coalesce(F.col("own") == F.col("size_bytes"), F.lit(False))).alias("present"), F.sum("size_bytes").alias("total_bytes")).orderBy("name")
+
+
 def listing(files: DataFrame) -> DataFrame:
     return files.select("path", "size_bytes", "modified_at").orderBy(F.desc("modified_at"), "path")
 
