@@ -19,12 +19,12 @@ def events_stream(spark, sf_dir):
 
 def stream_window_counts(spark, sf_dir):
     """Daily counts in complete form: every window, the last included."""
-    made = jobs.windowed(events_stream(spark, sf_dir))
+    made = jobs.windowed(events_stream(spark, sf_dir), late=None)
     return jobs.drained(made, "update", ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_dedup(spark, sf_dir):
-    kept = jobs.deduplicated(events_stream(spark, sf_dir).select("event_id", "ts", "user_id"), ["event_id"])
+    kept = jobs.deduplicated(events_stream(spark, sf_dir).select("event_id", "user_id"), ["event_id"], late=None)
     return jobs.drained(kept).select("event_id", "user_id")
 
 
@@ -34,7 +34,8 @@ def stream_ema(spark, sf_dir):
 
 
 def stream_triggers(spark, sf_dir):
-    return jobs.drained(jobs.triggers(events_stream(spark, sf_dir), 40, 10))
+    made = jobs.drained(jobs.triggers(events_stream(spark, sf_dir), 40, 10), "update", ["user_id"])
+    return made.select("user_id", F.explode("ticks").alias("tick"))
 
 
 def session_counts(spark, sf_dir):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, state
@@ -53,10 +54,13 @@ def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(*keys, "r.*")
 
 
-def windowed(events: DataFrame, size: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Counts and sums by window and type; with an append sink a window comes out once the watermark has passed it."""
+def windowed(events: DataFrame, size: str = "1 day", slide: str | None = None, late: str | None = LATE) -> DataFrame:
+    """Counts and sums by window and type; with an append sink a window comes out once the watermark has passed it.
+
+    Without ``late`` no row counts as late, in whatever order files come: for update mode, with every window in the state."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    made = events.withWatermark("ts", LATE).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    timed = events.withWatermark("ts", late) if late else events
+    made = timed.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
     return made.select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
@@ -65,44 +69,66 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return made.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
-    return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
+def deduplicated(events: DataFrame, keys: list[str], late: str | None = LATE) -> DataFrame:
+    """The first row of each key; without ``late`` every key stays in the state and no row counts as late."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if late else events.dropDuplicates(keys)
+
+
+def _timed(events: DataFrame, value: Column) -> DataFrame:
+    """user_id, at, event_id, v: times as microseconds, those that are null first (as Spark sorts them)."""
+    return events.select("user_id", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 63))).alias("at"), F.col("event_id").cast("long").alias("event_id"), value.cast("long").alias("v"))
+
+
+def _merged(held, frames: Iterator[pd.DataFrame]) -> tuple[list, int]:
+    """A key's rows (at, event_id, v) in order of time, and how many of them, from the first, are as they were before."""
+    old = list(zip(*(x.tolist() if hasattr(x, "tolist") else list(x) for x in held.get[:3]))) if held.exists else []
+    new = sorted((a, e, v) for f in frames for a, e, v in zip(f["at"].tolist(), f["event_id"].tolist(), f["v"].tolist()))
+    same = bisect.bisect_right(old, new[0]) if new else len(old)
+    return old[:same] + sorted(old[same:] + new), same
+
+
+def _apart(rows: list) -> tuple[list, list, list]:
+    return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
 
 def moving_state(events: DataFrame, types: list[str], alpha: float = state.ALPHA) -> DataFrame:
-    """user_id, steps, state after each batch: only the state is kept, a user's rows are sorted inside a batch."""
+    """user_id, steps, state after each batch, for update mode: the fold over the user's rows so far in order of time.
+
+    The fold depends on the order and files may overlap in time, so a user's times and types are kept with the state: rows
+    after all that were seen continue the fold, earlier ones make it begin again."""
     n = len(types)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        steps, own = held.get if held.exists else (0, [0.0] * n)
-        own = list(own)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            own = [alpha * h + (1 - alpha) * (kind == t) for h, t in zip(own, types)]
+        rows, same = _merged(held, frames)
+        goes_on = held.exists and same == len(held.get[0])
+        own = [float(x) for x in held.get[3]] if goes_on else [0.0] * n
+        for _, _, kind in rows[same if goes_on else 0 :]:
+            own = [alpha * h + (1 - alpha) * (kind == t) for t, h in enumerate(own)]
             norm = math.sqrt(sum(h * h for h in own))
             own = [h / norm for h in own] if norm > 1e-9 else own
-        steps += len(rows)
-        held.update((steps, own))
-        yield pd.DataFrame({"user_id": [key[0]], "steps": [steps], "state": [own]})
+        held.update((*_apart(rows), own))
+        yield pd.DataFrame({"user_id": [key[0]], "steps": [len(rows)], "state": [own]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, steps long, state array<double>", "steps long, state array<double>", "update", "NoTimeout")
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, types)), F.col("event_type")), F.lit(0)) - 1
+    return _timed(events, place).groupBy("user_id").applyInPandasWithState(step, "user_id long, steps long, state array<double>", "at array<long>, event_id array<long>, v array<long>, state array<double>", "update", "NoTimeout")
 
 
 def triggers(events: DataFrame, least: float, gap: int) -> DataFrame:
-    """user_id, tick of each firing: the state is the tick count and the tick of the last firing."""
+    """user_id, ticks of all firings so far, after each batch, for update mode.
+
+    A row that comes later but lies earlier moves the ticks behind it, so a user's times are kept and ticks can be withdrawn."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        tick, last = held.get if held.exists else (0, -1)
-        fired = []
-        for value in pd.concat(list(frames)).sort_values(["ts", "event_id"])["value"]:
-            if value >= least and (last < 0 or tick - last >= gap):
+        rows, same = _merged(held, frames)
+        fired = [int(t) for t in held.get[3] if t < same] if held.exists else []
+        for tick in range(same, len(rows)):
+            if rows[tick][2] and (not fired or tick - fired[-1] >= gap):
                 fired.append(tick)
-                last = tick
-            tick += 1
-        held.update((tick, last))
-        yield pd.DataFrame({"user_id": [key[0]] * len(fired), "tick": fired})
+        held.update((*_apart(rows), fired))
+        yield pd.DataFrame({"user_id": [key[0]], "ticks": [fired]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, tick long", "tick long, last long", "append", "NoTimeout")
+    fires = F.coalesce(F.col("value") >= least, F.lit(False)).cast("int")
+    return _timed(events, fires).groupBy("user_id").applyInPandasWithState(step, "user_id long, ticks array<long>", "at array<long>, event_id array<long>, v array<long>, ticks array<long>", "update", "NoTimeout")
 
 
 def latest(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
