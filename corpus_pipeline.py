@@ -2,7 +2,7 @@
 
 toxicity           documents that score 0.7 or more go
 exact_dedup        of equal texts the smallest identifier stays
-simhash_near_dedup of each component of near fingerprints the smallest identifier stays
+simhash_near_dedup of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 the smallest identifier stays
 mixing             the documents are mixed to target weights: a row for each piece and slot, the text is the piece's
 byte_bpe           every piece is encoded and decoded
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossgraph.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from mossgraph.llm import bpe, exact_dedup, jaccard, mixing, toxicity
 from mossgraph.llm.common import ensure_checkpoint_dir
 from mossgraph.llm.queries import tokenizer
 
@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
+    return jaccard.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,118 @@
+"""Near-deduplication by Jaccard similarity of five-word shingles, for the pipeline (op8 keeps its contract's fingerprints).
+
+MinHash bands only propose pairs; each proposed pair is compared by its whole shingle sets.  A pair at the threshold shares
+none of the bands with a probability of 2e-5.  In each group of equal bands every text is compared with the group's first
+one; where that leaves several components in a group, the pairs between them are compared too, so no proposed pair is lost.
+
+Defined results: null and empty texts are alike; a text of fewer words is one shingle; words as in op8."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, for_python, hot_limit, shuffle_partitions, skew_safe_lookup
+from .simhash import staying, stars
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 36, 6
+SEED = 42
+#: Shingles whose minima are taken at once, so that one very long text needs no more memory.
+STEP = 1 << 11
+
+_rng = np.random.default_rng(SEED)
+_TURNS = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_ADDS = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    words = (text or b"").lower().split()
+    joined = [b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))]
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in joined]), dtype=">u8").astype(np.uint64))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    low = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for k in range(0, len(found), STEP):
+        part = found[k : k + STEP, None] * _TURNS
+        part += _ADDS
+        # The product's low bits hardly vary by the high ones of a hash, so they are folded in before values are compared.
+        part ^= part >> np.uint64(32)
+        part *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(low, part.min(axis=0), out=low)
+    return [int.from_bytes(xxhash.xxh64_digest(row.tobytes(), k), "big", signed=True) for k, row in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tie (a hash of the text), n (its shingles) and bands for every row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def each(batches):
+        for batch in batches:
+            made = [(len(s), bands(s)) for s in (shingles(t.as_py()) for t in batch.column(2).cast(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in made], pa.int64()), pa.array([b for _, b in made], pa.list_(pa.int64()))], ["doc_id", "tie", "n", "bands"])
+
+    return for_python(docs, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, tie long, n long, bands array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are as similar as LEAST.  Texts of hot v are broadcast, so no task gets all pairs of one."""
+    spark = pairs.sparkSession
+    sides = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+    table = sides.join(texts.select(F.col("tie").alias("v"), F.col("text").alias("b")), "v")
+    rows = pairs.join(texts.select(F.col("tie").alias("u"), F.col("text").alias("a")), "u")
+    both = skew_safe_lookup(rows, table, "v", ["b"], "w", F.col("u"), hot_limit(pairs.count(), shuffle_partitions(spark)))
+
+    def each(batches):
+        for batch in batches:
+            held, keep = {}, []
+            for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
+                if v not in held:
+                    held = {v: shingles(b.as_py())}
+                keep.append(similarity(shingles(a.as_py()), held[v]) >= LEAST)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return for_python(both, F.col("u"), F.col("v"), F.col("a"), F.col("b")).mapInArrow(each, "u long, v long")
+
+
+def edges(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Pairs of ties that connect all texts as similar as LEAST."""
+    spark = rows.sparkSession
+    keys = rows.select("tie", "n", F.explode("bands").alias("key")).distinct()
+    groups = keys.groupBy("key").agg(F.min(F.struct("tie", "n")).alias("first"), F.count(F.lit(1)).alias("w")).where("w > 1")
+    limit = hot_limit(rows.count() * BANDS, shuffle_partitions(spark))
+    alike = cut(skew_safe_lookup(keys, groups, "key", ["first"], "w", F.col("tie"), limit).where("first IS NOT NULL"))
+    # Sets whose sizes differ by more can't be as similar.
+    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * LEAST - 1e-9
+    wanted = alike.select("tie").distinct()
+    texts = cut(docs.select(F.xxhash64(text_col).alias("tie"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(wanted, "tie", "left_semi").dropDuplicates(["tie"]))
+    pairs = cut(alike.where(F.col("tie") != F.col("first.tie")).where(fits(F.col("n"), F.col("first.n"))).select(F.col("tie").alias("u"), F.col("first.tie").alias("v")).distinct())
+    found = cut(verified(pairs, texts))
+    # Groups that are still in several components: of each, pairs between components that weren't compared.
+    roots = stars(found)
+    placed = alike.select("key", "tie", "n", F.col("first.tie").alias("first")).join(roots.withColumnRenamed("node", "tie"), "tie", "left").withColumn("root", F.coalesce("root", "tie"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("w")).where("r0 != r1 AND w > 2").select("key")
+    left = cut(placed.join(open_, "key", "left_semi").where(F.col("tie") != F.col("first")))
+    a = left.select("key", F.col("tie").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+    b = left.select("key", F.col("tie").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+    across = cut(a.join(b, "key").where("u > v AND ru != rv").where(fits(F.col("nu"), F.col("nv"))).select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
+    return found.unionByName(verified(across, texts))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole, that stay: of each component of similar texts the document with the smallest identifier."""
+    rows = cut(signatures(docs, id_col, text_col))
+    roots = stars(cut(edges(rows, docs, text_col)))
+    rooted = rows.select("doc_id", "tie").join(roots, F.col("tie") == F.col("node"), "left").select("doc_id", "tie", F.coalesce("root", "tie").alias("root"))
+    whole = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("w"))
+    found = skew_safe_lookup(rooted, whole, "root", ["component_id"], "w", F.col("tie"), hot_limit(rows.count(), shuffle_partitions(docs.sparkSession)))
+    return staying(docs, cut(found), id_col, text_col)

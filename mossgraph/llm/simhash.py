@@ -234,7 +234,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """The rows of docs, whole, that stay: of each component the document with the smallest identifier (of documents with
     that same identifier the one whose text has the smallest hash; repeated rows of it stay together)."""
-    found = cut(components(docs, id_col, text_col, budget).select("doc_id", "tie", "root", "component_id"))
+    return staying(docs, cut(components(docs, id_col, text_col, budget).select("doc_id", "tie", "root", "component_id")), id_col, text_col)
+
+
+def staying(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay.  found: doc_id, tie, root and component_id of every row, kept already."""
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("tie").alias("kept_tie"), F.count_distinct("tie").alias("ties"))
     several = first.where("ties > 1").select(F.col("root").alias("s_root"), "kept_tie")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))

@@ -498,3 +498,30 @@ def test_preference_pairs(spark, sf):
     pairs = spark.createDataFrame([(p[0], p[1], p[2]) for p in want], "pair_id long, chosen_id long, rejected_id long")
     assert {tuple(r) for r in chat_format.preference_pairs(frame, pairs).collect()} == want
     assert chat_format.neighbouring_pairs(frame.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    """Against all pairs: texts of one component of 5-word Jaccard 0.8 leave one, chains included; others stay."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    base = [[f"w{x}" for x in rng.integers(0, 5_000, 120)] for _ in range(12)]
+    texts = []
+    for words in base:
+        texts.append(list(words))
+        for edits in (1, 2, 3, 6, 12):
+            changed = list(texts[-1])
+            for at in rng.choice(120, edits, replace=False):
+                changed[at] = "new" + str(rng.integers(1_000_000))
+            texts.append(changed)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, "few words"), (901, "few words here"), (902, ""), (903, None)]
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect())
+    assert kept == sorted(set(root.values())) and len(kept) < len(rows) - 20
