@@ -101,7 +101,7 @@ def edge_weights(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir):
-    """Parts bought together at least twice."""
+    """Parts bought together at least twice, as in the SQL of label propagation."""
     return edges_of(spark, sf_dir).where("weight >= 2")
 
 
@@ -115,11 +115,11 @@ def modularity(spark, sf_dir):
 
 
 def leiden(spark, sf_dir):
-    return graph.leiden_by_component(_nodes(spark, sf_dir), _sparse(spark, sf_dir))
+    return graph.leiden_by_component(_nodes(spark, sf_dir), edges_of(spark, sf_dir))
 
 
 def layout(spark, sf_dir):
-    return graph.layout_frame(spark, _nodes(spark, sf_dir), _sparse(spark, sf_dir))
+    return graph.layout_frame(spark, _nodes(spark, sf_dir), edges_of(spark, sf_dir))
 
 
 def community_members(spark, sf_dir):

@@ -55,7 +55,7 @@ DIM = 2_048
 
 def _hypervectors(spark, sf_dir):
     parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
-    return hyper.combined(hyper.encoded(parts, dim=DIM), graphs._sparse(spark, sf_dir), DIM)
+    return hyper.combined(hyper.encoded(parts, dim=DIM), graphs.edges_of(spark, sf_dir), DIM)
 
 
 def hdc_related(spark, sf_dir):
@@ -65,7 +65,7 @@ def hdc_related(spark, sf_dir):
 
 
 def hdc_suggest(spark, sf_dir):
-    return hyper.suggestions(_hypervectors(spark, sf_dir), graphs._sparse(spark, sf_dir).select("src", "dst"), dim=DIM)
+    return hyper.suggestions(_hypervectors(spark, sf_dir), graphs.edges_of(spark, sf_dir).select("src", "dst"), dim=DIM)
 
 
 def vsa_recall(spark, sf_dir):

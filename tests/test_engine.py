@@ -286,3 +286,14 @@ def test_stream_of_many_files(spark, sf, tmp_path, name):
     rows = [dict(zip(want.columns, r)) for r in want.fetchall()]
     found = catalog.queries()[name](spark, str(tmp_path)).collect()
     assert canonical([r.asDict() for r in found], columns) == canonical(rows, columns)
+
+
+def test_graph_queries_use_every_edge(spark, tmp_path):
+    """Parts 1, 2 and 3 are bought together once; a part alone has no neighbours."""
+    spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 4)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, f"part {k}", "T", "B") for k in (1, 2, 3, 4)], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {r["id"]: r["degree"] for r in run("layout")} == {1: 1, 2: 2, 3: 1, 4: 0}
+    labels = {r["id"]: r["label"] for r in run("leiden") if r["level"] == 0}
+    assert labels[1] == labels[2] == labels[3] != labels[4]
+    assert {(r["source"], r["target"]) for r in run("hdc_suggest")}.isdisjoint({(1, 2), (2, 3)})
