@@ -262,7 +262,7 @@ def layout(n: int, edges: np.ndarray, iterations: int = 250, width: float = 1000
     return at, done
 
 
-def layout_frame(spark: SparkSession, nodes: DataFrame, edges: DataFrame, iterations: int = 50, largest: int = 200_000) -> DataFrame:
+def layout_frame(spark: SparkSession, nodes: DataFrame, edges: DataFrame, iterations: int = 250, largest: int = 200_000) -> DataFrame:
     """id, x, y, degree of a snapshot for drawing: one kernel call on a worker; larger graphs than ``largest`` raise."""
     ns = nodes.select("id").withColumn("one", F.lit(1))
     es = undirected(edges).distinct().withColumn("one", F.lit(1))

@@ -297,3 +297,12 @@ def test_graph_queries_use_every_edge(spark, tmp_path):
     labels = {r["id"]: r["label"] for r in run("leiden") if r["level"] == 0}
     assert labels[1] == labels[2] == labels[3] != labels[4]
     assert {(r["source"], r["target"]) for r in run("hdc_suggest")}.isdisjoint({(1, 2), (2, 3)})
+
+
+def test_layout_ends_at_its_temperature(spark):
+    ids = list(range(12))
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+    pairs = [(i, (i + 1) % 12) for i in ids]
+    found = {r["id"]: (r["x"], r["y"]) for r in graph.layout_frame(spark, nodes, spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    want, rounds = graph.layout(12, np.array(sorted((min(p), max(p)) for p in pairs)), 10_000)
+    assert rounds == 149 and np.allclose([found[i] for i in ids], want, atol=0.5)
