@@ -50,22 +50,19 @@ def change_feed(spark, sf_dir):
     return jobs.changes(at(e.where(F.col("event_id") <= half)), at(e), "fact_id")
 
 
-DIM = 2_048
-
-
 def _hypervectors(spark, sf_dir):
     parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
-    return hyper.combined(hyper.encoded(parts, dim=DIM), graphs.edges_of(spark, sf_dir), DIM)
+    return hyper.combined(hyper.encoded(parts), graphs.edges_of(spark, sf_dir))
 
 
 def hdc_related(spark, sf_dir):
     vectors = _hypervectors(spark, sf_dir)
     asked = vectors.where("id = 1").select("hv").first()
-    return hyper.related(vectors.where("id != 1"), bytes(asked[0]), 20, DIM)
+    return hyper.related(vectors.where("id != 1"), bytes(asked[0]), 20)
 
 
 def hdc_suggest(spark, sf_dir):
-    return hyper.suggestions(_hypervectors(spark, sf_dir), graphs.edges_of(spark, sf_dir).select("src", "dst"), dim=DIM)
+    return hyper.suggestions(_hypervectors(spark, sf_dir), graphs.edges_of(spark, sf_dir).select("src", "dst"))
 
 
 def vsa_recall(spark, sf_dir):

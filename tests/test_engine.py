@@ -306,3 +306,11 @@ def test_layout_ends_at_its_temperature(spark):
     found = {r["id"]: (r["x"], r["y"]) for r in graph.layout_frame(spark, nodes, spark.createDataFrame(pairs, "src long, dst long")).collect()}
     want, rounds = graph.layout(12, np.array(sorted((min(p), max(p)) for p in pairs)), 10_000)
     assert rounds == 149 and np.allclose([found[i] for i in ids], want, atol=0.5)
+
+
+def test_hypervector_queries_have_the_full_dimension(spark, sf):
+    from mossgraph.plans import streams
+
+    assert {len(r["hv"]) for r in streams._hypervectors(spark, sf).collect()} == {hyper.DIM // 8} == {1250}
+    scores = [r["score"] for r in catalog.queries()["hdc_related"](spark, sf).collect()]
+    assert len(scores) == 20 and all(abs(s * hyper.DIM / 2 - round(s * hyper.DIM / 2)) < 0.01 for s in scores)
