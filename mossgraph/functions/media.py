@@ -6,7 +6,8 @@ import hashlib
 import struct
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import vector
@@ -61,3 +62,15 @@ def embedding(words: list[str], data: bytes) -> np.ndarray:
         text[k] = v
     unit = lambda v: v / n if (n := np.sqrt((v**2).sum())) > 1e-9 else v
     return unit(TEXT_SHARE * unit(text) + BYTE_SHARE * unit(fingerprint(data))).astype(np.float32)
+
+
+def embedded(files: DataFrame, id_col: str, words: str, data: str) -> DataFrame:
+    """id, embedding: ``embedding`` of each file's words and bytes."""
+
+    def each(frames):
+        for f in frames:
+            yield pd.DataFrame({id_col: f["id"], "embedding": [embedding(list(w), bytes(d)).tolist() for w, d in zip(f["words"], f["data"])]})
+
+    kind = files.schema[id_col].dataType.simpleString()
+    rows = files.select(F.col(id_col).alias("id"), F.coalesce(words, F.array().cast("array<string>")).alias("words"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("data"))
+    return rows.mapInPandas(each, f"{id_col} {kind}, embedding array<float>")

@@ -79,11 +79,20 @@ def fhrr_recall(spark, sf_dir):
     return made.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("value") == F.col("recalled")).cast("long")).alias("recovered"))
 
 
-def media_fingerprint(spark, sf_dir):
-    """Pages as files: kind and description of each by its path and size."""
+def _page_files(spark, sf_dir):
     path = F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".MP3").when(F.col("page_id") % 3 == 1, ".png").otherwise(".txt"))
-    pages = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.octet_length("html").cast("long").alias("size"))
-    return pages.select("page_id", media.kind(F.col("path")).alias("kind"), media.description(F.col("path"), F.col("size")).alias("description"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.octet_length("html").cast("long").alias("size"), "html")
+
+
+def media_fingerprint(spark, sf_dir):
+    """Pages as files: kind and description of each by its path and size; ``media_embedding`` has the fingerprints."""
+    return _page_files(spark, sf_dir).select("page_id", media.kind(F.col("path")).alias("kind"), media.description(F.col("path"), F.col("size")).alias("description"))
+
+
+def media_embedding(spark, sf_dir):
+    """Pages as files: the description's words and the fingerprint of the bytes in one vector of each."""
+    files = _page_files(spark, sf_dir).select("page_id", T.tokens(media.description(F.col("path"), F.col("size"))).alias("tokens"), "html")
+    return media.embedded(spread(files), "page_id", "tokens", "html")
 
 
 def memory_ingest(spark, sf_dir):
@@ -93,7 +102,7 @@ def memory_ingest(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [stream_window_counts, stream_dedup, stream_ema, stream_triggers, session_counts, change_feed, hdc_related, hdc_suggest, vsa_recall, fhrr_recall, media_fingerprint, memory_ingest]
+    named = [stream_window_counts, stream_dedup, stream_ema, stream_triggers, session_counts, change_feed, hdc_related, hdc_suggest, vsa_recall, fhrr_recall, media_fingerprint, media_embedding, memory_ingest]
     return {f.__name__: f for f in named}
 
 

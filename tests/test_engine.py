@@ -314,3 +314,13 @@ def test_hypervector_queries_have_the_full_dimension(spark, sf):
     assert {len(r["hv"]) for r in streams._hypervectors(spark, sf).collect()} == {hyper.DIM // 8} == {1250}
     scores = [r["score"] for r in catalog.queries()["hdc_related"](spark, sf).collect()]
     assert len(scores) == 20 and all(abs(s * hyper.DIM / 2 - round(s * hyper.DIM / 2)) < 0.01 for s in scores)
+
+
+def test_media_embedding_of_every_page(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    told = catalog.queries()["media_fingerprint"](spark, sf).select("page_id", T.tokens(F.col("description")).alias("w")).collect()
+    words = {r["page_id"]: r["w"] for r in told}
+    found = {r["page_id"]: r["embedding"] for r in catalog.queries()["media_embedding"](spark, sf).collect()}
+    assert len(found) == len(pages) > 0
+    for r in pages:
+        assert np.allclose(found[r["page_id"]], media.embedding(words[r["page_id"]], (r["html"] or "").encode()), atol=1e-6)
