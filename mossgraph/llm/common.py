@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the operator contracts, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = str(16 << 20)
+#: Bytes of an Arrow batch, where the session doesn't name any.
+BATCH_BYTES = 8 << 20
+#: Rows of a table that is broadcast after it was counted; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where it is unset."""
+    """Use the folder the cluster names in spark.checkpoint.dir.  A temporary one is made only where it is unset and all
+    executors are threads of this machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="mossgraph-checkpoint-"))
 
 
@@ -29,14 +38,46 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def for_python(docs: DataFrame, *columns: Column) -> DataFrame:
-    """The columns, ready to go to Python: batches are bounded in bytes (where the session doesn't say otherwise), since
-    ten thousand rows of long texts would not fit into a worker."""
+    """The columns, ready to go to Python.
+
+    Batches of long texts have to be bounded in bytes, and Spark reads that bound from the session when a plan runs: where
+    the session names none, it is set to BATCH_BYTES for good."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name).rstrip("bB")) > 1 << 31:
-        conf.set(name, BATCH_BYTES)
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
     return docs.select(*columns)
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, and at its end freed memory goes back to the system: workers are kept, and later stages need the room."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: nothing to trim
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns renamed by place, so that no name of theirs (in any case, with dots, or twice) can clash with
+    an operator's own, and the names they had."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), df.columns
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -87,3 +128,16 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], chunk_key: Co
     for g in group:
         condition = condition & (F.col(g) == F.col(f"__g_{g}"))
     return own.join(starts, condition, "left").select(*df.columns, (F.col("__before") + F.col("__start")).cast("long").alias(name))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the place of the row (from 0) in an order over the whole table, without a task that sees all rows.
+
+    Rows are range-partitioned and kept; each partition numbers its own, and starts after those of the ones before it."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    inner = Window.partitionBy("__part").orderBy(*order)
+    starts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = starts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__start"))
+    own = dealt.withColumn("__own", F.row_number().over(inner) - 1)
+    return own.join(F.broadcast(starts), "__part").select(*df.columns, (F.col("__own") + F.col("__start")).cast("long").alias(name))
