@@ -1,14 +1,19 @@
 """Toxicity by nearest labelled examples.
 
-Examples are labelled texts; terms (words, and the first letters of long words) that go with the label are selected, with
-inverse document frequencies over all documents.  A text's nearest examples by exact TF-IDF cosine come from an inverted
-index whose postings are cut into blocks of examples, each with the largest weight of the term in it: blocks are scored in
-the order of their upper bounds until no bound exceeds the worst of the neighbours found.  Neighbours vote with weights
-that fall with their distance, and an isotonic fit over the examples' own leave-one-out votes calibrates the score.
+Examples are labelled texts; terms are words, and the first letters of long words.  The vocabulary is the terms that go
+with either label: of V different terms in the examples, those whose log-likelihood ratio exceeds 2 ln V, the level that
+chance alone is expected not to reach among so many.  (Cosine over all terms was tried: it mostly finds texts on the same
+matter, see the README.)  Inverse document frequencies are over all documents.  A text's nearest examples by exact TF-IDF
+cosine come from an inverted index whose postings are cut into blocks of examples, each with the largest weight of the
+term in it: blocks are scored in the order of their upper bounds until no bound exceeds the worst of the neighbours found.
+Neighbours vote with weights that fall with their distance, and an isotonic fit over the examples' own leave-one-out votes
+calibrates the score.
 
 Defined results: null and empty texts, and texts with none of the terms, get the calibrated rate of examples without any;
-a null identifier is neither held out nor learnt from; a document that is labelled twice counts with its larger label,
-null labels don't count; equal texts count once as examples; repeated rows repeat; empty labels give score 0 to all."""
+a null identifier is neither held out nor learnt from; identifiers are of any type; a document that is labelled twice
+counts with its larger label, one that occurs with several texts as an example with the smallest, null labels don't
+count; equal texts count once as examples; repeated rows repeat; empty labels give score 0 to all; an empty table gives an
+empty table; ``without_toxic`` passes all columns through by place, whatever their names."""
 
 from __future__ import annotations
 
@@ -24,12 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, for_python
+from .common import cut, for_python, positional, tidy
 
 #: Bound of the fitted sample: most labelled rows of each label that become examples.
 EXAMPLES = 6_000
-#: Most terms, and the significance (log-likelihood ratio) and label-1 examples that a term needs.
-TERMS, SIGNIFICANT, SUPPORT = 4_096, 15.0, 3
 NEIGHBOURS, BLOCK = 15, 64
 #: First letters of longer words that are a term of their own.
 STEM = 6
@@ -57,7 +60,7 @@ class Model:
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    ids: list = field(default_factory=list)
     #: By term: examples (ascending), their weights, where each block begins in them, and each block's largest weight.
     postings: list = field(default_factory=list)
     bounds: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
@@ -148,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """Learn from labelled rows that aren't held out: at most ``examples`` of each label, chosen by a hash of the identifier.
 
     The sample, its terms and so the index are bounded by the parameters; document frequencies are over all rows."""
+    labels = labels.select(id_col, label)
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("label")).where(~held_out(F.col(id_col)))
     known = known.withColumn("label", (F.col("label") > 0).cast("int"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -157,33 +161,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return Model()
-    picked = cut(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col))
-
-    def counted(frames):
-        ids, names, ns = [], [], []
-        for frame in frames:
-            for i, text in zip(frame[id_col], frame[text_col]):
-                bag = terms_of(text)
-                ids += [i] * len(bag)
-                names += bag
-                ns += bag.values()
-                if len(ids) >= PAIRS:
-                    yield pd.DataFrame({"id": ids, "term": names, "n": ns})
-                    ids, names, ns = [], [], []
-        yield pd.DataFrame({"id": ids, "term": names, "n": ns})
-
-    counts = picked.mapInPandas(counted, "id long, term string, n long")
-    first = picked.select(F.col(id_col).cast("long").alias("id"), "label", F.coalesce(text_col, F.lit("")).alias("x")).groupBy(F.xxhash64("x").alias("key")).agg(F.min("id").alias("id"), F.max("label").alias("label"))
-    rows = first.select("id", "label").distinct().toPandas().groupby("id", as_index=False).max()
-    rows = rows.sort_values("id", ignore_index=True)
+    # One text for each chosen identifier, and one identifier for each text: as many rows as the sample at most.
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    single = texts.join(F.broadcast(chosen.select(F.col(id_col).alias("id"), "label")), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    picked = cut(single.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")))
+    rows = picked.select("id", "label").toPandas().sort_values("id", ignore_index=True)
     if not len(rows):
         return Model()
-    own = docs.sparkSession.createDataFrame(rows, "id long, label int")
-    counts = counts.join(F.broadcast(own), "id")
     n1, n0 = int(rows["label"].sum()), int((1 - rows["label"]).sum())
-    by_term = counts.dropDuplicates(["id", "term"]).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
     if not n1 or not n0:
         return Model(prior=float(n1 > 0), without=float(n1 > 0))
+    kind = picked.schema["id"].dataType.simpleString()
+
+    def counted(batches):
+        for batch in batches:
+            at, names, ns = [], [], []
+            for k, text in enumerate(batch.column(2)):
+                bag = terms_of(text.as_py())
+                at += [k] * len(bag)
+                names += bag
+                ns += bag.values()
+                if len(at) >= PAIRS or k + 1 == batch.num_rows:
+                    places = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), pa.array(names, pa.string()), pa.array(ns, pa.int64())], ["id", "label", "term", "n"])
+                    at, names, ns = [], [], []
+
+    counts = cut(for_python(picked, F.col("id"), F.col("label"), F.col("text")).mapInArrow(tidy(counted), f"id {kind}, label int, term string, n long"))
+    by_term = counts.groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
     n = float(n1 + n0)
 
     def part(seen, total_row, total_column):
@@ -191,25 +195,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     a, b = F.col("a"), F.col("b")
     ratio = 2 * (part(a, a + b, F.lit(float(n1))) + part(b, a + b, F.lit(float(n0))) + part(n1 - a, n - a - b, F.lit(float(n1))) + part(n0 - b, n - a - b, F.lit(float(n0))))
-    chosen_terms = by_term.where((a >= SUPPORT) & (a * n0 > 2 * b * n1)).withColumn("g", ratio).where(F.col("g") >= SIGNIFICANT).orderBy(F.desc("g"), "term").limit(TERMS).select("term")
+    tested = cut(by_term.withColumn("g", ratio))
+    level = 2 * math.log(max(2, tested.count()))
+    chosen_terms = tested.where((F.col("g") >= level) & (a + b < n)).select("term")
     vocabulary = sorted(r["term"] for r in chosen_terms.collect())
     terms = {t: i for i, t in enumerate(vocabulary)}
     stems = frozenset(t[:-1] for t in vocabulary if t.endswith("*"))
-    bag = counts.where(F.col("term").isin(vocabulary)).groupBy("id", "term").agg(F.max("n").alias("n")).toPandas() if vocabulary else pd.DataFrame({"id": [], "term": [], "n": []})
+    bag = counts.join(F.broadcast(chosen_terms), "term").select("id", "term", "n").toPandas()
 
-    def frequencies(frames):
+    def frequencies(batches):
         seen, total = np.zeros(len(vocabulary), dtype=np.int64), 0
-        for frame in frames:
-            total += len(frame)
-            for text in frame[text_col]:
-                words = set(_WORDS((text or "").lower()))
+        for batch in batches:
+            total += batch.num_rows
+            for text in batch.column(0):
+                words = set(_WORDS((text.as_py() or "").lower()))
                 here = words & terms.keys()
                 here |= {w[:STEM] + "*" for w in words if len(w) > STEM and w[:STEM] in stems}
                 for t in here:
                     seen[terms[t]] += 1
-        yield pd.DataFrame({"term": [-1, *np.flatnonzero(seen)], "n": [total, *seen[seen > 0]]})
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *found.tolist()], pa.int64()), pa.array([total, *seen[found].tolist()], pa.int64())], ["term", "n"])
 
-    df = for_python(docs, F.col(text_col)).mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = for_python(docs, F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     seen = {r["term"]: r["n"] for r in df}
     idf = np.array([math.log((1 + seen.get(-1, 0)) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
     return built(terms, stems, idf, rows, bag, {1: sizes.get(1, 0) / n1, 0: sizes.get(0, 0) / n0})
@@ -242,7 +249,7 @@ def built(terms: dict[str, int], stems: frozenset, idf: np.ndarray, rows: pd.Dat
         begins = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
         np.maximum.at(bounds[t], at // BLOCK, values)
         postings.append((at, values, begins))
-    model = Model(terms, stems, idf, labels, weights / weights.mean() if len(weights) else weights, np.array(with_any, dtype=np.int64), postings, bounds, without=float(without), prior=float(prior))
+    model = Model(terms, stems, idf, labels, weights / weights.mean() if len(weights) else weights, list(with_any), postings, bounds, without=float(without), prior=float(prior))
     if len(with_any):
         grouped = {k: (g["t"].to_numpy()[np.argsort(g["t"].to_numpy())], g["w"].to_numpy()[np.argsort(g["t"].to_numpy())]) for k, g in bag.groupby("id")}
         votes = np.array([model.vote(model.nearest(*grouped[i], skip=k)) for k, i in enumerate(with_any)])
@@ -262,21 +269,22 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             for text in batch.column(1):
                 score, near = model.score(text.as_py())
                 scores.append(min(1.0, max(0.0, score)))
-                shown.append([int(model.ids[e]) for _, e in near[:evidence]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+                shown.append([model.ids[e] for _, e in near[:evidence]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, pa.list_(batch.column(0).type))], ["doc_id", "score", "evidence"])
 
-    scored = for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, score double, evidence array<long>")
+    scored = for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), f"doc_id {kind}, score double, evidence array<{kind}>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, whole, whose score is below the threshold."""
+    moved, names = positional(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    place = names.index(text_col)
 
     def each(batches):
         model = shared.value
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py())[0] < THRESHOLD for t in batch.column(place)], pa.bool_()))
 
-    return for_python(docs, F.col("*")).mapInArrow(each, docs.schema)
+    return for_python(moved, F.col("*")).mapInArrow(tidy(each), moved.schema).toDF(*names)
