@@ -7,20 +7,21 @@ to which a pseudorandom permutation of the source's block numbers maps j, with a
 has been used up, so no block is taken more than once more than any other of its source.  Slots and blocks meet in a join
 by block number.
 
+Sources are rows of a table at every number of them: they are ranked by range partitions, their targets follow from a few
+sums, and draws go from the shards to groups of SOURCES neighbouring sources first, then inside each group in a task.
+
 Defined results: a null text has no words; a null source is a source of its own and comes last; repeated rows are rows
-of their own; texts without words are taken 0 times; empty tables give empty tables.  The catalogue of sources (a row for
-each source, at most SOURCES) is planned on the driver; the blocks, slots and rows are not."""
+of their own; texts without words are taken 0 times; empty tables give empty tables; columns of the input pass through by
+place, whatever their names."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut, numbered, shuffle_partitions, word_count
+from .common import BROADCAST_ROWS, SPACE, WORD, cut, hot_limit, numbered, positional, ranked, shuffle_partitions, skew_safe_lookup, word_count
 
 WEIGHTS = (5, 2, 1)
 #: The mix has this share of all words, and a source is taken at most REPEATS times.
@@ -28,62 +29,49 @@ SHARE, REPEATS = 1.5, 2
 BLOCK_WORDS = 256
 OUTPUT_SHARDS = 64
 SEED = 20_240_607
-#: Most sources in the catalogue; a table with more needs its sources grouped first.
-SOURCES = 200_000
+#: Sources whose slots one task draws.
+SOURCES = 4_096
 #: Slots that one row of the slot plan stands for at most.
 RUN = 1 << 14
 
 
-@dataclass
-class Source:
-    name: str | None
-    size: int
-    target: float
-    blocks: int
-    slots: int
-
-
-def water_filled(sizes: list[int], weights: list[int], total: float, repeats: float = REPEATS) -> list[float]:
-    """Shares of total by weight; what a share has above repeats * size goes to the others by weight, until none is above."""
-    target, open_, left = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s > 0}, float(total)
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        above = {i for i in open_ if unit * weights[i] > repeats * sizes[i]}
-        if not above:
-            for i in open_:
-                target[i] = unit * weights[i]
+def catalogue(sized: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """key, source_no, size, rows, target, blocks, slots of each source, by code point, null last.  sized: source, size.
+
+    Targets are min(repeats * size, level * weight): the level starts at what the words allow, and each round takes the
+    sources above it out with their full repeats, until none is above.  A round is one aggregate; sums of whole numbers."""
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    placed = ranked(found, [F.col("source").asc_nulls_last()], "source_no")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
+    table = cut(placed.select(source_key(F.col("source")).alias("key"), "source_no", "size", "rows", weight.alias("weight")))
+    total = share * (table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    full = F.col("size") * repeats
+    level = float("inf")
+    while True:
+        closed = (F.col("size") == 0) | (F.lit(level) * F.col("weight") > full) if level < float("inf") else F.col("size") == 0
+        taken, open_ = table.agg(F.coalesce(F.sum(F.when(closed, full)), F.lit(0)), F.coalesce(F.sum(F.when(~closed, F.col("weight"))), F.lit(0))).first()
+        now = (total - taken) / open_ if open_ else float("inf")
+        if now == level or not open_:
             break
-        for i in above:
-            target[i] = float(repeats * sizes[i])
-            left -= target[i]
-        open_ -= above
-    return target
-
-
-def catalogue(sized: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> list[Source]:
-    """Sources by code point, null last, with targets and slots.  sized: source, size."""
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(SOURCES + 1).collect()
-    if len(found) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources: group them before mixing")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["size"]) for r in found]
-    target = water_filled(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), repeats)
-    out = []
-    for r, size, t in zip(found, sizes, target):
-        blocks = -(-size // block_words)
-        out.append(Source(r["source"], size, t, blocks, min(repeats * blocks, round(t * blocks / size)) if size else 0))
-    return out
-
-
-def drawn(slots: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each source in each shard: a multinomial draw a shard, corrected to the given totals."""
+        level = now
+    target = F.when(F.col("size") == 0, F.lit(0.0)).when(F.lit(level) * F.col("weight") > full, full.cast("double")).otherwise(F.lit(level) * F.col("weight")) if level < float("inf") else full.cast("double")
+    blocks = F.ceil(F.col("size") / block_words).cast("long")
+    slots = F.when(F.col("size") > 0, F.least(repeats * F.col("blocks"), F.rint(F.col("target") * F.col("blocks") / F.col("size")).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return cut(table.withColumn("target", target).withColumn("blocks", blocks).withColumn("slots", slots).drop("weight"))
+
+
+def source_key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
+
+
+def drawn(slots: list[int], sizes: np.ndarray, seed: list[int]) -> np.ndarray:
+    """Slots of each source in each shard: a multinomial draw a shard, corrected to the given totals of both."""
     want = np.asarray(slots, dtype=np.int64)
-    total = int(want.sum())
+    total, shards = int(want.sum()), len(sizes)
     if not total:
-        return np.zeros((shards, len(slots)), dtype=np.int64)
-    sizes = np.full(shards, total // shards, dtype=np.int64)
-    sizes[: total % shards] += 1
-    counts = np.stack([np.random.default_rng([seed, i]).multinomial(n, want / total) for i, n in enumerate(sizes)]).astype(np.int64)
+        return np.zeros((shards, len(want)), dtype=np.int64)
+    counts = np.stack([np.random.default_rng([*seed, i]).multinomial(n, want / total) for i, n in enumerate(sizes.tolist())]).astype(np.int64)
     holes = np.zeros(shards, dtype=np.int64)
     for s in np.flatnonzero(counts.sum(axis=0) > want):
         over = int(counts[:, s].sum() - want[s])
@@ -106,6 +94,12 @@ def drawn(slots: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return counts
 
 
+def even(total: int, shards: int) -> np.ndarray:
+    sizes = np.full(shards, total // shards, dtype=np.int64)
+    sizes[: total % shards] += 1
+    return sizes
+
+
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of 0..n-1 at the given places: a Feistel network, walked until it is back in range."""
     if n <= 1:
@@ -130,12 +124,25 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def slot_plan(spark, sources: list[Source], shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
-    """source_no, shard, slot (of the source), block for each slot of the mix."""
-    counts = drawn([s.slots for s in sources], shards, seed)
-    starts = np.cumsum(counts, axis=0) - counts
-    plan = [(int(s), int(i), int(starts[i, s]), int(counts[i, s]), sources[s].blocks) for i in range(shards) for s in range(len(sources)) if counts[i, s]]
-    segments = spark.createDataFrame(plan, "source_no long, shard long, first long, slots long, blocks long")
+def slot_plan(sources: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
+    """source_no, shard, slot (of the source), block for each slot of the mix.
+
+    The driver draws slots of groups of sources, a number for each shard and SOURCES sources; the rest is drawn in tasks."""
+    spark = sources.sparkSession
+    grouped = sources.withColumn("group", F.floor(F.col("source_no") / SOURCES).cast("long"))
+    sums = sorted((r["group"], r["slots"]) for r in grouped.groupBy("group").agg(F.sum("slots").alias("slots")).collect())
+    outer = drawn([n for _, n in sums], even(sum(n for _, n in sums), shards), [seed])
+    sizes = spark.createDataFrame([(g, outer[:, k].tolist()) for k, (g, _) in enumerate(sums)], "group long, sizes array<long>")
+    named = grouped.where("slots > 0").join(F.broadcast(sizes), "group").select("group", "sizes", "source_no", "slots", "blocks")
+
+    def draws(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("source_no")
+        counts = drawn(frame["slots"].tolist(), np.asarray(frame["sizes"].iloc[0], dtype=np.int64), [seed, int(frame["group"].iloc[0])])
+        first = np.cumsum(counts, axis=0) - counts
+        shard, place = np.nonzero(counts)
+        return pd.DataFrame({"source_no": frame["source_no"].to_numpy()[place], "shard": shard, "first": first[shard, place], "slots": counts[shard, place], "blocks": frame["blocks"].to_numpy()[place]})
+
+    segments = named.groupBy("group").applyInPandas(draws, "source_no long, shard long, first long, slots long, blocks long")
     runs = segments.select("source_no", "shard", "blocks", (F.col("first") + F.col("slots")).alias("stop"), F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1, F.lit(RUN))).alias("start"))
     runs = runs.repartition(shuffle_partitions(spark), "source_no", "start")
 
@@ -152,13 +159,19 @@ def slot_plan(spark, sources: list[Source], shards: int = OUTPUT_SHARDS, seed: i
     return runs.mapInPandas(opened, "source_no long, shard long, slot long, block long")
 
 
-def packed(sized: DataFrame, sources: list[Source], total: int) -> DataFrame:
-    """sized (with source, size, tie) and source_no, source_size, target and start: the place of the row's first word in its source."""
-    spark = sized.sparkSession
-    table = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(sources)], "source_no long, __source string, source_size long, target double")
-    named = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    chunks = max(64, 2 * shuffle_partitions(spark), total // 100_000)
-    return numbered(named, ["source_no"], [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("tie")], F.struct("doc_id", "tie"), chunks, F.col("size"), "start")
+def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """sized (with doc_id, source, size, tie) and source_no, source_size, target and start: the place of the row's first word
+    in its source.  A catalogue of few sources is broadcast after it was counted; a longer one is looked up by shuffles."""
+    parts = shuffle_partitions(sized.sparkSession)
+    count, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    table = sources.select("key", "source_no", F.col("size").alias("source_size"), "target", "rows")
+    keyed = sized.withColumn("key", source_key(F.col("source")))
+    if count <= BROADCAST_ROWS:
+        named = keyed.join(F.broadcast(table.drop("rows")), "key")
+    else:
+        named = skew_safe_lookup(keyed, table, "key", ["source_no", "source_size", "target"], "rows", F.struct("doc_id", "tie"), hot_limit(total, parts))
+    chunks = max(64, 2 * parts, total // 100_000)
+    return numbered(named.drop("key"), ["source_no"], [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("tie")], F.struct("doc_id", "tie"), chunks, F.col("size"), "start")
 
 
 def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -171,11 +184,10 @@ def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes of it) for every row of docs."""
-    spark = docs.sparkSession
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")).fillna(0, ["size"]))
     sources = catalogue(sized, block_words)
-    rows = packed(sized, sources, sized.count())
-    uses = slot_plan(spark, sources, shards, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
+    rows = packed(sized, sources)
+    uses = slot_plan(sources, shards, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
     narrow = rows.select("doc_id", "size", "source_size", "target", "source_no", "start")
     taken = (
         pieces(narrow, block_words)
@@ -193,18 +205,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?:^{SPACE}+)?{WORD}{SPACE}*"), F.lit(0))
 
 
-def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: a row for each slot and document piece in its block, with the columns of docs; text is the piece's.
-
-    Columns mix_shard, mix_slot, mix_source_no and mix_word place the piece.  Pieces of a document, in order, give its
-    words and white space back."""
-    spark = docs.sparkSession
-    held = [c for c in docs.columns if c != "text"]
-    sized = docs.select(F.struct(*held).alias("held"), "text", "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")).fillna(0, ["size"])
-    counts = cut(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
-    sources = catalogue(counts, block_words)
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    rows = packed(sized, sources, total).where(F.col("size") > 0).select("held", "source_no", "size", "start", words_of(F.col("text")).alias("tokens"))
+def _mixed(docs: DataFrame, id_: str, text_: str, source_: str, block_words: int, shards: int, seed: int) -> DataFrame:
+    """docs (columns by place), a row for each slot and piece, with __shard, __slot, __source_no and __word."""
+    held = [c for c in docs.columns if c != text_]
+    sized = docs.select(F.struct(*held).alias("held"), F.col(text_).alias("text"), F.col(id_).alias("doc_id"), F.col(source_).alias("source"), word_count(F.col(text_)).alias("size"), F.xxhash64(text_).alias("tie")).fillna(0, ["size"])
+    sources = catalogue(sized.select("source", "size"), block_words)
+    rows = packed(sized, sources).where(F.col("size") > 0).select("held", "source_no", "size", "start", words_of(F.col("text")).alias("tokens"))
     blocks = F.sequence(F.floor(F.col("start") / block_words).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block_words).cast("long"))
 
     def piece(block: Column) -> Column:
@@ -213,6 +219,20 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
         return F.struct(block.alias("block"), first.alias("first_word"), F.array_join(F.slice("tokens", first.cast("int") + 1, (stop - first).cast("int")), "").alias("text"))
 
     cut_up = rows.select("held", "source_no", F.inline(F.transform(blocks, piece)))
-    mixed = slot_plan(spark, sources, shards, seed).hint("merge").join(cut_up, ["source_no", "block"])
-    kept = [F.col("text") if c == "text" else F.col(f"held.{c}").alias(c) for c in docs.columns]
-    return mixed.select(*kept, F.col("shard").alias("mix_shard"), F.col("slot").alias("mix_slot"), F.col("source_no").alias("mix_source_no"), F.col("first_word").alias("mix_word"))
+    mixed = slot_plan(sources, shards, seed).hint("merge").join(cut_up, ["source_no", "block"])
+    kept = [F.col("text").alias(c) if c == text_ else F.col(f"held.{c}").alias(c) for c in docs.columns]
+    return mixed.select(*kept, F.col("shard").alias("__shard"), F.col("slot").alias("__slot"), F.col("source_no").alias("__source_no"), F.col("first_word").alias("__word"))
+
+
+def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED, placed: bool = True) -> DataFrame:
+    """The mix itself: a row for each slot and document piece in its block, with the columns of docs; text is the piece's.
+
+    Columns mix_shard, mix_slot, mix_source_no and mix_word place the piece, unless they aren't wanted; input columns of
+    those names (in any case) give way to them.  Pieces of a document, in order, give its words and white space back."""
+    moved, names = positional(docs)
+    found = _mixed(moved, *[f"c{names.index(n)}" for n in ("doc_id", "text", "source")], block_words, shards, seed)
+    if not placed:
+        return found.select(moved.columns).toDF(*names)
+    own = ["mix_shard", "mix_slot", "mix_source_no", "mix_word"]
+    held = [(f"c{k}", n) for k, n in enumerate(names) if n.lower() not in own]
+    return found.select(*[c for c, _ in held], "__shard", "__slot", "__source_no", "__word").toDF(*[n for _, n in held], *own)
