@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python
+from .common import for_python, tidy
 
-#: Pieces whose ids a worker remembers, in each of two generations.
-MEMO = 400_000
+#: Bytes of pieces and ids that a worker remembers, with what Python needs to hold them, in each of two generations.
+MEMO_BYTES, ENTRY = 48 << 20, 220
+#: Pairs of tokens whose compatibility a worker remembers.
+PAIRS = 300_000
 
 
 class Vocabulary:
@@ -87,7 +89,7 @@ class Vocabulary:
 
     def compatible(self, key: int) -> bool:
         """Of two ranks in one number, and remembered."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > PAIRS:
             self.known.clear()
         known = self.known[key] = self._meets(key >> 32, key & 0xFFFFFFFF)
         return known
@@ -165,7 +167,7 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
-        self.vocabulary, self.older = vocabulary, {}
+        self.vocabulary, self.older, self.used = vocabulary, {}, 0
         self.pieces = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
@@ -173,10 +175,12 @@ class Encoder(dict):
         if packed is None:
             packed = self.encoded(piece.encode())
         if len(piece) <= 64:
-            if len(self) >= MEMO:
+            if self.used >= MEMO_BYTES:
                 self.older = dict(self)
                 self.clear()
+                self.used = 0
             self[piece] = packed
+            self.used += ENTRY + 2 * len(piece) + len(packed)
         return packed
 
     def encoded(self, data: bytes) -> bytes:
@@ -217,7 +221,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, names)
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, schema)
+    return for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -230,4 +234,4 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
             back = [b"".join(map(vocabulary.value.__getitem__, row.as_py() or [])) for row in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(each, f"doc_id {kind}, bytes binary")
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(each), f"doc_id {kind}, bytes binary")
