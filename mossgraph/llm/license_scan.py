@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python
+from .common import for_python, tidy
 
 SHINGLE, CONTAINED, SLACK = 5, 0.8, 1.25
 #: Accepted probability that a matching window shares no band with its template.
@@ -95,7 +95,7 @@ class Templates:
         self.shingles = [np.unique(shingled(words(np.frombuffer(t.encode(), dtype=np.uint8))[2])) for _, t in templates]
         self.windows = [max(1, math.ceil(SLACK * len(s))) for s in self.shingles]
         rng = np.random.default_rng(seed)
-        self.multipliers = rng.integers(1, 1 << 32, size=256, dtype=np.uint32) | np.uint32(1)
+        self.multipliers = rng.integers(1, 1 << 32, size=(256, 2), dtype=np.uint32) | np.uint32(1)
         # Windows of similar size share a class.  Its step is a power of two, at most a quarter of its window.
         sizes: dict[int, list[int]] = {}
         for t, w in enumerate(self.windows):
@@ -120,7 +120,15 @@ class Templates:
 
     def _hashed(self, shingles: np.ndarray, k: int) -> np.ndarray:
         """A permutation of 32 bits of the shingles' hashes; pairs that only share those are verified away."""
-        return (shingles >> np.uint64(32)).astype(np.uint32) * self.multipliers[k]
+        return self._permuted((shingles >> np.uint64(32)).astype(np.uint32), k)
+
+    def _permuted(self, short: np.ndarray, k: int) -> np.ndarray:
+        """Two odd products with the high bits folded into the low ones between: a product alone keeps too much order."""
+        x = short * self.multipliers[k, 0]
+        x ^= x >> np.uint32(16)
+        x *= self.multipliers[k, 1]
+        x ^= x >> np.uint32(15)
+        return x
 
     def retrieved(self, shingles: np.ndarray) -> set[tuple[int, int, int]]:
         """(template, first shingle, span) for windows that share a band.
@@ -130,7 +138,7 @@ class Templates:
         short = (shingles >> np.uint64(32)).astype(np.uint32)
         padded = np.full(-(-len(short) // self.top) * self.top, ~np.uint32(0), dtype=np.uint32)
         for k in range(max(len(bands) for _, _, bands in self.classes)):
-            np.multiply(short, self.multipliers[k], out=padded[: len(short)])
+            padded[: len(short)] = self._permuted(short, k)
             level, step = padded, 1
             for size, span, bands in self.classes:
                 if k >= len(bands):
@@ -230,7 +238,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
     schema = f"doc_id {kind}, license string, template int, containment double, first_word long, first_byte long, end_byte long"
-    return for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, schema)
+    return for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), schema)
 
 
 def _scanned(index: Templates, texts: pa.Array):
