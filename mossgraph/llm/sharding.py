@@ -3,9 +3,10 @@
 Groups (equal texts) are indivisible.  Differencing keeps partial partitions (one sum a part) and repeatedly combines the
 two with the largest spread, the large parts of one with the small parts of the other.
 
-At scale it runs in two levels.  Groups are dealt by hash into chunks, each chunk is differenced into as many bins as its
-share of ``items`` allows, and the bins of all chunks, at most ``items`` of them, are differenced into the shards on the
-driver.  A group larger than a bin should be gets a bin of its own there, as differencing does anyway.
+At scale it is a tree of levels.  Groups are dealt by hash into chunks of CHUNK_GROUPS, and each chunk is differenced into
+a sixteenth (FAN) as many bins; those are dealt out and differenced again until at most ``items`` are left, which
+are differenced into the shards on the driver.  So no task's work grows with the table.  A group larger than a bin should
+be gets a bin of its own, as differencing does anyway.
 
 Defined results: a null text has no bytes and groups with the empty text; repeated rows count as often as they occur and
 share a shard; slots run from 0 without gaps in each shard; an empty table gives an empty table.  A single group with
@@ -25,10 +26,10 @@ from .common import cut, hot_limit, numbered, shuffle_partitions, skew_safe_look
 #: Bytes that each row costs besides its text.
 ROW_BYTES = 16
 SHARDS = 40
-#: Most partial partitions that the driver combines; their bins stay below this however many groups there are.
+#: Most partial partitions that the driver combines.
 ITEMS = 32_768
-#: Groups a chunk should hold.
-CHUNK_GROUPS = 20_000
+#: Items a chunk should hold, and how many of them there are for each bin it is differenced into.
+CHUNK_GROUPS, FAN = 4_096, 16
 
 
 def differenced(sizes: list[int], parts: int) -> list[int]:
@@ -73,6 +74,20 @@ def differenced(sizes: list[int], parts: int) -> list[int]:
     return result
 
 
+def _level(items: DataFrame, key: str, total: int) -> DataFrame:
+    """items (key, bytes) with bin: the number of the bin that differencing puts each into, numbered over all chunks."""
+    chunks = max(1, -(-total // CHUNK_GROUPS))
+    bins = max(1, CHUNK_GROUPS // FAN)
+
+    def binned(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values(["bytes", "key"], ignore_index=True)
+        return pd.DataFrame({"key": chunk["key"], "bytes": chunk["bytes"], "bin": chunk["chunk"] * bins + np.asarray(differenced(chunk["bytes"].tolist(), bins), dtype="int64")})
+
+    kind = items.schema[key].dataType.simpleString()
+    dealt = items.select(F.col(key).alias("key"), "bytes", F.pmod(F.xxhash64(key), F.lit(chunks)).alias("chunk"))
+    return cut(dealt.groupBy("chunk").applyInPandas(binned, f"key {kind}, bytes long, bin long"))
+
+
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", items: int = ITEMS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     spark = docs.sparkSession
@@ -86,23 +101,19 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         )
     )
     total = rows.count()
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    chunks = int(max(1, min(items, -(-total // CHUNK_GROUPS))))
-    bins = max(1, items // chunks)
-
-    def binned(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(["bytes", "key"], ignore_index=True)
-        return chunk.assign(bin=np.asarray(differenced(chunk["bytes"].tolist(), bins), dtype="int64"))
-
-    placed = cut(
-        groups.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)))
-        .groupBy("chunk")
-        .applyInPandas(binned, "key binary, bytes long, rows long, chunk long, bin long")
-    )
-    sums = placed.groupBy("chunk", "bin").agg(F.sum("bytes").alias("bytes")).orderBy("chunk", "bin").collect()
+    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
+    levels = []
+    left, count = groups.select("key", "bytes"), groups.count()
+    while not levels or count > items:
+        levels.append(_level(left, "key", count))
+        left = cut(levels[-1].groupBy(F.col("bin").alias("key")).agg(F.sum("bytes").alias("bytes")))
+        count = left.count()
+    sums = left.orderBy("key").collect()
     shard = differenced([r["bytes"] for r in sums], shards)
-    chosen = spark.createDataFrame([(r["chunk"], r["bin"], s) for r, s in zip(sums, shard)], "chunk long, bin long, shard int")
-    table = placed.join(F.broadcast(chosen), ["chunk", "bin"]).select("key", "rows", "shard")
+    chosen = F.broadcast(spark.createDataFrame([(r["key"], s) for r, s in zip(sums, shard)], "bin long, shard int"))
+    for level in reversed(levels):
+        chosen = level.join(chosen, "bin").select(F.col("key").alias("bin"), "shard")
+    table = groups.join(chosen.withColumnRenamed("bin", "own"), F.col("key") == F.col("own")).select("key", "rows", "shard")
     parts = shuffle_partitions(spark)
     found = skew_safe_lookup(rows, table, "key", ["shard"], "rows", F.col("doc_id"), hot_limit(total, parts))
     slotted = numbered(
