@@ -1,65 +1,149 @@
 """SimHash near-deduplication by a binary trie self-join.
 
-Fingerprints within the error budget of k bits agree on at least one of k + 1 bit ranges, so they share the top of at
-least one of k + 1 tries, each with another range first.  Every trie is cut below that range into groups; a group's two
-copies are traversed together, node pair by node pair, adding up differing bits and pruning once the budget is exceeded.
-A group with very many fingerprints is cut again below its next bits into pairs of nodes whose paths still fit the budget,
-which loses no pair.  A task returns a spanning forest of what it links, never all pairs; components are then joined by
-alternating star contraction, with every round kept in the checkpoint folder.
+Fingerprints are joined in several tries, each with another range of their bits first.  In a trie, two copies of it are
+traversed together, node pair by node pair, adding up differing bits and pruning a pair once they exceed the error budget
+of its depth: none in the first bits (so equal prefixes are the groups that tasks work on), few in the bits below, the
+whole budget in the rest.  A task reads its groups one after the other from a sorted partition and returns a spanning
+forest of what they link, never all pairs; a group of very many fingerprints is dealt into chunks, and pairs of chunks
+become the groups.  Components are then joined by alternating star contraction, every round kept in the checkpoint folder.
+
+Two shapes are used.  ``CONTRACT``: 64 bits, three-word shingles, 2 errors, three tries.  Two fingerprints within 2 bits
+agree on one of three ranges, so no link is lost.  ``SIMILAR``: 256 bits over a text's different five-word shingles, which
+link when at least four fifths of the bits agree.  Texts with a Jaccard similarity of 0.8 differ in 15 % of the bits, so
+this takes them; texts that share nothing differ in half.  ``tries_for`` says how many tries that takes.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows repeat in the result;
-null identifiers count only where a component has no other; an empty table gives an empty table."""
+null identifiers count only where a component has no other; an empty table gives an empty table; other columns pass
+through ``near_dedup`` by place, whatever their names."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, for_python, hot_limit, shuffle_partitions, skew_safe_lookup
+from .common import cut, for_python, hot_limit, positional, shuffle_partitions, skew_safe_lookup, tidy
 
 BUDGET = 2
 SHINGLE = 3
 SEED = 42
 #: Shingles hashed before their bits are added up, so that one very long text needs no more memory.
 STEP = 1 << 16
-#: Fingerprints of a group from which it is cut again.
-GROUP = 1 << 15
+#: Fingerprints of a group from which it is dealt into chunks of that size; rows that a task joins at once.
+GROUP, ROWS = 1 << 15, 1 << 16
 #: Node pairs of a frontier that are held at once, and comparisons at which a node pair is compared directly.
-FRONTIER, LEAF = 1 << 18, 16
+FRONTIER, LEAF = 1 << 16, 16
+#: Accepted probability that fingerprints right at the budget of ``SIMILAR`` meet in none of its tries.
+MISS = 0.005
 
 
-def fingerprint(text: bytes | None) -> int:
-    """64 bits of a text in UTF-8, as a signed number."""
+@dataclass(frozen=True)
+class Shape:
+    """What is fingerprinted, and how fingerprints are joined."""
+
+    words: int  # of 64 bits
+    shingle: int
+    budget: int  # differing bits
+    starts: tuple[int, ...]  # the bit each trie begins with; bits follow cyclically
+    exact: int  # bits without an error
+    depth: int  # bits below them
+    near: int  # errors in those
+
+
+CONTRACT = Shape(1, SHINGLE, BUDGET, (0, 21, 42), 21, 43, BUDGET)
+WIDE, SIMILAR = 256, 51
+
+
+def tries_for(total: int, bits: int = WIDE, budget: int = SIMILAR, near: int = 2, miss: float = MISS) -> Shape:
+    """``SIMILAR`` for a number of fingerprints: prefixes long enough that a group of unrelated ones stays small, and so many
+    tries that fingerprints which differ in just ``budget`` bits meet with a probability of 1 - miss (taking tries as
+    independent, which the ranges of one fingerprint outdo); at most one trie begins at each bit."""
+    size = max(1, math.ceil(math.log2(max(2, total))))
+    exact = max(6, size - GROUP.bit_length() + 2)
+    depth = max(12, size - exact)
+    p = budget / bits
+    meets = (1 - p) ** exact * sum(math.comb(depth, k) * p**k * (1 - p) ** (depth - k) for k in range(near + 1))
+    n = min(bits, math.ceil(math.log(miss) / math.log(1 - meets)))
+    return Shape(bits // 64, 5, budget, tuple(k * bits // n for k in range(n)), exact, depth, near)
+
+
+def _digests(text: bytes | None, shingle: int) -> Iterator[tuple[bytes, int]]:
+    """Digests of a text's shingles, STEP of them at a time, and how many there are; none for no words."""
     words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     stops = np.cumsum(lengths + 1) - 1
     starts = stops - lengths
-    last = max(1, len(words) - SHINGLE + 1)
-    starts, stops = starts[:last], stops[SHINGLE - 1 :] if len(words) >= SHINGLE else stops[-1:]
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
+    last = max(1, len(words) - shingle + 1)
+    starts, stops = starts[:last], stops[shingle - 1 :] if len(words) >= shingle else stops[-1:]
+    digest = xxhash.xxh64_digest
     for k in range(0, last, STEP):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + STEP].tolist(), stops[k : k + STEP].tolist())])
+        yield b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + STEP].tolist(), stops[k : k + STEP].tolist())]), last
+
+
+def fingerprint(text: bytes | None) -> int:
+    """64 bits of a text in UTF-8, as a signed number, by the contract of the operator: repeats count, ties are 0."""
+    counts, last = np.zeros(64, dtype=np.int64), 1
+    for hashes, last in _digests(text, SHINGLE):
         counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > last).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tie (a hash of the text) and fp (a long) for every row."""
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None, shape: Shape) -> bytes:
+    """shape.words * 64 bits of a text's different shingles; a tie takes a bit of the whole set's own hash."""
+    parts = [np.frombuffer(h, dtype=">u8").astype(np.uint64) for h, _ in _digests(text, shape.shingle)]
+    if not parts:
+        return bytes(8 * shape.words)
+    found = np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
+    turns = np.arange(1, shape.words + 1, dtype=np.uint64) * _ODD
+    counts = np.zeros(64 * shape.words, dtype=np.int64)
+    for k in range(0, len(found), STEP):
+        bits = np.unpackbits(_mixed(found[k : k + STEP, None] + turns).view(np.uint8), axis=1)
+        # Eight counters of a byte at once: at most 255 rows are added up before they are read.
+        bits = np.concatenate([bits, np.zeros((-len(bits) % 255, bits.shape[1]), dtype=np.uint8)])
+        lanes = np.ascontiguousarray(bits).view(np.uint64).reshape(-1, 255, bits.shape[1] // 8).sum(axis=1, dtype=np.uint64)
+        counts += lanes.view(np.uint8).sum(axis=0, dtype=np.int64)
+    ties = np.unpackbits(_mixed(np.bitwise_xor.reduce(found) + turns).view(np.uint8))
+    return np.packbits(np.where(2 * counts == len(found), ties, 2 * counts > len(found))).tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = CONTRACT) -> DataFrame:
+    """doc_id, tie (a hash of the text), fp (the fingerprint as a long, or a hash of a wider one) and, for wider ones,
+    words (array of long) for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    wide = shape.words > 1
 
     def each(batches):
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())], ["doc_id", "tie", "fp"])
+            if not wide:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())], ["doc_id", "tie", "fp"])
+                continue
+            prints = [wide_fingerprint(t.as_py(), shape) for t in texts]
+            ids = [xxhash.xxh64_intdigest(x, SEED) for x in prints]
+            words = np.frombuffer(b"".join(prints), dtype=">i8").astype(np.int64)
+            words = pa.FixedSizeListArray.from_arrays(pa.array(words), shape.words).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), words], ["doc_id", "tie", "fp", "words"])
 
-    return for_python(docs, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, tie long, fp long")
+    schema = f"doc_id {kind}, tie long, fp long" + ", words array<long>" * wide
+    return for_python(docs, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), schema)
 
 
 class Forest:
@@ -83,14 +167,16 @@ class Forest:
             self.label = parent[self.label]
 
 
-def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, words: np.ndarray | None = None, shape: Shape = CONTRACT) -> np.ndarray:
     """Labels of rows that are sorted by (group, side, key): rows linked through pairs within the budget share one.
 
-    groups with a side 1 join side 0 with side 1, others join with themselves."""
+    keys are the first 64 bits in the trie's order, words (a row each) all bits.  Groups with a side 1 join side 0 with
+    side 1, others join with themselves.  A group's keys agree on their exact bits."""
     n = len(keys)
     forest = Forest(n)
     if n < 2:
         return forest.label
+    words = keys[:, None] if words is None else words
     turn = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     stop = np.r_[turn[1:], n]
     crossed = np.add.reduceat(sides.astype(np.int64), turn)
@@ -99,7 +185,9 @@ def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, budget:
     lo2, hi2 = np.where(two, split, turn), stop
     hi1 = np.where(two, split, stop)
     live = np.where(two, (hi1 > turn) & (hi2 > lo2), hi1 - turn > 1)
-    stack = [(64, np.stack([turn, hi1, lo2, hi2, np.full(len(turn), budget)])[:, live])]
+    top, eased = 64 - shape.exact, 64 - shape.exact - shape.depth
+    stack = [(top, np.stack([turn, hi1, lo2, hi2, np.full(len(turn), shape.near)])[:, live])]
+    ones: dict[int, np.ndarray] = {}
     while stack:
         depth, front = stack.pop()
         if front.shape[1] > FRONTIER:
@@ -122,14 +210,20 @@ def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, budget:
                 inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 a = f1[part][owner] + inside // wide[owner]
                 b = f2[part][owner] + inside % wide[owner]
-                near = (a != b) & (np.bitwise_count(keys[a] ^ keys[b]) <= budget)
+                other = a != b
+                a, b = a[other], b[other]
+                near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= shape.budget
                 forest.link(a[near], b[near])
             front = front[:, ~small]
             lo1, hi1, lo2, hi2, left = front
         if not front.shape[1]:
             continue
-        ones = np.r_[0, np.cumsum((keys >> np.uint64(depth - 1)) & np.uint64(1))].astype(np.int64)
-        m1, m2 = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2])
+        if depth == eased:  # the bits below share the whole budget
+            left = left + (shape.budget - shape.near)
+        if depth not in ones:
+            ones[depth] = np.r_[0, np.cumsum((keys >> np.uint64(depth - 1)) & np.uint64(1))].astype(np.int64)
+        set_ = ones[depth]
+        m1, m2 = hi1 - (set_[hi1] - set_[lo1]), hi2 - (set_[hi2] - set_[lo2])
         same = lo1 == lo2
         nexts = [
             np.stack([lo1, m1, lo2, m2, left]),
@@ -143,63 +237,85 @@ def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, budget:
     return forest.label
 
 
-def masks(bits: int, budget: int) -> list[int]:
-    """Every difference of at most budget of the bits."""
-    out = {0}
-    for _ in range(budget):
-        out |= {m | (1 << b) for m in out for b in range(bits)}
-    return sorted(m for m in out if bin(m).count("1") <= budget)
-
-
-def links(prints: DataFrame, total: int, budget: int = BUDGET) -> DataFrame:
-    """Edges (fp, root) that connect the fingerprints within the budget.  prints: distinct fp."""
-    width = 64 // (budget + 1)  # ranges that don't overlap: k differing bits leave one of k + 1 as it is
-    group = max(GROUP, (budget + 1) * total // 4096)
-    turned = []
-    for band in range(budget + 1):
-        by = width * band
-        key = F.col("fp") if not by else F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by))
-        turned.append(F.struct(F.lit(band).alias("band"), key.alias("key")))
-    rows = prints.select("fp", F.inline(F.array(*turned))).withColumn("top", F.shiftrightunsigned("key", 64 - width))
-    # At most 4096 groups are this large, by counting.
-    large = F.broadcast(rows.groupBy("band", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group))
-    cut_bits = F.least(F.lit(12), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") / group)))).cast("int") + 3
-    deep = masks(15, budget)
-    rows = rows.join(large, ["band", "top"], "left").withColumn("bits", F.when(F.col("n").isNull(), F.lit(0)).otherwise(cut_bits))
-    node = F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(shiftleft(key, {width}), 64 - greatest(bits, 1))"))
-    rows = rows.withColumn("node", node).withColumn("mask", F.explode(F.expr(f"CASE WHEN bits = 0 THEN array(0L) ELSE filter(array({', '.join(f'{m}L' for m in deep)}), m -> m < shiftleft(1L, bits)) END")))
-    other = F.col("node").bitwiseXOR(F.col("mask"))
-    rows = rows.select("band", "top", F.least("node", other).alias("node_a"), F.greatest("node", other).alias("node_b"), (F.col("node") > other).cast("int").alias("side"), "key", "fp")
-
-    def joined(frames):
-        parts = [f for f in frames if len(f)]
-        if not parts:
-            return
-        frame = pd.concat(parts, ignore_index=True)
-        names = ["band", "top", "node_a", "node_b"]
-        keys = frame["key"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.lexsort([keys, frame["side"], *[frame[c] for c in reversed(names)]])
-        frame, keys = frame.take(order), keys[order]
-        by = frame[names].to_numpy()
-        groups = np.cumsum(np.r_[False, (by[1:] != by[:-1]).any(axis=1)])
-        prints_ = frame["fp"].to_numpy()
-        label = trie_forest(groups, frame["side"].to_numpy(), keys, budget)
-        moved = label != np.arange(len(label))
-        if moved.any():
-            yield pd.DataFrame({"u": prints_[moved], "v": prints_[label[moved]]})
-
-    dealt = rows.repartition("band", "top", "node_a", "node_b")
-    return dealt.mapInPandas(joined, "u long, v long").where("u != v").distinct()
-
-
-def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: root is the smallest node of the component.  Alternating star contraction until nothing changes."""
+def keys_of(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits of each row of words, cyclically from its start."""
+    n = words.shape[1]
+    word, turn = starts // 64, (starts % 64).astype(np.uint64)
+    rows = np.arange(len(words))
+    high, low = words[rows, word % n], words[rows, (word + 1) % n]
+    return np.where(turn == 0, high, (high << turn) | (low >> (np.uint64(64) - np.maximum(turn, np.uint64(1)))))
+
+
+def _linked(columns: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (fp, fp) of whole groups: trie, prefix, low, high, side, fp, words."""
+    trie, prefix, low, high, side, fp, *words = columns
+    words = np.stack(words, axis=1).view(np.uint64)
+    keys = keys_of(words, np.asarray(shape.starts)[trie])
+    order = np.lexsort([keys, side, high, low, prefix, trie])
+    by = np.stack([trie, prefix, low, high])[:, order]
+    groups = np.cumsum(np.r_[False, (by[:, 1:] != by[:, :-1]).any(axis=0)])
+    label = trie_forest(groups, side[order], keys[order], words[order], shape)
+    moved = label != np.arange(len(label))
+    names = fp[order]
+    return names[moved], names[label[moved]]
+
+
+def links(prints: DataFrame, shape: Shape = CONTRACT) -> DataFrame:
+    """Edges (u, v) that connect the fingerprints within the budget.  prints: distinct fp, and words if they are wider."""
+    words = [F.col("words")[k] for k in range(shape.words)] if shape.words > 1 else [F.col("fp")]
+    names = [f"w{k}" for k in range(shape.words)]
+
+    def prefix(start: int):
+        word, turn = start // 64, start % 64
+        key = words[word] if not turn else F.shiftleft(words[word], turn).bitwiseOR(F.shiftrightunsigned(words[(word + 1) % shape.words], 64 - turn))
+        return F.shiftrightunsigned(key, 64 - shape.exact)
+
+    opened = F.inline(F.array(*[F.struct(F.lit(t).alias("trie"), prefix(s).alias("prefix")) for t, s in enumerate(shape.starts)]))
+    rows = prints.select("fp", *[w.alias(n) for w, n in zip(words, names)], opened)
+    # By counting, at most a row for each GROUP rows; where there is none the join costs nothing.
+    large = rows.groupBy("trie", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).withColumn("chunks", F.ceil(F.col("n") / GROUP).cast("int"))
+    rows = rows.join(F.broadcast(large.drop("n")), ["trie", "prefix"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("trie", "prefix", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", *names)
+    by = ["trie", "prefix", "low", "high"]
+
+    def joined(batches):
+        held, n = [], 0
+
+        def edges(u, v):
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n < ROWS:
+                continue
+            whole = [np.concatenate(c) for c in zip(*held)]
+            turn = np.flatnonzero(np.any([c[1:] != c[:-1] for c in whole[:4]], axis=0))
+            if not len(turn):
+                held = [whole]  # one group so far; it has no more than twice GROUP rows
+                continue
+            stop = int(turn[-1]) + 1
+            yield edges(*_linked([c[:stop] for c in whole], shape))
+            held, n = [[c[stop:].copy() for c in whole]], len(whole[0]) - stop
+        if n:
+            yield edges(*_linked([np.concatenate(c) for c in zip(*held)], shape))
+
+    dealt = rows.repartition(*by).sortWithinPartitions(*by)
+    return for_python(dealt, F.col("*")).mapInArrow(tidy(joined), "u long, v long").where("u != v").distinct()
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """node, root: root is the smallest node of the component.  Alternating star contraction until nothing changes, which
+    takes a number of rounds in the order of the squared logarithm of the nodes."""
 
     def smallest(directed: DataFrame) -> DataFrame:
         return directed.groupBy("u").agg(F.min("v").alias("m"))
 
     edges, seen = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = smallest(both).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -210,38 +326,40 @@ def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """doc_id, tie, fp, root, component_id and n_links (other fingerprints in its component) for every row."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = CONTRACT) -> DataFrame:
+    """doc_id, tie, fp, root, component_id and n_links (other fingerprints in its component) for every row.
+
+    Without a shape, ``tries_for`` chooses it by the number of different fingerprints."""
     spark = docs.sparkSession
-    rows = cut(fingerprints(docs, id_col, text_col))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-    roots = stars(links(prints.select("fp"), prints.count(), budget))
+    rows = cut(fingerprints(docs, id_col, text_col, shape or tries_for(1)))
+    wide = [F.first("words").alias("words")] if "words" in rows.columns else []
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *wide))
+    total, parts = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first(), shuffle_partitions(spark)
+    roots = stars(links(prints.drop("first_id", "n"), shape or tries_for(total[0])))
     rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("prints"))
     table = rooted.join(whole, "root", "left").select("fp", "n", "root", "component_id", (F.col("prints") - 1).alias("n_links"))
-    return skew_safe_lookup(rows, table, "fp", ["root", "component_id", "n_links"], "n", F.col("doc_id"), hot_limit(rows.count(), shuffle_partitions(spark)))
+    return skew_safe_lookup(rows.drop("words"), table, "fp", ["root", "component_id", "n_links"], "n", F.col("doc_id"), hot_limit(total[1], parts))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """doc_id, fingerprint, component_id and n_links for every row."""
-    found = components(docs, id_col, text_col, budget)
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id and n_links for every row, by the operator's contract."""
+    found = components(docs, id_col, text_col)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None) -> DataFrame:
     """The rows of docs, whole, that stay: of each component the document with the smallest identifier (of documents with
     that same identifier the one whose text has the smallest hash; repeated rows of it stay together)."""
-    return staying(docs, cut(components(docs, id_col, text_col, budget).select("doc_id", "tie", "root", "component_id")), id_col, text_col)
-
-
-def staying(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs that stay.  found: doc_id, tie, root and component_id of every row, kept already."""
+    moved, names = positional(docs)
+    place = {n: f"c{k}" for k, n in enumerate(names)}
+    found = cut(components(moved, place[id_col], place[text_col], shape).select("doc_id", "tie", "root", "component_id"))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("tie").alias("kept_tie"), F.count_distinct("tie").alias("ties"))
     several = first.where("ties > 1").select(F.col("root").alias("s_root"), "kept_tie")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     late = found.where(~stays).unionByName(found.where(stays).join(several, F.col("root") == F.col("s_root")).where("tie != kept_tie").select(found.columns))
     gone = late.select(F.col("doc_id").alias("__gone_id"), F.col("tie").alias("__gone_tie")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text_col) == F.col("__gone_tie")), "left_anti")
+    kept = moved.join(gone, F.col(place[id_col]).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(place[text_col]) == F.col("__gone_tie")), "left_anti")
+    return kept.toDF(*names)
