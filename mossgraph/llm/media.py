@@ -4,7 +4,7 @@ Lookup tables (computed from the G.711 rules) expand the companded codes; ADPCM
 with numpy across all blocks of a batch; PCM is resampled and stored as 16-bit samples in a WAV container.
 
 Defined results: a null text counts as empty; the payload is never empty; equal texts give equal values; repeated rows
-repeat; very long texts are stored whole; an empty table gives an empty table."""
+repeat; very long texts are stored whole and described slice by slice; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -14,18 +14,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python
+from .common import for_python, tidy
 
 RATE, TARGET_RATE = 8_000, 16_000
 #: Bytes to which a payload is padded with 255: also one ADPCM block.
 UNIT = 576
 #: Codec numbers of the WAV format, fixed values.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
-#: Bytes of payload that are processed at once.
-SLICE = 4 << 20
+#: Bytes of payload that are processed at once (whole blocks), and texts' bytes that are taken together.
+SLICE, TOGETHER = 2048 * UNIT, 2 << 20
 
 
 def mu_law_table() -> np.ndarray:
@@ -130,8 +131,44 @@ def payload_of(text: bytes, unit: int = UNIT) -> bytes:
     return text + b"\xff" * (max(unit, -(-len(text) // unit) * unit) - len(text))
 
 
+def _described(text: bytes, stored: bytes, keep_audio: bool) -> dict:
+    """What a stored file's bytes are and sound like, read back SLICE by SLICE, so that a long one needs no large arrays."""
+    _, _, back = read_wav(stored)
+    back, mu, al = memoryview(back), mu_law_table(), a_law_table()
+    sums, turns, crc, last, pcm = np.zeros(3), 0, 0, None, []
+    for at in range(0, len(back), SLICE):
+        codes = np.frombuffer(back[at : at + SLICE], dtype=np.uint8)
+        linear = mu[codes]
+        sums += [_power(linear), _power(al[codes]), _power(decode_ima(codes.reshape(-1, UNIT)))]
+        signs = linear < 0
+        turns += int(np.count_nonzero(signs[1:] != signs[:-1])) + int(last is not None and signs[0] != last)
+        last = signs[-1]
+        beyond = mu[np.frombuffer(back[at + SLICE : at + SLICE + 1], dtype=np.uint8)]
+        part = resampled(np.r_[linear, beyond])[: 2 * len(linear)].tobytes()
+        crc = zlib.crc32(part, crc)
+        if keep_audio:
+            pcm.append(part)
+    n = len(back)
+    rms = np.sqrt(sums / [n, n, n // UNIT * (1 + 2 * (UNIT - 4))])
+    return {
+        "n_bytes": len(text),
+        "payload_bytes": n,
+        "payload_sha256": hashlib.sha256(back).hexdigest(),
+        "tail_crc32": zlib.crc32(back[-32:]),
+        "media_bytes": len(stored),
+        "media_sha256": hashlib.sha256(stored).hexdigest(),
+        "feature": f"mulaw_rms={rms[0]:.3f};alaw_rms={rms[1]:.3f};ima_rms={rms[2]:.3f};turns={turns};pcm16k_bytes={4 * n};pcm16k_crc32={crc:08x}",
+    } | ({"media": stored, "pcm": wav(b"".join(pcm), PCM, TARGET_RATE, 16, 2)} if keep_audio else {})
+
+
+def _power(samples: np.ndarray) -> float:
+    return float((samples.astype(np.int64) ** 2).sum())
+
+
 def telephony_rows(texts: list[bytes], keep_audio: bool) -> list[dict]:
-    """Store each text as mu-law samples, read them back, and describe what all three codecs make of them."""
+    """Store each text as mu-law samples, read them back, and describe what all three codecs make of them.
+
+    ADPCM blocks of short texts are decoded together, since decoding goes sample by sample across all blocks at hand."""
     mu, al = mu_law_table(), a_law_table()
     stored = [wav(payload_of(t), MU_LAW, RATE, 8, 1) for t in texts]
     back = [read_wav(s)[2] for s in stored]
@@ -139,26 +176,26 @@ def telephony_rows(texts: list[bytes], keep_audio: bool) -> list[dict]:
     codes = np.frombuffer(b"".join(back), dtype=np.uint8)
     starts = np.cumsum(lengths) - lengths
     linear, other = mu[codes], al[codes]
-    mean = lambda x: np.add.reduceat(x, starts) / lengths
-    power = mean(linear.astype(np.int64) ** 2), mean(other.astype(np.int64) ** 2)
+    power = [np.add.reduceat(x.astype(np.int64) ** 2, starts).astype(float) for x in (linear, other)]
     turns = np.r_[(linear[1:] < 0) != (linear[:-1] < 0), False]
     turns[starts[1:] - 1] = False
     turns = np.add.reduceat(turns.astype(np.int64), starts)
-    adpcm = decode_ima(codes.reshape(-1, UNIT)).astype(np.int64)
-    block_power = (adpcm**2).sum(axis=1)
-    adpcm_power = np.add.reduceat(block_power, starts // UNIT) / (lengths // UNIT * adpcm.shape[1])
+    block_power = (decode_ima(codes.reshape(-1, UNIT)).astype(np.int64) ** 2).sum(axis=1)
+    power.append(np.add.reduceat(block_power, starts // UNIT).astype(float))
     out = []
     for k, text in enumerate(texts):
-        pcm = resampled(linear[starts[k] : starts[k] + lengths[k]]).tobytes()
+        n = int(lengths[k])
+        rms = np.sqrt(np.array([p[k] for p in power]) / [n, n, n // UNIT * (1 + 2 * (UNIT - 4))])
+        pcm = resampled(linear[starts[k] : starts[k] + n]).tobytes()
         out.append(
             {
                 "n_bytes": len(text),
-                "payload_bytes": len(back[k]),
+                "payload_bytes": n,
                 "payload_sha256": hashlib.sha256(back[k]).hexdigest(),
                 "tail_crc32": zlib.crc32(back[k][-32:]),
                 "media_bytes": len(stored[k]),
                 "media_sha256": hashlib.sha256(stored[k]).hexdigest(),
-                "feature": f"mulaw_rms={power[0][k] ** 0.5:.3f};alaw_rms={power[1][k] ** 0.5:.3f};ima_rms={adpcm_power[k] ** 0.5:.3f};turns={turns[k]};pcm16k_bytes={len(pcm)};pcm16k_crc32={zlib.crc32(pcm):08x}",
+                "feature": f"mulaw_rms={rms[0]:.3f};alaw_rms={rms[1]:.3f};ima_rms={rms[2]:.3f};turns={turns[k]};pcm16k_bytes={len(pcm)};pcm16k_crc32={zlib.crc32(pcm):08x}",
             }
             | ({"media": stored[k], "pcm": wav(pcm, PCM, TARGET_RATE, 16, 2)} if keep_audio else {})
         )
@@ -176,15 +213,17 @@ def telephony_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def each(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() + [TOGETHER]
             start, held, used = 0, [], 0
             for k in range(len(texts)):
                 held.append(texts[k].as_py() or b"")
-                used += len(held[-1])
-                if used >= SLICE or k + 1 == len(texts):
-                    rows = telephony_rows(held, keep_audio)
+                used += sizes[k]
+                if used + sizes[k + 1] >= TOGETHER:
+                    alone = len(held) == 1 and used >= TOGETHER
+                    rows = [_described(held[0], wav(payload_of(held[0]), MU_LAW, RATE, 8, 1), keep_audio)] if alone else telephony_rows(held, keep_audio)
                     yield pa.RecordBatch.from_arrays([ids.slice(start, len(held)), *[pa.array([r[f] for r in rows], t) for f, t in fields.items()]], ["doc_id", *fields])
                     start, held, used = k + 1, [], 0
 
     names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     schema = ", ".join([f"doc_id {kind}", *[f"{f} {names[t]}" for f, t in fields.items()]])
-    return for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, schema)
+    return for_python(docs, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), schema)
