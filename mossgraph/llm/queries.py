@@ -6,6 +6,7 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat_format, exact_dedup, license_scan, media, mixing, sharding, simhash, toxicity, url_filter
 
@@ -15,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than cores (a small table in one file), dealt out; larger scans stay as they are."""
+    """A scan, dealt out if it keeps fewer tasks busy than there are cores, before work that Python does.
+
+    Partitions of a scan are byte ranges of files, and all rows of a row group go to the range that holds its middle; so a
+    small table is counted by its rows: those in its fullest partition are what the slowest task would have to do."""
     n = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+    if scan.rdd.getNumPartitions() > 4 * n:
+        return scan
+    held = [r["count"] for r in scan.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    return scan.repartition(n) if held and (len(held) < n or max(held) > 2 * sum(held) / n) else scan
 
 
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
