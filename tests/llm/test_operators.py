@@ -79,6 +79,21 @@ def test_exact_dedup_hot_group_and_clashing_columns(spark):
 # -- mixing
 
 
+def brute_targets(sizes, weights, total):
+    """Shares by weight; what a share has above twice its size goes to the others, until none is above."""
+    target, open_, left = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s > 0}, float(total)
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        above = {i for i in open_ if unit * weights[i] > 2 * sizes[i]}
+        if not above:
+            return [unit * weights[i] if i in open_ else t for i, t in enumerate(target)]
+        for i in above:
+            target[i] = 2.0 * sizes[i]
+            left -= target[i]
+        open_ -= above
+    return target
+
+
 def check_mix(frame, out, block):
     rows = frame.collect()
     sizes = Counter()
@@ -87,7 +102,7 @@ def check_mix(frame, out, block):
     assert Counter((r["doc_id"], len(words(r["text"]))) for r in rows) == Counter((r["doc_id"], r["size"]) for r in out)
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    target = mixing.water_filled([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()))
+    target = brute_targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()))
     assert sum(target) == pytest.approx(1.5 * sum(sizes.values()))
     by = {(size, t): 0 for s, t in zip(order, target) for size in [sizes[s]]}
     for r in out:
@@ -107,6 +122,18 @@ def test_mix_report(docs, odd, none):
     assert mixing.mix_report(none).count() == 0
 
 
+def test_mix_in_groups_of_sources(spark, monkeypatch):
+    """More sources than a task draws and than are broadcast, one of them with a third of the rows."""
+    rows = [(i, "w " * (1 + i % 40), None if i % 3 == 0 else f"s{i % 90:02d}") for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = sorted(map(tuple, mixing.mix_report(frame, 16).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 7)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    out = mixing.mix_report(frame, 16).collect()
+    check_mix(frame, out, 32)
+    assert [r[:4] for r in sorted(map(tuple, out))] == [r[:4] for r in whole]
+
+
 def test_mix_documents_takes_what_the_report_says(docs, odd, none):
     for frame, block in ((docs, 32), (odd.where("doc_id != 9 or text != 'one'").dropDuplicates(), 16)):
         report = {r["doc_id"]: r["taken"] for r in mixing.mix_report(frame, block).collect() if r["taken"]}
@@ -127,7 +154,7 @@ def test_permutations_and_draws():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
         assert sorted(mixing.permuted(np.arange(n), n, [1, n]).tolist()) == list(range(n))
     for slots in ([5, 0, 7], [1], [1000, 3, 999, 12], [0, 0]):
-        counts = mixing.drawn(slots, 8)
+        counts = mixing.drawn(slots, mixing.even(sum(slots), 8), [1])
         assert counts.min() >= 0 and counts.sum(axis=0).tolist() == slots
         assert np.ptp(counts.sum(axis=1)) <= 1
 
@@ -253,10 +280,11 @@ def test_trie_links_every_pair(spark, monkeypatch):
     prints |= {int(seeds[0]) ^ (1 << b) for b in range(20)}
     want = {frozenset(g) for g in _groups(brute_components(prints))}
     signed = lambda p: p - (1 << 64) if p >> 63 else p
-    for limit in (simhash.GROUP, 8):
+    for limit, rows in ((simhash.GROUP, simhash.ROWS), (8, 50)):
         monkeypatch.setattr(simhash, "GROUP", limit)
+        monkeypatch.setattr(simhash, "ROWS", rows)
         frame = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-        found = {p: p for p in map(signed, prints)} | {r["node"]: r["root"] for r in simhash.stars(simhash.links(frame, len(prints))).collect()}
+        found = {p: p for p in map(signed, prints)} | {r["node"]: r["root"] for r in simhash.stars(simhash.links(frame)).collect()}
         assert {frozenset(x % (1 << 64) for x in g) for g in _groups(found)} == want
 
 
@@ -267,14 +295,128 @@ def _groups(roots):
     return out.values()
 
 
-def test_near_dedup_keeps_one_of_each_component(spark, docs, odd):
-    for frame in (docs, odd.where("doc_id is null or doc_id not in (5, 6)")):
-        component = {}
-        for r in simhash.simhash_components(frame).collect():
-            component.setdefault(r["component_id"], set()).add(r["doc_id"])
-        kept = simhash.near_dedup(frame)
-        assert kept.columns == frame.columns
-        assert {r["doc_id"] for r in kept.collect()} == set(component)
+def brute_wide(text):
+    """256 bits of the different five-word shingles, bit by bit."""
+    parts = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not parts:
+        return 0
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    def stretched(h):  # bytes of each word lowest first, bits of a byte highest first
+        return "".join(f"{byte:08b}" for k in range(1, 5) for byte in mixed((h + k * 0x9E3779B97F4A7C15) & mask).to_bytes(8, "little"))
+
+    hashes = {xxhash.xxh64_intdigest(" ".join(parts[i : i + 5]).encode(), 42) for i in range(max(1, len(parts) - 4))}
+    whole = 0
+    for h in hashes:
+        whole ^= h
+    rows, ties = [stretched(h) for h in hashes], stretched(whole)
+    bits = ""
+    for k in range(256):
+        n = sum(r[k] == "1" for r in rows)
+        bits += ties[k] if 2 * n == len(rows) else "01"[2 * n > len(rows)]
+    return int(bits, 2)
+
+
+def brute_near(rows):
+    """Identifiers that stay: the smallest of each component of fingerprints that differ in at most 51 of 256 bits."""
+    prints = {}
+    for i, t in rows:
+        prints.setdefault(brute_wide(t), []).append(i)
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in itertools.combinations(sorted(root), 2):
+        if bin(a ^ b).count("1") <= 51:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for p, ids in prints.items():
+        groups[find(p)] += [i for i in ids if i is not None] or [None]
+    return sorted(min([i for i in ids if i is not None], default=None) for ids in groups.values())
+
+
+def near_texts():
+    """Chains of texts with more and more words changed, copies, and texts of few words."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(12):
+        texts.append([f"w{x}" for x in rng.integers(0, 5_000, 120)])
+        for edits in (1, 2, 3, 6, 12, 30):
+            changed = list(texts[-1])
+            for at in rng.choice(120, edits, replace=False):
+                changed[at] = "new" + str(rng.integers(1_000_000))
+            texts.append(changed)
+    return [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, "few words"), (901, "few words here"), (902, ""), (903, None), (904, "a b c d e f"), (905, "a b c d e g"), (906, texts and " ".join(texts[0]))]
+
+
+def jaccard(a, b):
+    sets = [{tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_dedup_like_all_pairs(spark, docs, monkeypatch):
+    """Every pair of fingerprints within the budget is linked, texts as similar as 0.8 are, and unlike ones never."""
+    rows = near_texts()
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame in (made, docs.select("doc_id", "text")):
+        own = [tuple(r) for r in frame.collect()]
+        want = brute_near(own)
+        for limit, size in ((simhash.GROUP, simhash.ROWS), (16, 100)) if frame is made else ((simhash.GROUP, simhash.ROWS),):
+            monkeypatch.setattr(simhash, "GROUP", limit)
+            monkeypatch.setattr(simhash, "ROWS", size)
+            assert sorted(r["doc_id"] for r in simhash.near_dedup(frame).collect()) == want
+    found = {r["doc_id"]: r["root"] for r in simhash.components(made, shape=None).collect()}
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        similar = jaccard(x, y)
+        if similar >= 0.8:
+            assert found[a] == found[b]
+        if similar == 0:
+            assert not (a // 7 != b // 7 and found[a] == found[b])
+    long = [(1, LONG), (2, LONG + " end"), (3, "other " * 50_000)]
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(long, "doc_id long, text string")).collect()) == [1, 3]
+    step = simhash.STEP
+    try:
+        whole = simhash.wide_fingerprint(rows[0][1].encode(), simhash.tries_for(1))
+        simhash.STEP = 7
+        assert simhash.wide_fingerprint(rows[0][1].encode(), simhash.tries_for(1)) == whole
+        assert int.from_bytes(whole, "big") == brute_wide(rows[0][1])
+    finally:
+        simhash.STEP = step
+
+
+def test_tries_find_pairs_at_the_budget():
+    """Of fingerprints that differ in just as many bits as allowed, no more than the accepted share is missed."""
+    rng = np.random.default_rng(8)
+    for total in (1_000, 1_000_000):
+        shape = simhash.tries_for(total)
+        base = rng.integers(0, 1 << 64, size=(3_000, 4), dtype=np.uint64)
+        bits = np.unpackbits(base.view(np.uint8), axis=1)
+        for row in bits:
+            row[rng.choice(256, simhash.SIMILAR, replace=False)] ^= 1
+        other = np.packbits(bits, axis=1).view(np.uint64)
+        met = np.zeros(len(base), dtype=bool)
+        for start in shape.starts:
+            apart = np.bitwise_xor(*(simhash.keys_of(x, np.full(len(x), start)) for x in (base, other)))
+            exact = apart >> np.uint64(64 - shape.exact) == 0
+            met |= exact & (np.bitwise_count(apart >> np.uint64(64 - shape.exact - shape.depth)) <= shape.near)
+        assert (~met).mean() <= 2 * simhash.MISS
+
+
+def test_near_dedup_odd_input(odd, none):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    kept = simhash.near_dedup(odd).collect()
+    want = brute_near([r for r in rows if r[0] not in (5, 6)]) + [5]
+    assert sorted({r["doc_id"] for r in kept}, key=str) == sorted(set(want), key=str)
+    assert simhash.near_dedup(none).count() == 0 and simhash.near_dedup(none).columns == none.columns
 
 
 # -- media
@@ -318,6 +460,15 @@ def test_media_round_trip(docs, odd, none):
     assert media.telephony_columns(none).count() == 0
 
 
+def test_media_slices_like_whole_texts(monkeypatch):
+    text = "ü1 x\n" * 5_000
+    data = text.encode()
+    for size in (media.UNIT, 7 * media.UNIT):
+        monkeypatch.setattr(media, "SLICE", size)
+        one = media._described(data, media.wav(media.payload_of(data), media.MU_LAW, media.RATE, 8, 1), True)
+        assert one == media.telephony_rows([data], True)[0]
+
+
 # -- URL filter
 
 
@@ -347,6 +498,27 @@ def test_url_filter(spark, sf):
 # -- sharding
 
 
+def brute_differencing(sizes, parts):
+    """Largest differencing with whole vectors of sums."""
+    states = [[0] * (parts - 1) + [s] for s in sizes]
+    while len(states) > 1:
+        states.sort(key=lambda v: v[-1] - v[0])
+        a, b = states.pop(), states.pop()
+        states.append(sorted(x + y for x, y in zip(a, reversed(b))))
+    return states[0]
+
+
+def test_differencing_like_whole_vectors():
+    rng = np.random.default_rng(12)
+    for parts in (2, 3, 7):
+        for _ in range(30):
+            sizes = rng.choice(10**9, size=int(rng.integers(1, 40)), replace=False).tolist()
+            found = sharding.differenced(sizes, parts)
+            sums = sorted(sum(s for s, p in zip(sizes, found) if p == k) for k in range(parts))
+            want = brute_differencing(sizes, parts)
+            assert [s - sums[0] for s in sums] == [s - want[0] for s in want]
+
+
 def test_differencing_is_tight():
     assert sorted(Counter(sharding.differenced([8, 7, 6, 5, 4], 2)).values()) == [2, 3]
     parts = sharding.differenced([8, 7, 6, 5, 4], 2)
@@ -363,8 +535,8 @@ def test_differencing_is_tight():
 
 
 def test_sharding(docs, odd, none, monkeypatch):
-    for frame, items in ((docs, sharding.ITEMS), (docs, 100), (odd, 5)):
-        monkeypatch.setattr(sharding, "CHUNK_GROUPS", 30)
+    for frame, items, chunk in ((docs, sharding.ITEMS, sharding.CHUNK_GROUPS), (docs, 100, 32), (docs, 8, 32), (odd, 5, 30)):
+        monkeypatch.setattr(sharding, "CHUNK_GROUPS", chunk)
         out = sharding.balanced_shards(frame, items=items).collect()
         want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in frame.collect())
         assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
@@ -381,11 +553,19 @@ def test_sharding(docs, odd, none, monkeypatch):
 # -- licenses
 
 
+def word_shingles(text):
+    parts = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
+    return [tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))] if parts else []
+
+
 def brute_licenses(text, index):
-    hashes = license_scan.shingled(license_scan.words(np.frombuffer((text or "").encode(), dtype=np.uint8))[2])
-    out = {}
-    for t, wanted in enumerate(index.shingles):
-        best = max((len(set(hashes[k : k + index.windows[t]].tolist()) & set(wanted.tolist())) for k in range(len(hashes))), default=0) / len(wanted)
+    """By the words themselves, no hashes."""
+    found, out = word_shingles(text), {}
+    for t, (_, template) in enumerate(license_scan.TEMPLATES):
+        wanted = set(word_shingles(template))
+        if not wanted & set(found):
+            continue
+        best = max((len(set(found[k : k + index.windows[t]]) & wanted) for k in range(len(found))), default=0) / len(wanted)
         if best >= license_scan.CONTAINED:
             out[t] = best
     return out
@@ -438,6 +618,94 @@ def test_block_max_index_is_exact(spark):
         assert [g[0] for g in got] == pytest.approx([w[0] for w in want], abs=1e-9)
 
 
+def brute_toxicity(docs, labels):
+    """Scores of (doc_id, text) rows by the definition, with every cosine computed."""
+    out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None and not out_of(i):
+            known[i] = max(known.get(i, 0), int(y > 0))
+    sizes = Counter(known.values())
+    single = {}
+    for i, text in docs:
+        if i in known:
+            single[i] = min(single.get(i, text or ""), text or "")
+    by_text = {}
+    for i, text in single.items():
+        j, y = by_text.get(text, (i, 0))
+        by_text[text] = (min(i, j), max(y, known[i]))
+    rows = sorted((i, y, text) for text, (i, y) in by_text.items())
+    n, n1 = len(rows), sum(y for _, y, _ in rows)
+    n0 = n - n1
+    if not n1 or not n0:
+        return [float(n1 > 0)] * len(docs)
+    bags = [toxicity.terms_of(text) for _, _, text in rows]
+    a, b = Counter(), Counter()
+    for bag, (_, y, _) in zip(bags, rows):
+        (a if y else b).update(bag.keys())
+    every = set(a) | set(b)
+    g = lambda seen, r, c: seen * np.log(seen * n / (r * c)) if seen else 0.0
+    ratio = {t: 2 * (g(a[t], a[t] + b[t], n1) + g(b[t], a[t] + b[t], n0) + g(n1 - a[t], n - a[t] - b[t], n1) + g(n0 - b[t], n - a[t] - b[t], n0)) for t in every}
+    terms = sorted(t for t in every if ratio[t] >= 2 * np.log(max(2, len(every))) and a[t] + b[t] < n)
+    df = Counter()
+    for _, text in docs:
+        df.update(toxicity.terms_of(text).keys() & set(terms))
+    idf = np.array([np.log((1 + len(docs)) / (1 + df[t])) + 1 for t in terms])
+
+    def vector(bag):
+        v = np.array([1 + np.log(bag[t]) if bag[t] else 0.0 for t in terms]) * idf
+        return v / np.sqrt((v**2).sum()) if v.any() else v
+
+    vectors = [vector(bag) for bag in bags]
+    placed = sorted((k for k in range(n) if vectors[k].any()), key=lambda k: (int(np.argmax(vectors[k])), rows[k][1], rows[k][0]))
+    matrix, y = np.array([vectors[k] for k in placed]).reshape(len(placed), len(terms)), np.array([rows[k][1] for k in placed])
+    weight = {1: sizes[1] / n1, 0: sizes[0] / n0}
+    all_ = sum(weight[r[1]] for r in rows)
+    prior = sum(weight[1] for r in rows if r[1]) / all_
+    rest = [rows[k][1] for k in range(n) if k not in set(placed)]
+    without = (sum(weight[1] for v in rest if v) + prior) / (sum(weight[v] for v in rest) + 1)
+    w = np.array([weight[v] for v in y])
+    w = w / w.mean() if len(w) else w
+
+    def vote(v, skip=-1):
+        near = sorted(((-round(float(c), 12), e) for e, c in enumerate(matrix @ v) if c > 0 and e != skip))[:15]
+        shares = [(w[e] / (0.05 + max(0.0, 1 + c)), y[e]) for c, e in near]
+        return (prior + sum(s * v for s, v in shares)) / (1 + sum(s for s, _ in shares))
+
+    points = defaultdict(lambda: [0.0, 0.0])
+    for e in range(len(placed)):
+        p = points[vote(matrix[e], e)]
+        p[0] += w[e] * y[e]
+        p[1] += w[e]
+    pools = []
+    for x in sorted(points):
+        pools.append([*points[x], x, x])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            s, t, _, high = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + t, pools[-1][2], high]
+    xs, ys = [x for p in pools for x in p[2:]], [p[0] / p[1] for p in pools for _ in (0, 1)]
+    return [min(1.0, max(0.0, float(np.interp(vote(v), xs, ys)))) if (v := vector(toxicity.terms_of(text))).any() else without for _, text in docs]
+
+
+def test_toxicity_like_brute_force(spark, docs):
+    """Whole scores: sample, terms, frequencies, neighbours, votes and calibration, on 360 rows with planted words."""
+    rng = np.random.default_rng(9)
+    bad, plain = ["vile", "rotten", "horrible"], [f"word{k}" for k in range(300)]
+    rows, labels = [], []
+    for i in range(360):
+        text = rng.choice(plain, size=int(rng.integers(3, 60))).tolist()
+        toxic = int(rng.random() < 0.25)
+        if rng.random() < (0.9 if toxic else 0.1):
+            text += rng.choice(bad, size=int(rng.integers(1, 4))).tolist()
+        rows.append((i if i % 40 else 3, " ".join(text) if i % 50 else None))
+        labels.append((i, toxic if i % 60 else None))
+    rows += rows[:5]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(23)
+    found = Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.score_documents(frame, toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect())
+    assert len({s for _, s in found}) > 4
+    assert found == Counter((i, round(s, 9)) for (i, _), s in zip(rows, brute_toxicity(rows, labels)))
+
+
 def test_toxicity_held_out(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
@@ -446,7 +714,8 @@ def test_toxicity_held_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for i, r in out.items())
     tried = [(r["toxic"], out[r["doc_id"]]) for r in labels.collect() if out[r["doc_id"]]["held_out"]]
     hits = Counter((t, r["predicted"]) for t, r in tried)
-    assert hits[1, 1] / (hits[1, 1] + hits[1, 0]) > 0.5 and hits[0, 1] <= 0.03 * (hits[0, 0] + hits[0, 1])
+    # Four of the eighteen held no word that the sample's toxic texts share (three of them in languages with two or three examples).
+    assert hits[1, 1] / (hits[1, 1] + hits[1, 0]) >= 0.75 and hits[0, 1] <= 0.01 * (hits[0, 0] + hits[0, 1])
     # A held-out document's label is never learnt from.
     changed = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(doc_id AS string)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic")
     assert {i: r["score"] for i, r in out.items()} == {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, toxicity.fit(docs, changed)).collect()}
@@ -463,6 +732,16 @@ def test_toxicity_odd_input(spark, odd, none):
     assert toxicity.score_documents(none, toxicity.fit(none, labels)).count() == 0
 
 
+def test_toxicity_with_partitions_without_labels_and_other_identifiers(spark, docs):
+    """Labelled rows in one of many partitions; identifiers that are words."""
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text").limit(150)
+    labels = named.selectExpr("doc_id", "cast(crc32(text) % 2 AS int) AS toxic").limit(20)
+    for frame in (named.repartition(40), named.repartitionByRange(8, "doc_id"), named.unionByName(named.limit(0)).coalesce(1)):
+        out = toxicity.score_documents(frame, toxicity.fit(frame, labels)).collect()
+        assert len(out) == 150 and all(isinstance(e, str) for r in out for e in r["evidence"])
+    assert toxicity.without_toxic(named.repartition(40), toxicity.fit(named.repartition(40), labels)).count() <= 150
+
+
 # -- chat
 
 
@@ -500,28 +779,54 @@ def test_preference_pairs(spark, sf):
     assert chat_format.neighbouring_pairs(frame.limit(0)).count() == 0
 
 
-def test_pipeline_drops_near_copies(spark):
-    """Against all pairs: texts of one component of 5-word Jaccard 0.8 leave one, chains included; others stay."""
-    import corpus_pipeline
+# -- names of columns
 
-    rng = np.random.default_rng(5)
-    base = [[f"w{x}" for x in rng.integers(0, 5_000, 120)] for _ in range(12)]
-    texts = []
-    for words in base:
-        texts.append(list(words))
-        for edits in (1, 2, 3, 6, 12):
-            changed = list(texts[-1])
-            for at in rng.choice(120, edits, replace=False):
-                changed[at] = "new" + str(rng.integers(1_000_000))
-            texts.append(changed)
-    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, "few words"), (901, "few words here"), (902, ""), (903, None)]
-    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
-    root = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = root[a], root[b]
-                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect())
-    assert kept == sorted(set(root.values())) and len(kept) < len(rows) - 20
+
+def test_columns_with_clashing_names(spark):
+    """Names of the operators' own columns, in any case, with dots, and names that positions are given."""
+    names = ["doc_id", "text", "source", "Kept", "KEEP_id", "mix_shard", "Mix_Word", "a.b", "size", "c0", "__row", "tie", "root", "label", "held"]
+    rows = [(i, "same words here and there " * (i % 3), f"s{i % 2}", *[f"{n}{i}" for n in names[3:]]) for i in range(30)]
+    frame = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    whole = {r[0]: r for r in map(tuple, frame.collect())}
+    for kept in (exact_dedup.without_copies(frame), simhash.near_dedup(frame), toxicity.without_toxic(frame, toxicity.fit(frame, labels))):
+        assert kept.columns == names
+        assert all(whole[r[0]] == r for r in map(tuple, kept.collect()))
+    assert [r[0] for r in sorted(map(tuple, exact_dedup.without_copies(frame).collect()))] == [0, 1, 2]
+    found = exact_dedup.exact_dedup(frame)
+    assert found.columns == [n for n in names if n not in ("Kept", "KEEP_id")] + list(exact_dedup.OUTPUT)
+    check_dedup(found.selectExpr("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect(), frame.select("doc_id", "text").collect())
+    mixed = mixing.mix_documents(frame, 4, placed=False)
+    assert mixed.columns == names and all(whole[r[0]][2:] == r[2:] for r in map(tuple, mixed.collect())) and mixed.count()
+    placed = mixing.mix_documents(frame, 4)
+    assert placed.columns == [n for n in names if n not in ("mix_shard", "Mix_Word")] + ["mix_shard", "mix_slot", "mix_source_no", "mix_word"] and placed.count()
+
+
+# -- the registered queries
+
+
+def test_queries_apply_their_operators(spark, sf, docs):
+    """The thin queries over whole tables give what the operators give, which the tests above hold against brute force."""
+    from mossgraph.llm import queries
+
+    known = queries.queries()
+    rows = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    own = {i: t for i, t in rows}
+    text = lambda r: own[r["doc_id"]].encode()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()
+    want = dict(zip(own, brute_toxicity(list(own.items()), [tuple(r) for r in labels])))
+    out = {n: f(spark, sf).collect() for n, f in known.items() if n not in ("pipeline", "op6_url_filter", "op10_chat_preference", "op5_license_scan")}
+    assert all(sorted(r["doc_id"] for r in found) == sorted(own) for found in out.values())
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-9 for r in out["op1_toxicity"])
+    check_mix(docs, out["op2_mixing"], 2 * mixing.BLOCK_WORDS)
+    assert all(r["decoded_sha256"] == hashlib.sha256(text(r)).hexdigest() for r in out["op3_bpe"])
+    check_dedup(out["op4_exact_dedup"], docs.collect())
+    assert all((r["size"], r["text_crc32"]) == (len(text(r)) + 16, zlib.crc32(text(r))) for r in out["op7_sharding"])
+    prints = {i: brute_fingerprint(t) for i, t in own.items()}
+    roots = brute_components(set(prints.values()))
+    assert all(r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == min(i for i, p in prints.items() if roots[p] == roots[prints[r["doc_id"]]]) for r in out["op8_simhash"])
+    assert all(r["n_bytes"] == len(text(r)) and r["payload_sha256"] == hashlib.sha256(media.payload_of(text(r))).hexdigest() for r in out["op9_media"])
+    index = license_scan.Templates()
+    assert {(r["doc_id"], r["template"]) for r in known["op5_license_scan"](spark, sf).collect()} == {(i, t) for i, x in own.items() for t in brute_licenses(x, index)}
+    pages = Counter((r["page_id"], *brute_url(r["url"])) for r in spark.read.parquet(f"{sf}/pages.parquet").collect())
+    assert Counter(map(tuple, known["op6_url_filter"](spark, sf).collect())) == pages
