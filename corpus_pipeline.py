@@ -2,9 +2,14 @@
 
 toxicity           documents that score 0.7 or more go
 exact_dedup        of equal texts the smallest identifier stays
-simhash_near_dedup of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 the smallest identifier stays
+simhash_near_dedup of each component of texts whose fingerprints over five-word shingles agree in four fifths of their bits the
+                   smallest identifier stays
 mixing             the documents are mixed to target weights: a row for each piece and slot, the text is the piece's
 byte_bpe           every piece is encoded and decoded
+
+Nulls, empty texts, ties, repeated rows, empty tables and columns with any names have the results that each operator's
+module states; all stages but the last return the columns of documents, by place, and the rows they keep as they were
+(mixing cuts texts into pieces, and n_chars, if there is one, is then the piece's).
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossgraph.llm import bpe, exact_dedup, jaccard, mixing, toxicity
+from mossgraph.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from mossgraph.llm.common import ensure_checkpoint_dir
 from mossgraph.llm.queries import tokenizer
 
@@ -23,15 +28,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(docs).where("kept").select(docs.columns)
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.near_dedup(docs)
+    return simhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_documents(docs).select(docs.columns)
+    mixed = mixing.mix_documents(docs, placed=False)
     return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
 
 
