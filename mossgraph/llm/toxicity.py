@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples.
 
 Examples are labelled texts; terms are words, and the first letters of long words.  The vocabulary is the terms that go
-with either label: of V different terms in the examples, those whose log-likelihood ratio exceeds 2 ln V, the level that
-chance alone is expected not to reach among so many.  (Cosine over all terms was tried: it mostly finds texts on the same
-matter, see the README.)  Inverse document frequencies are over all documents.  A text's nearest examples by exact TF-IDF
+with label 1: of V different terms in the examples, those at least LIFT times as frequent there whose log-likelihood ratio
+exceeds 2 ln V, the level that chance alone is expected not to reach among so many.  (Cosine over all terms, and over the
+terms of both labels, was tried: it mostly finds texts of the same language and matter, see the README.)  Inverse document frequencies are over all documents.  A text's nearest examples by exact TF-IDF
 cosine come from an inverted index whose postings are cut into blocks of examples, each with the largest weight of the
 term in it: blocks are scored in the order of their upper bounds until no bound exceeds the worst of the neighbours found.
 Neighbours vote with weights that fall with their distance, and an isotonic fit over the examples' own leave-one-out votes
@@ -33,6 +33,8 @@ from .common import cut, for_python, positional, tidy
 
 #: Bound of the fitted sample: most labelled rows of each label that become examples.
 EXAMPLES = 6_000
+#: How many times as frequent a term is in examples of label 1 at least.
+LIFT = 2
 NEIGHBOURS, BLOCK = 15, 64
 #: First letters of longer words that are a term of their own.
 STEM = 6
@@ -197,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     ratio = 2 * (part(a, a + b, F.lit(float(n1))) + part(b, a + b, F.lit(float(n0))) + part(n1 - a, n - a - b, F.lit(float(n1))) + part(n0 - b, n - a - b, F.lit(float(n0))))
     tested = cut(by_term.withColumn("g", ratio))
     level = 2 * math.log(max(2, tested.count()))
-    chosen_terms = tested.where((F.col("g") >= level) & (a + b < n)).select("term")
+    chosen_terms = tested.where((F.col("g") >= level) & (a * n0 > LIFT * b * n1)).select("term")
     vocabulary = sorted(r["term"] for r in chosen_terms.collect())
     terms = {t: i for i, t in enumerate(vocabulary)}
     stems = frozenset(t[:-1] for t in vocabulary if t.endswith("*"))

@@ -646,7 +646,7 @@ def brute_toxicity(docs, labels):
     every = set(a) | set(b)
     g = lambda seen, r, c: seen * np.log(seen * n / (r * c)) if seen else 0.0
     ratio = {t: 2 * (g(a[t], a[t] + b[t], n1) + g(b[t], a[t] + b[t], n0) + g(n1 - a[t], n - a[t] - b[t], n1) + g(n0 - b[t], n - a[t] - b[t], n0)) for t in every}
-    terms = sorted(t for t in every if ratio[t] >= 2 * np.log(max(2, len(every))) and a[t] + b[t] < n)
+    terms = sorted(t for t in every if ratio[t] >= 2 * np.log(max(2, len(every))) and a[t] * n0 > toxicity.LIFT * b[t] * n1)
     df = Counter()
     for _, text in docs:
         df.update(toxicity.terms_of(text).keys() & set(terms))
