@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 K1, B = 1.2, 0.75
 #: Least inverse document frequency.
 LEAST_IDF = 1e-6
@@ -53,9 +55,10 @@ def match_all(blocks: DataFrame, query: str, id_col: str = "block_id") -> DataFr
 def bm25(blocks: DataFrame, query: str, k: int | None = None, id_col: str = "block_id") -> DataFrame:
     """block_id, score (higher is better) of the blocks that match every prefix term.
 
-    Corpus statistics come from the live blocks in one aggregate row; the scan for matches prunes everything else."""
+    Texts are taken apart once: lengths and occurrences, a few numbers a block, are kept, and corpus statistics and scores
+    are both made from them."""
     n = len(terms_of(query))
-    found = matches(blocks, query, id_col)
+    found = graph.checkpointed(matches(blocks, query, id_col))
     totals = found.agg(F.count(F.lit(1)).cast("double").alias("blocks"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(n)])
     every = F.lit(n > 0)
     score = F.lit(0.0)

@@ -14,12 +14,21 @@ from pyspark.sql import functions as F
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Lineage is cut once a round, in the folder all executors share."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="mossgraph-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder.  A temporary one is made only where none is named and all executors are threads of this machine."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="mossgraph-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def co_occurrence(items: DataFrame, group: str, item: str, largest: int = 1_000) -> DataFrame:
     """Undirected weighted edges between items of the same group.
 
@@ -43,18 +52,29 @@ def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     return edges.select("src", "dst", *extra).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *extra))
 
 
+#: Ends of edges up to which neighbour lists are broadcast (16 bytes each, with room for the arrays).
+LIST_ENDS = 4_000_000
+
+
 def shared_neighbours(edges: DataFrame, query: DataFrame) -> DataFrame:
-    """a, b, shared for query pairs (a, b): b's neighbours, duplicates kept, that are neighbours of a."""
-    near = both_ways(edges)
-    of_a = query.join(near.select(F.col("src").alias("a"), F.col("dst").alias("n")).distinct(), "a")
-    of_b = near.select(F.col("src").alias("b"), F.col("dst").alias("n"))
-    counted = of_a.join(of_b, ["b", "n"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    """a, b, shared for query pairs (a, b): b's neighbours, duplicates kept, that are neighbours of a.
+
+    Lists of a counted, small graph without duplicates are broadcast and intersected; otherwise neighbours meet in joins."""
+    near = checkpointed(both_ways(edges).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")))
+    ends, most = near.agg(F.count(F.lit(1)), F.coalesce(F.max("times"), F.lit(0))).first()
+    if ends <= LIST_ENDS and most <= 1:
+        lists = near.groupBy("src").agg(F.collect_list("dst").alias("near"))
+        a, b = (F.broadcast(lists.select(F.col("src").alias(side), F.col("near").alias(f"near_{side}"))) for side in "ab")
+        return query.join(a, "a", "left").join(b, "b", "left").select(query.columns + [F.coalesce(F.size(F.array_intersect("near_a", "near_b")), F.lit(0)).cast("long").alias("shared")])
+    of_a = query.join(near.select(F.col("src").alias("a"), F.col("dst").alias("n")), "a")
+    of_b = near.select(F.col("src").alias("b"), F.col("dst").alias("n"), "times")
+    counted = of_a.join(of_b, ["b", "n"]).groupBy("a", "b").agg(F.sum("times").alias("shared"))
     return query.join(counted, ["a", "b"], "left").fillna(0, ["shared"])
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, until_stable: bool = False) -> DataFrame:
     """id, label.  Synchronous: every node takes its neighbours' most frequent label, of equals the smallest."""
-    near = both_ways(undirected(edges)).cache()
+    near = checkpointed(both_ways(undirected(edges)))
     labels = nodes.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
         votes = near.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -64,14 +84,19 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, until_sta
         labels = following.select("id", F.col("new").alias("label"))
         if stable:
             break
-    near.unpersist()
     return labels
 
 
 def relabelled(labels: DataFrame) -> DataFrame:
-    """Contiguous labels from 0 in the order of each community's first node (one row a community is ranked)."""
+    """Contiguous labels from 0 in the order of each community's first node.
+
+    Communities are range-partitioned; each partition numbers its own and starts after those before it."""
     first = labels.groupBy("label").agg(F.min("id").alias("first"))
-    ranked = first.select("label", (F.row_number().over(Window.orderBy("first")) - 1).alias("community"))
+    dealt = checkpointed(first.repartitionByRange("first").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1)
+    ranked = own.join(F.broadcast(starts), "part").select("label", (F.col("own") + F.col("start")).cast("long").alias("community"))
     return labels.join(ranked, "label").select("id", "community")
 
 
@@ -203,6 +228,20 @@ def leiden_by_component(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0,
     return grouped.applyInPandas(work, "id long, level long, label long")
 
 
+#: Rows of a strip of pairs; its numbers should stay in a core's cache.
+STRIP = 128
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs, 2e-4 at least."""
+    out = a[:, 0, None] - b[:, 0]
+    out *= out
+    y = a[:, 1, None] - b[:, 1]
+    y *= y
+    out += y
+    return np.maximum(out, np.float32(2e-4), out=out)
+
+
 def _far(at: np.ndarray, half: np.ndarray, cells: int = 40) -> np.ndarray:
     """Repulsion of many nodes: exact inside a cell of a grid, by centres of mass from all other cells."""
     place = np.minimum(((at + half) / (2 * half) * cells).astype(np.int64), cells - 1)
@@ -213,12 +252,13 @@ def _far(at: np.ndarray, half: np.ndarray, cells: int = 40) -> np.ndarray:
     centre = np.add.reduceat(at[order], begin, axis=0) / mass[:, None]
     index = np.searchsorted(found, own)
     move = np.empty_like(at)
-    for a in range(0, len(at), 2048):
-        p = at[a : a + 2048]
-        distance = (p**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * (p @ centre.T)
-        pull = mass / np.maximum(distance, 2e-4)
-        pull[np.arange(len(p)), index[a : a + 2048]] = 0
-        move[a : a + 2048] = p * pull.sum(axis=1)[:, None] - pull @ centre
+    middle, mass_ = centre.astype(np.float32), mass.astype(np.float32)
+    for a in range(0, len(at), STRIP):
+        p = at[a : a + STRIP].astype(np.float32)
+        pull = _squares(p, middle)
+        np.divide(mass_, pull, out=pull)
+        pull[np.arange(len(p)), index[a : a + STRIP]] = 0
+        move[a : a + STRIP] = p * pull.sum(axis=1)[:, None] - pull @ middle
     for start, stop in zip(begin, np.r_[begin[1:], len(at)]):
         rows = order[start:stop]
         d = at[rows, None] - at[rows]
@@ -227,8 +267,8 @@ def _far(at: np.ndarray, half: np.ndarray, cells: int = 40) -> np.ndarray:
     return move
 
 
-def layout(n: int, edges: np.ndarray, iterations: int = 250, width: float = 1000.0, height: float = 1000.0, seed: int = 7, block: int = 1024) -> tuple[np.ndarray, int]:
-    """Fruchterman-Reingold positions and the rounds run; repulsion is exact, in blocks of rows, up to 4 * block nodes."""
+def layout(n: int, edges: np.ndarray, iterations: int = 250, width: float = 1000.0, height: float = 1000.0, seed: int = 7, exact: int = 4096) -> tuple[np.ndarray, int]:
+    """Fruchterman-Reingold positions and the rounds run; repulsion is of all pairs, in strips of rows, up to ``exact`` nodes."""
     rng = np.random.default_rng(seed)
     half = np.array([width / 2, height / 2])
     at = rng.uniform(-1, 1, size=(n, 2)) * half
@@ -238,17 +278,16 @@ def layout(n: int, edges: np.ndarray, iterations: int = 250, width: float = 1000
     heat = max(width, height) / 10
     edges = np.asarray(edges, dtype=np.int64).reshape(-1, 2)
     for done in range(1, iterations + 1):
-        move, squares = np.empty_like(at), (at**2).sum(axis=1)
-        if n > 4 * block:
+        move, small = np.empty_like(at), at.astype(np.float32)
+        if n > exact:
             move = k2 * _far(at, half)
-        for a in range(0, n if n <= 4 * block else 0, block):
+        for a in range(0, n if n <= exact else 0, STRIP):
             # The sum of (p - q) / |p - q|^2 over q is p times a row sum less a matrix product.
-            own = np.arange(a, min(a + block, n))
-            distance = squares[own, None] + squares - 2 * (at[own] @ at.T)
-            np.maximum(distance, 2e-4, out=distance)
-            distance[own - a, own] = np.inf
-            near = np.reciprocal(distance, out=distance)
-            move[own] = k2 * (at[own] * near.sum(axis=1)[:, None] - near @ at)
+            own = np.arange(a, min(a + STRIP, n))
+            near = _squares(small[own], small)
+            np.reciprocal(near, out=near)
+            near[own - a, own] = 0
+            move[own] = k2 * (small[own] * near.sum(axis=1)[:, None] - near @ small)
         if len(edges):
             d = at[edges[:, 0]] - at[edges[:, 1]]
             pull = d * (np.sqrt((d**2).sum(axis=1, keepdims=True)).clip(0.01) / math.sqrt(k2))

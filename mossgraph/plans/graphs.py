@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import links as L
@@ -57,22 +58,26 @@ def backlinks(spark, sf_dir):
 
 
 def outgoing_links(spark, sf_dir):
-    """Orders' links to customers; those of customers without a market segment's first letter count as unresolved."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
-    kept = table(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return links.outgoing(orders, kept).select("src", "dst", "dst_name", "is_resolved")
+    """Orders' links to customers; each seventh order names a customer that isn't there, so its link is unresolved."""
+    away = F.when(F.col("o_orderkey") % 7 == 0, F.lit(10_000_000)).otherwise(F.lit(0))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + away).alias("dst"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return links.outgoing(orders, people).select("src", "dst", "dst_name", "is_resolved")
 
 
 def orphans(spark, sf_dir):
-    """Customers without an order that is both urgent and filled."""
+    """Customers without a link: an order links its customer with the one whose key is the order's."""
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("name"))
-    return links.orphans(people, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))).select("id", "name")
+    made = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 7).alias("src"), (F.col("o_orderkey") * 3).alias("dst"))
+    return links.orphans(people, made).select("id", "name")
 
 
 def dangling_edges(spark, sf_dir):
-    kept = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
-    made = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return links.dangling(made, kept).groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    """Lines whose part isn't there: each line with number 7 names one of those."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    away = F.when(F.col("l_linenumber") == 7, F.lit(10_000_000)).otherwise(F.lit(0))
+    made = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + away).alias("dst"))
+    return links.dangling(made, parts).groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def asof_source_block(spark, sf_dir):
@@ -92,7 +97,7 @@ def graph_neighbours(spark, sf_dir):
 
 
 def shared_neighbours(spark, sf_dir):
-    edges = edges_of(spark, sf_dir)
+    edges = graph.checkpointed(edges_of(spark, sf_dir))
     return graph.shared_neighbours(edges, edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
@@ -100,13 +105,8 @@ def edge_weights(spark, sf_dir):
     return edges_of(spark, sf_dir)
 
 
-def _sparse(spark, sf_dir):
-    """Parts bought together at least twice, as in the SQL of label propagation."""
-    return edges_of(spark, sf_dir).where("weight >= 2")
-
-
 def label_propagation_k(spark, sf_dir):
-    return graph.label_propagation(_nodes(spark, sf_dir), _sparse(spark, sf_dir), 3)
+    return graph.label_propagation(_nodes(spark, sf_dir), edges_of(spark, sf_dir), 3)
 
 
 def modularity(spark, sf_dir):
@@ -133,8 +133,8 @@ def community_report(spark, sf_dir):
 
 def community_top_level(spark, sf_dir):
     """Rows of the highest level, by a scalar subquery."""
-    table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size AS level").createOrReplaceTempView("mossgraph_levels")
-    return spark.sql("SELECT p_partkey, level FROM mossgraph_levels WHERE level = (SELECT max(level) FROM mossgraph_levels)")
+    levels = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size AS level")
+    return spark.sql("SELECT p_partkey, level FROM {levels} WHERE level = (SELECT max(level) FROM {levels})", levels=levels)
 
 
 def extractive_summary(spark, sf_dir):
@@ -157,9 +157,8 @@ def graphrag_query(spark, sf_dir):
 
 
 def graphrag_context(spark, sf_dir):
-    hits = graphrag_query(spark, sf_dir).collect()
-    made = spark.createDataFrame([(i + 1, r["members"], r["score"], f"label {r['label']}") for i, r in enumerate(hits)], "rank int, members long, score double, summary string")
-    return communities.context(made)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "label"))  # three rows
+    return communities.context(graphrag_query(spark, sf_dir).select(place.alias("rank"), "members", "score", F.concat(F.lit("label "), F.col("label").cast("string")).alias("summary")))
 
 
 def queries() -> dict:
@@ -168,7 +167,7 @@ def queries() -> dict:
 
 
 def _lpa(rounds: int) -> str:
-    sql = f"WITH {SQL_E}, s AS (SELECT src, dst FROM e WHERE weight >= 2), n AS (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s), l0 AS (SELECT p_partkey AS id, p_partkey AS label FROM part)"
+    sql = f"WITH {SQL_E}, n AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), l0 AS (SELECT p_partkey AS id, p_partkey AS label FROM part)"
     for k in range(rounds):
         sql += f", v{k} AS (SELECT n.src AS id, l.label, count(*) AS c FROM n JOIN l{k} l ON l.id = n.dst GROUP BY 1, 2), w{k} AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY c DESC, label) AS k FROM v{k}), l{k + 1} AS (SELECT l.id, coalesce(w.label, l.label) AS label FROM l{k} l LEFT JOIN (SELECT * FROM w{k} WHERE k = 1) w ON w.id = l.id)"
     return f"{sql} SELECT id, label FROM l{rounds}"
@@ -187,9 +186,9 @@ def oracle_sql() -> dict[str, str]:
         "link_classify": f"WITH h AS ({hrefs}) SELECT (CASE WHEN page_id % 2 = 0 THEN 'embed' ELSE 'wiki' END) || (CASE place % 3 WHEN 1 THEN '_heading' WHEN 2 THEN '_block' ELSE '' END) AS link_type, count(*) AS n, count(DISTINCT trim(split_part(split_part(href, '|', 1), '#', 1))) AS targets FROM h GROUP BY 1",
         "link_resolve_priority": SQL_RESOLVE,
         "backlinks": f"WITH {SQL_E} SELECT src, p_name AS src_name, weight FROM e JOIN part ON p_partkey = src WHERE dst = 700",
-        "outgoing_links": "SELECT o_orderkey AS src, o_custkey AS dst, c_name AS dst_name, c_name IS NOT NULL AS is_resolved FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON c_custkey = o_custkey",
-        "orphans": "SELECT c_custkey AS id, lower(c_name) AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
-        "dangling_edges": "SELECT l_partkey AS dst, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 25) GROUP BY 1",
+        "outgoing_links": "SELECT o_orderkey AS src, k AS dst, c_name AS dst_name, c_name IS NOT NULL AS is_resolved FROM (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 10000000 ELSE 0 END AS k FROM orders) LEFT JOIN customer ON c_custkey = k",
+        "orphans": "SELECT c_custkey AS id, lower(c_name) AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 7 FROM orders WHERE o_custkey IS NOT NULL UNION ALL SELECT o_orderkey * 3 FROM orders WHERE o_orderkey IS NOT NULL)",
+        "dangling_edges": "SELECT k AS dst, count(*) AS n FROM (SELECT l_partkey + CASE WHEN l_linenumber = 7 THEN 10000000 ELSE 0 END AS k FROM lineitem) WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = k) GROUP BY 1",
         "asof_source_block": "SELECT p.event_id, p.user_id, c.event_id AS click_as_of FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts",
         "graph_degree": f"WITH {SQL_NEAR} SELECT src AS id, count(*) AS degree FROM n GROUP BY 1",
         "graph_neighbours": f"WITH {SQL_NEAR} SELECT src AS id, count(*) AS neighbours, min(dst) AS first, max(dst) AS last FROM n GROUP BY 1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mutations, state, telemetry
-from .retrieval import table
+from .retrieval import table, texts
 
 NOW = "TIMESTAMP '2024-01-20 18:00:00'"
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -97,18 +97,34 @@ def fact_current_state(spark, sf_dir):
 
 
 def fact_history(spark, sf_dir):
+    """Every change of every fact, numbered in its fact's order, with the value before it."""
+    by = Window.partitionBy("fact_id").orderBy("event_id")
+    return _fact_events(spark, sf_dir).select("fact_id", F.row_number().over(by).cast("long").alias("step"), "event_id", "op", F.lag("value").over(by).alias("prev_value"), F.col("value").alias("new_value"))
+
+
+def fact_counts(spark, sf_dir):
     return _fact_events(spark, sf_dir).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fact_id").alias("facts"))
 
 
+#: Heads in turn, and none twice: the tables hold no English prose.
+_HEADS = [h[0].upper() + h[1:] for h in state.HEADS] + ["", "Nobody "]
+
+
+def about_oneself(text):
+    """Sentences with the heads of sentences about oneself in turn, so that each head, and none, occurs."""
+    heads = F.array(*map(F.lit, _HEADS))
+    said = F.transform(F.split(text, r"[.!?\n]"), lambda s, i: F.concat(F.get(heads, i % len(_HEADS)), F.trim(s)))
+    return F.array_join(said, ". ")
+
+
 def fact_extract(spark, sf_dir):
-    """Facts in whole documents, each sentence read as one about oneself (the tables hold none in English prose)."""
-    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"(^|[.!?\n])", "$1I like ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(state.facts_in(said)).alias("part", "fact")).withColumn("part", F.col("part").cast("long"))
+    """Facts in whole documents whose sentences have every head in turn."""
+    return texts(spark, sf_dir).select("doc_id", F.posexplode(state.facts_in(about_oneself(F.coalesce("text", F.lit(""))))).alias("part", "fact")).withColumn("part", F.col("part").cast("long"))
 
 
 def fact_decide(spark, sf_dir):
-    """What each user turn would do to the five turns before it as facts, by shared words as similarity."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    """What each turn would do to the five turns of its conversation before it as facts, by shared words as similarity."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     before = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(-5, -1)
     seen = turns.withColumn("words", F.array_distinct(T.tokens(F.col("text")))).withColumn("near", F.collect_list(F.struct("turn", "text", "words")).over(before))
 
@@ -148,7 +164,7 @@ def json_props(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [daily_cost, cache_hit_ratio, recent_log, budget_running_sum, ledger_rollup, model_costs, wilson_ab, wilson_promotion, champion_version, ema_state, learning_progress, debounced_trigger, fact_current_state, fact_history, fact_extract, fact_decide, upsert_merge, replace_partition, cascade_delete, set_null_delete, json_props]
+    named = [daily_cost, cache_hit_ratio, recent_log, budget_running_sum, ledger_rollup, model_costs, wilson_ab, wilson_promotion, champion_version, ema_state, learning_progress, debounced_trigger, fact_current_state, fact_history, fact_counts, fact_extract, fact_decide, upsert_merge, replace_partition, cascade_delete, set_null_delete, json_props]
     return {f.__name__: f for f in named}
 
 
@@ -188,10 +204,13 @@ SELECT user_id, max(k) AS steps, {', '.join(f'round(arg_max(h, k)[{i + 1}], 6) A
 r AS (SELECT user_id, min(tick) AS tick FROM n GROUP BY 1 UNION ALL SELECT user_id, tick FROM (SELECT r.user_id, min(n.tick) AS tick FROM r JOIN n ON n.user_id = r.user_id AND n.tick >= r.tick + 10 GROUP BY r.user_id, r.tick))
 SELECT user_id, tick FROM r""",
         "fact_current_state": "WITH e AS (SELECT user_id || '/' || event_type AS fact_id, event_id, CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, value FROM events) SELECT * FROM (SELECT fact_id, max(event_id) AS event_id, arg_max(op, event_id) AS op, arg_max(value, event_id) AS value FROM e GROUP BY 1) WHERE op <> 'DELETE'",
-        "fact_history": "SELECT CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, count(*) AS n, count(DISTINCT user_id || '/' || event_type) AS facts FROM events GROUP BY 1",
-        "fact_extract": r"""WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '(^|[.!?\n])', '\1I like ', 'g'), '[.!?\n]'), lambda s: trim(s)), lambda s: starts_with(lower(s), 'i like ')) AS f FROM documents)
+        "fact_history": "SELECT fact_id, row_number() OVER w AS step, event_id, op, lag(value) OVER w AS prev_value, value AS new_value FROM (SELECT user_id || '/' || event_type AS fact_id, event_id, CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, value FROM events) WINDOW w AS (PARTITION BY fact_id ORDER BY event_id)",
+        "fact_counts": "SELECT CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, count(*) AS n, count(DISTINCT user_id || '/' || event_type) AS facts FROM events GROUP BY 1",
+        "fact_extract": rf"""WITH s AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?\n]') AS p, [{', '.join("'" + h.replace("'", "''") + "'" for h in _HEADS)}] AS heads FROM documents),
+t AS (SELECT doc_id, array_to_string(list_transform(p, lambda x, i: heads[((i - 1) % len(heads) + 1)::BIGINT] || trim(x)), '. ') AS said FROM s),
+m AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(said, '[.!?\n]'), lambda s: trim(s)), lambda s: {' OR '.join("starts_with(lower(s), '" + h.replace("'", "''") + "')" for h in state.HEADS)}) AS f FROM t)
 SELECT doc_id, unnest(range(len(f))) AS part, regexp_replace(unnest(f), '[,"]+$', '') AS fact FROM m""",
-        "fact_decide": f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS k FROM conversations WHERE role = 'user'),
+        "fact_decide": f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS k FROM conversations),
 w AS (SELECT *, list_distinct({T.SQL_TOKENS.format('text')}) AS words, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS normal, {_negated()} AS neg FROM t),
 p AS (SELECT a.conv_id, a.k, a.turn, octet_length(encode(a.text)) AS size, b.turn AS id, octet_length(encode(b.text)) AS b_size, a.normal = b.normal AS same, a.neg <> b.neg AS flips,
   coalesce(len(list_intersect(a.words, b.words))::DOUBLE / nullif(len(list_distinct(a.words || b.words)), 0), 0) AS sim,

@@ -20,16 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than cores (a small table in one file), dealt out before work that Python does.
+    """A scan, dealt out if it keeps fewer tasks busy than there are cores.
 
-    Larger scans stay as they are, without a shuffle."""
+    Partitions of a scan are byte ranges of files, and all rows of a row group go to the range that holds its middle; so a
+    scan of few partitions is judged by the rows of its fullest.  Larger scans stay as they are, without a shuffle."""
     n = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+    if scan.rdd.getNumPartitions() > 4 * n:
+        return scan
+    held = [r["count"] for r in scan.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    return scan.repartition(n) if held and (len(held) < n or max(held) > 2 * sum(held) / n) else scan
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents that aren't empty; block_id is a struct-free key made of document and line."""
-    return _blocks(table(spark, sf_dir, "documents"))
+    return _blocks(texts(spark, sf_dir))
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -38,7 +46,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def semantic(spark, sf_dir) -> DataFrame:
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = texts(spark, sf_dir)
     scored = vector.query_scores(_blocks(rows).select("block_id", T.tokens(F.col("content")).alias("tokens")), WORDS)
     return scored.select("block_id", F.round("score", 6).alias("score")).where("score > 0.01")
 
@@ -59,11 +67,11 @@ sem AS (SELECT block_id, round(coalesce(sum(v * x), 0) / (sqrt(sum(v * v)) * {_n
 
 
 def tokenize_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, sf_dir).select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bigram_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select(F.explode(T.bigrams(F.col("t"))).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, sf_dir).select(T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select(F.explode(T.bigrams(F.col("t"))).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fnv1a_hash(spark, sf_dir):
@@ -87,13 +95,13 @@ fts AS (SELECT block_id, round(greatest(ln((n - d0 + .5) / (d0 + .5)), 1e-6) * t
 
 
 def hybrid_rrf(spark, sf_dir, limit: int = 20):
-    source = _blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    source = blocks(spark, sf_dir)
     legs = {"fts": fulltext.bm25(source, FTS, 3 * limit), "semantic": semantic(spark, sf_dir).orderBy(F.desc("score"), "block_id").limit(3 * limit)}
     return fulltext.fused(legs, limit)
 
 
 def snippet_window(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.coalesce("text", F.lit("")), "Tion").alias("snippet"))
+    return texts(spark, sf_dir).select("doc_id", T.snippet(F.coalesce("text", F.lit("")), "Tion").alias("snippet"))
 
 
 def block_split_hash(spark, sf_dir):
@@ -101,11 +109,11 @@ def block_split_hash(spark, sf_dir):
 
 
 def word_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.visible_words(F.col("text")).alias("words"), T.token_estimate(F.coalesce("text", F.lit(""))).alias("token_estimate"))
+    return texts(spark, sf_dir).select("doc_id", T.visible_words(F.col("text")).alias("words"), T.token_estimate(F.coalesce("text", F.lit(""))).alias("token_estimate"))
 
 
 def leading_paragraph(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.leading_text(F.col("text"), 240).alias("lead"))
+    return texts(spark, sf_dir).select("doc_id", T.leading_text(F.col("text"), 240).alias("lead"))
 
 
 def vector_query(spark, sf_dir) -> list[float]:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import media
 from ..functions import text as T
-from ..operators import hyper, state
+from ..operators import graph, hyper, state
 from ..streaming import jobs
 from . import graphs
-from .ledger import TYPES, _fact_events
+from .ledger import TYPES, _fact_events, about_oneself
 from .retrieval import spread, table
 
 
@@ -52,7 +52,7 @@ def change_feed(spark, sf_dir):
 
 def _hypervectors(spark, sf_dir):
     parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
-    return hyper.combined(hyper.encoded(parts), graphs.edges_of(spark, sf_dir))
+    return graph.checkpointed(hyper.combined(hyper.encoded(parts), graphs.edges_of(spark, sf_dir)))
 
 
 def hdc_related(spark, sf_dir):
@@ -96,8 +96,8 @@ def media_embedding(spark, sf_dir):
 
 
 def memory_ingest(spark, sf_dir):
-    """Facts of each conversation, in order: each sentence of a user's turns is read as one about oneself."""
-    said = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.regexp_replace("text", r"(^|[.!?\n])", "$1I like ").alias("text"))
+    """Facts of each conversation, in order: sentences of all turns get the heads of sentences about oneself in turn, two in seventeen none."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", about_oneself(F.coalesce("text", F.lit(""))).alias("text"))
     return state.remembered(said, "conv_id", "turn", "text")
 
 
