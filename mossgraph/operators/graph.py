@@ -232,14 +232,22 @@ def leiden_by_component(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0,
 STRIP = 128
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs, 2e-4 at least."""
-    out = a[:, 0, None] - b[:, 0]
-    out *= out
-    y = a[:, 1, None] - b[:, 1]
-    y *= y
-    out += y
-    return np.maximum(out, np.float32(2e-4), out=out)
+def _pushed(at: np.ndarray, others: np.ndarray, mass: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The sum of mass * (p - q) / |p - q|^2 over others q for each p, a strip at a time; own: which of the others p is (in).
+
+    Distances are one matrix product, and the sum is p times a row sum less another; so no array of pairs is made twice."""
+    left = np.concatenate([-2 * at, np.ones((len(at), 1)), (at**2).sum(axis=1, keepdims=True)], axis=1).astype(np.float32)
+    right = np.concatenate([others, (others**2).sum(axis=1, keepdims=True), np.ones((len(others), 1))], axis=1).astype(np.float32).T
+    weighted = (np.concatenate([others, np.ones((len(others), 1))], axis=1) * mass[:, None]).astype(np.float32)
+    move, strip = np.empty_like(at), np.arange(STRIP)
+    for a in range(0, len(at), STRIP):
+        near = left[a : a + STRIP] @ right
+        np.maximum(near, np.float32(2e-4), out=near)
+        np.reciprocal(near, out=near)
+        near[strip[: len(near)], own[a : a + STRIP]] = 0
+        sums = near @ weighted
+        move[a : a + STRIP] = at[a : a + STRIP] * sums[:, 2:] - sums[:, :2]
+    return move
 
 
 def _far(at: np.ndarray, half: np.ndarray, cells: int = 40) -> np.ndarray:
@@ -250,20 +258,18 @@ def _far(at: np.ndarray, half: np.ndarray, cells: int = 40) -> np.ndarray:
     found, begin = np.unique(own[order], return_index=True)
     mass = np.diff(np.r_[begin, len(at)])
     centre = np.add.reduceat(at[order], begin, axis=0) / mass[:, None]
-    index = np.searchsorted(found, own)
-    move = np.empty_like(at)
-    middle, mass_ = centre.astype(np.float32), mass.astype(np.float32)
-    for a in range(0, len(at), STRIP):
-        p = at[a : a + STRIP].astype(np.float32)
-        pull = _squares(p, middle)
-        np.divide(mass_, pull, out=pull)
-        pull[np.arange(len(p)), index[a : a + STRIP]] = 0
-        move[a : a + STRIP] = p * pull.sum(axis=1)[:, None] - pull @ middle
-    for start, stop in zip(begin, np.r_[begin[1:], len(at)]):
-        rows = order[start:stop]
-        d = at[rows, None] - at[rows]
-        square = np.maximum((d**2).sum(axis=2), 2e-4)
-        move[rows] += (d / square[:, :, None]).sum(axis=1)
+    move = _pushed(at, centre, mass, np.searchsorted(found, own))
+    # Pairs of a cell by their distance in its order: each pass takes the next one of every node that has one.
+    inner, stop = np.zeros_like(at), np.repeat(np.r_[begin[1:], len(at)], mass)
+    rows, sorted_ = np.arange(len(at)), at[order]
+    step = 1
+    while len(rows := rows[rows + step < stop[rows]]):
+        d = sorted_[rows] - sorted_[rows + step]
+        d /= np.maximum((d**2).sum(axis=1, keepdims=True), 2e-4)
+        inner[rows] += d
+        inner[rows + step] -= d
+        step += 1
+    move[order] += inner
     return move
 
 
@@ -278,16 +284,7 @@ def layout(n: int, edges: np.ndarray, iterations: int = 250, width: float = 1000
     heat = max(width, height) / 10
     edges = np.asarray(edges, dtype=np.int64).reshape(-1, 2)
     for done in range(1, iterations + 1):
-        move, small = np.empty_like(at), at.astype(np.float32)
-        if n > exact:
-            move = k2 * _far(at, half)
-        for a in range(0, n if n <= exact else 0, STRIP):
-            # The sum of (p - q) / |p - q|^2 over q is p times a row sum less a matrix product.
-            own = np.arange(a, min(a + STRIP, n))
-            near = _squares(small[own], small)
-            np.reciprocal(near, out=near)
-            near[own - a, own] = 0
-            move[own] = k2 * (small[own] * near.sum(axis=1)[:, None] - near @ small)
+        move = k2 * (_far(at, half) if n > exact else _pushed(at, at, np.ones(n), np.arange(n)))
         if len(edges):
             d = at[edges[:, 0]] - at[edges[:, 1]]
             pull = d * (np.sqrt((d**2).sum(axis=1, keepdims=True)).clip(0.01) / math.sqrt(k2))

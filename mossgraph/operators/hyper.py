@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import vector
+from .graph import checkpointed as graph_cut
 
 DIM = 10_000
+#: Links from which a note's are counted in chunks, and how many of those it then has.
+HUB, CHUNKS = 20_000, 256
 _M64 = (1 << 64) - 1
 
 
@@ -112,22 +115,74 @@ def encoded(docs: DataFrame, id_col: str = "id", words: str = "tokens", dim: int
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(words).alias("tokens")).mapInPandas(each, "id long, hv binary")
 
 
+#: Bytes of packed vectors that a worker remembers.
+REMEMBERED = 64 << 20
+
+
+class Packed(dict):
+    """Packed vectors of tokens, each drawn once; a memory bounded in bytes."""
+
+    def __init__(self, dim: int = DIM):
+        super().__init__()
+        self.dim, self.most = dim, max(1, REMEMBERED // (dim // 8 + 150))
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = v = packed(random_vector(T.fnv1a(token), self.dim))
+        return v
+
+    def ones(self, tokens: list[str]) -> np.ndarray:
+        """For each place, how many of the tokens' vectors are +1 there."""
+        out = np.zeros(self.dim, dtype=np.int64)
+        for k in range(0, len(tokens), 248):  # counted in bytes, eight places at once
+            bits = np.unpackbits(np.frombuffer(b"".join(map(self.__getitem__, tokens[k : k + 248])), dtype=np.uint8).reshape(-1, -(-self.dim // 8)), axis=1, bitorder="little")
+            out += bits.view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)[: self.dim]
+        return out
+
+
 def combined(texts: DataFrame, edges: DataFrame, dim: int = DIM) -> DataFrame:
-    """id, hv of each note with its links: its text, the notes it links to, and the shifted notes that link to it."""
+    """id, hv of each note with its links: its text, the notes it links to, and the shifted notes that link to it.
+
+    A note's neighbours are counted in chunks of its links first, so a hub is many tasks' work, and only sums of places meet."""
     ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("shift"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(1).alias("shift"), F.col("src").alias("other")))
-    near = ends.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("shift", "other"))).alias("near"))
-    rows = texts.join(near, "id", "left")
+    dealt = ends.withColumn("chunk", F.pmod(F.xxhash64("other"), F.lit(CHUNKS)))
+    small = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links")).withColumn("hub", F.col("links") > HUB)
+    hubs = graph_cut(small.where("hub").select("id"))
+    near = dealt.join(F.broadcast(hubs.withColumn("__hub", F.lit(True))), "id", "left").withColumn("chunk", F.when(F.col("__hub"), F.col("chunk")).otherwise(F.lit(0)))
+    near = near.groupBy("id", "chunk").agg(F.collect_list(F.when(F.col("shift") == 0, F.col("other"))).alias("out"), F.collect_list(F.when(F.col("shift") == 1, F.col("other"))).alias("into"))
+    whole = near.join(F.broadcast(hubs.withColumn("__hub", F.lit(True))), "id", "left")
+
+    def sums(tokens: Packed, out, into) -> np.ndarray:
+        here = 2 * tokens.ones([f"note:{n}" for n in out]) - len(out)
+        return here + permute(2 * tokens.ones([f"note:{n}" for n in into]) - len(into))
 
     def each(frames):
-        tokens = Tokens(dim)
+        tokens = Packed(dim)
         for frame in frames:
-            out = []
-            for hv, found in zip(frame["hv"], frame["near"]):
-                parts = [unpacked(hv, dim), *(permute(tokens[f"note:{n['other']}"], int(n["shift"])) for n in (found if found is not None else []))]
-                out.append(packed(bundle(parts, dim)))
-            yield pd.DataFrame({"id": frame["id"], "hv": out})
+            none = []
+            made = []
+            for hv, out, into in zip(frame["hv"], frame["out"], frame["into"]):
+                total = unpacked(hv, dim) + sums(tokens, out if out is not None else none, into if into is not None else none)
+                made.append(packed(np.where(total >= 0, 1, -1)))
+            yield pd.DataFrame({"id": frame["id"], "hv": made})
+
+    plain = texts.join(F.broadcast(hubs), "id", "left_anti").join(whole.where("__hub IS NULL").select("id", "out", "into"), "id", "left")
+    made = plain.select("id", "hv", "out", "into").mapInPandas(each, "id long, hv binary")
+    if hubs.isEmpty():
+        return made
+
+    def parts(frames):
+        tokens = Packed(dim)
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "part": [sums(tokens, out, into).astype("<i4").tobytes() for out, into in zip(frame["out"], frame["into"])]})
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(p, dtype="<i4").astype(np.int64) for p in frame["part"])
+        return pd.DataFrame({"id": frame["id"].iloc[:1], "hv": [packed(np.where(unpacked(frame["hv"].iloc[0], dim) + total >= 0, 1, -1))]})
 
-    return rows.select("id", "hv", "near").mapInPandas(each, "id long, hv binary")
+    summed = whole.where("__hub").select("id", "out", "into").mapInPandas(parts, "id long, part binary").join(texts, "id")
+    return made.unionByName(summed.groupBy("id").applyInPandas(joined, "id long, hv binary"))
 
 
 def related(vectors: DataFrame, query: bytes, k: int, dim: int = DIM) -> DataFrame:
