@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graphs, ledger, retrieval, streams
+from .plans import graphs, ledger, numeric, retrieval, streams, vaults
 
-PARTS = [retrieval, graphs, ledger, streams]
+PARTS = [retrieval, graphs, ledger, streams, vaults, numeric]
 
 
 def queries() -> dict:

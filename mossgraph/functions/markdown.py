@@ -178,3 +178,23 @@ def block_rows(docs: DataFrame) -> DataFrame:
     """A row for each block, with an identifier that repeats."""
     made = docs.select(F.col("id").alias("file_id"), F.inline("blocks"))
     return made.withColumn("block_id", F.sha2(F.concat_ws("|", "file_id", F.col("order_index").cast("string")), 256))
+
+
+def sections(blocks: DataFrame) -> DataFrame:
+    """file_id, heading, level, line, stop of each heading's section: up to the next heading of its level or above (null at
+    the end).  A file's headings are gathered; each looks only at those behind it."""
+    heads = blocks.where("block_type = 'heading'").select("file_id", F.struct("order_index", "line", "level", F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), 1), "^#+", "")).alias("heading")).alias("h"))
+    gathered = heads.groupBy("file_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    opened = gathered.select("file_id", "hs", F.explode("hs").alias("h"))
+    behind = F.filter("hs", lambda o: (o["order_index"] > F.col("h.order_index")) & (o["level"] <= F.col("h.level")))
+    return opened.select("file_id", "h.heading", "h.level", "h.line", F.get(behind, F.lit(0))["line"].alias("stop"))
+
+
+def shown(rows: DataFrame, content: str = "content", heading: str = "heading", block_ref: str = "block_ref") -> DataFrame:
+    """rows with shown: what an embed of a text shows, by its heading or anchor."""
+
+    @F.pandas_udf("string")
+    def show(text: pd.Series, head: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else embedded(t, h, r) for t, h, r in zip(text, head, ref)])
+
+    return rows.withColumn("shown", show(F.col(content), F.col(heading), F.col(block_ref)))

@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import graph
 
 K1, B = 1.2, 0.75
@@ -80,3 +81,11 @@ def fused(ranked: dict[str, DataFrame], k: int, id_col: str = "block_id") -> Dat
         every = part if every is None else every.unionByName(part)
     summed = every.groupBy(id_col).agg(F.round(F.sum("share"), 6).alias("score"), F.count_distinct("leg").alias("legs"), F.min("leg").alias("leg"))
     return summed.select(id_col, "score", F.when(F.col("legs") > 1, "both").otherwise(F.col("leg")).alias("matched_via")).orderBy(F.desc("score"), id_col).limit(k)
+
+
+def described(hits: DataFrame, told: DataFrame, query: str, id_col: str = "block_id") -> DataFrame:
+    """hits (a few hundred rows) with path, title, line and snippet.  told: id, path, title, line, content of every block.
+
+    The hits are broadcast, so the blocks are read once and not shuffled."""
+    found = told.join(F.broadcast(hits), id_col)
+    return found.select(id_col, "score", "matched_via", "path", "title", "line", T.snippet(F.col("content"), query).alias("snippet")).orderBy(F.desc("score"), id_col)

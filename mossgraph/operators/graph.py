@@ -87,17 +87,25 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, until_sta
     return labels
 
 
-def relabelled(labels: DataFrame) -> DataFrame:
-    """Contiguous labels from 0 in the order of each community's first node.
-
-    Communities are range-partitioned; each partition numbers its own and starts after those before it."""
-    first = labels.groupBy("label").agg(F.min("id").alias("first"))
-    dealt = checkpointed(first.repartitionByRange("first").withColumn("part", F.spark_partition_id()))
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place (from 0) in an order over all of them, which has no ties: each range partition numbers its own
+    rows and starts after those before it."""
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1)
-    ranked = own.join(F.broadcast(starts), "part").select("label", (F.col("own") + F.col("start")).cast("long").alias("community"))
-    return labels.join(ranked, "label").select("id", "community")
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+    return own.join(F.broadcast(starts), "part").select(*rows.columns, (F.col("own") + F.col("start")).cast("long").alias(name))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """rows with place: a seeded order that any engine can repeat."""
+    return numbered(rows.withColumn("__turn", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))), ["__turn", key], "place").drop("__turn")
+
+
+def relabelled(labels: DataFrame) -> DataFrame:
+    """Contiguous labels from 0 in the order of each community's first node."""
+    first = numbered(labels.groupBy("label").agg(F.min("id").alias("first")), ["first"], "community")
+    return labels.join(first.select("label", "community"), "label").select("id", "community")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -54,3 +54,16 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, with
     window = Window.partitionBy(*keys).orderBy(at, "__late", "__v").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn(f"{value}_as_of", F.last("__v", ignorenulls=True).over(window))
     return both.where("__late = 1").select(*keys, at, *[F.col(f"__row.{c}").alias(c) for c in kept], f"{value}_as_of")
+
+
+def to_blocks(links: DataFrame, blocks: DataFrame) -> DataFrame:
+    """links (file_id, block_ref) with target_block_id: the first block of the target that has the anchor, null if none has."""
+    anchors = blocks.where(F.col("user_ref").isNotNull()).groupBy(F.col("file_id").alias("__file"), F.col("user_ref").alias("__ref")).agg(F.min_by("block_id", "order_index").alias("target_block_id"))
+    return links.join(anchors, (F.col("file_id") == F.col("__file")) & (F.col("block_ref") == F.col("__ref")), "left").drop("__file", "__ref")
+
+
+def in_context(links: DataFrame, blocks: DataFrame, source: str = "source") -> DataFrame:
+    """links (source, line) with the block they stand in: block_id, block_type and context, the last that starts at or before
+    the line; null where there is none.  blocks: the same source column, line, block_id, block_type, content."""
+    found = as_of(links, blocks.select(source, "line", F.struct("block_id", "block_type", F.col("content").alias("context")).alias("block")), source, "line", "block")
+    return found.select(*[c for c in found.columns if c != "block_as_of"], "block_as_of.*")

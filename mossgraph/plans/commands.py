@@ -129,14 +129,10 @@ class Workspace(api.Engine):
     # -- links and blocks
 
     def get_outline(self, path: str) -> DataFrame:
-        heads = self.blocks.where("block_type = 'heading'").join(self.documents.where(F.col("path") == path).select(F.col("id").alias("file_id")), "file_id")
-        return heads.select("level", F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), 1), "^#+", "")).alias("text"), "line").orderBy("line")
+        return self.outline().where(F.col("path") == path).select("level", "text", "line").orderBy("line")
 
     def list_link_candidates(self, asked: str = "", limit: int | None = None) -> DataFrame:
-        """Files whose path or title holds a text, the newest first."""
-        named = self.documents.select("path", "title").join(self.files.select("path", "modified_at"), "path")
-        found = named.where(F.lower("path").contains(asked.lower()) | F.lower("title").contains(asked.lower())) if asked else named
-        return found.orderBy(F.desc("modified_at"), "path").limit(api.clamped(limit, 50, 1, 500))
+        return self.candidates(asked, limit)
 
     def resolve_embed(self, target: str, heading: str | None = None, block_ref: str | None = None) -> dict | None:
         """Path and text of what an embed shows; null if its target isn't there."""
