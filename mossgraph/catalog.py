@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graphs, ledger, numeric, retrieval, streams, vaults
+from .plans import graphs, ledger, numeric, retrieval, stores, streams, vaults
 
-PARTS = [retrieval, graphs, ledger, streams, vaults, numeric]
+PARTS = [retrieval, graphs, ledger, streams, vaults, numeric, stores]
 
 
 def queries() -> dict:

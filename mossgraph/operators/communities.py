@@ -56,4 +56,26 @@ def context(hits: DataFrame) -> DataFrame:
 
 def citations(answer: Column) -> dict[str, Column]:
     """Communities and notes an answer cites, each once, in order; malformed marks are left out."""
-    return {"communities": F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[C(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))), "notes": F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[N:([^\[\]]+)\]"), F.lit(1)), F.trim))}
+    return {"communities": F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[C(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))), "notes": F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[N:([^\[\]]+)\]"), F.lit(1)), lambda x: F.trim(x)))}
+
+
+def level_report(groups: DataFrame) -> DataFrame:
+    """level, communities, members, mean size and largest of each level.  groups: level, members."""
+    return groups.groupBy("level").agg(F.count(F.lit(1)).alias("communities"), F.sum("members").alias("members"), F.round(F.avg("members"), 6).alias("mean_size"), F.max("members").alias("largest"))
+
+
+def meta_summaries(members: DataFrame, group: str, order: str, text: str, chunk: int = 12) -> DataFrame:
+    """group, chunks, summary: members in chunks of so many, each chunk's texts joined, and the chunks' texts joined again."""
+    placed = members.withColumn("__chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / chunk))
+    inner = placed.groupBy(group, "__chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "; ").alias("__part"))
+    outer = inner.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("__chunk", "__part"))).alias("__parts"))
+    return outer.select(group, F.size("__parts").cast("long").alias("chunks"), F.array_join(F.transform("__parts", lambda x: F.concat(F.lit("["), x["__part"], F.lit("]"))), "\n").alias("summary"))
+
+
+def answer_prompt(context_: Column, question: Column) -> Column:
+    """What a chat model is asked, with the themes that it may cite."""
+    return F.concat(F.lit("Answer from these themes and cite them as [C<number>].\n\n"), context_, F.lit("\n\nQuestion: "), question)
+
+
+def summary_prompt(title: Column, entries: Column) -> Column:
+    return F.concat(F.lit("Summarise these notes on "), title, F.lit(" in a few sentences.\n\n"), entries)

@@ -117,8 +117,8 @@ def decided(candidate: Column, neighbours: Column) -> Column:
 class Memory:
     """Facts of one key, in order: each candidate sees what the ones before it changed."""
 
-    def __init__(self, nearest: int = 5):
-        self.nearest, self.facts, self.history, self.count = nearest, {}, [], 0
+    def __init__(self, nearest: int = 5, policy=decide):
+        self.nearest, self.policy, self.facts, self.history, self.count = nearest, policy, {}, [], 0
 
     @staticmethod
     def _places(text: str) -> dict[int, int]:
@@ -135,7 +135,7 @@ class Memory:
             scale = size(own) * size(places)
             near.append((i, text, sum(v * places.get(k, 0) for k, v in own.items()) / scale if scale else 0.0))
         near = sorted(near, key=lambda n: (-n[2], n[0]))[: self.nearest]
-        op, about = decide(candidate, near)
+        op, about = self.policy(candidate, near)
         before = self.facts[about][0] if about is not None else None
         if op == "ADD":
             about, self.count = f"f{self.count:06d}", self.count + 1
@@ -147,14 +147,16 @@ class Memory:
         return op
 
 
-def remembered(messages: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """key, step, fact_id, op, prev_text, new_text: each key's history of facts.  Strictly ordered within a key."""
+def remembered(messages: DataFrame, key: str, order: str, text: str, extract=facts_in, policy=decide) -> DataFrame:
+    """key, step, fact_id, op, prev_text, new_text: each key's history of facts.  Strictly ordered within a key.
+
+    extract makes candidates of a text column, policy decides on one by its neighbours (as ``decide`` does)."""
     import pandas as pd
 
-    found = messages.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("at"), F.posexplode(facts_in(F.coalesce(text, F.lit("")))).alias("part", "fact"))
+    found = messages.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("at"), F.posexplode(extract(F.coalesce(text, F.lit("")))).alias("part", "fact"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        memory = Memory()
+        memory = Memory(policy=policy)
         for fact in frame.sort_values(["at", "part", "fact"])["fact"]:
             memory.take(fact)
         return pd.DataFrame([(frame["key"].iloc[0], k, *h) for k, h in enumerate(memory.history)], columns=["key", "step", "fact_id", "op", "prev_text", "new_text"])

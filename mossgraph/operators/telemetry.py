@@ -29,14 +29,18 @@ def units(cents: Column) -> Column:
     return F.round(cents * UNITS).cast("long")
 
 
-def since_midnight(ledger: DataFrame, now: Column, at: str = "ts", cost: str = "cost") -> DataFrame:
-    """One row: whole cents spent since the start of now's UTC day.  ``now`` is given, so results repeat."""
+def since_midnight(ledger: DataFrame, now: Column, at: str = "ts", cost: str = "cost", operations: list[str] | None = None) -> DataFrame:
+    """One row: whole cents spent since the start of now's UTC day, by some operations or all.  ``now`` is given, so results repeat."""
+    ledger = ledger.where(F.col("operation").isin(operations)) if operations is not None else ledger
     spent = ledger.where((F.col(at) >= F.date_trunc("day", now)) & (F.col(at) <= now)).agg(F.coalesce(F.sum(cost), F.lit(0)).cast("long").alias("units"))
     return spent.select((F.col("units") / UNITS).cast("long").alias("cents"))
 
 
-def cache_ratio(ledger: DataFrame, now: Column, hours: int, at: str = "ts") -> DataFrame:
-    """One row: cache reads over all input tokens in the last hours (1 to 720), null if there are none."""
+def cache_ratio(ledger: DataFrame, now: Column, hours: int, at: str = "ts", actor=None, operation: str | None = None) -> DataFrame:
+    """One row: cache reads over all input tokens in the last hours (1 to 720), of an actor or operation or all; null if there
+    are none."""
+    for name, value in (("actor", actor), ("operation", operation)):
+        ledger = ledger.where(F.col(name) == value) if value is not None else ledger
     hours = max(1, min(720, hours))
     recent = ledger.where((F.col(at) >= now - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(at) <= now))
     sums = recent.agg(F.sum("cache_read").alias("r"), F.sum("cache_write").alias("w"), F.sum("input").alias("i"))

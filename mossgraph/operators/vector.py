@@ -134,3 +134,21 @@ def to_bytes(vector: list[float]) -> bytes:
 
 def from_bytes(data: bytes) -> list[float]:
     return np.frombuffer(data[: len(data) // 4 * 4], dtype="<f4").tolist()
+
+
+class Hashed:
+    """The encoder that is always there: ``embedded`` tokens."""
+
+    def ready(self) -> bool:
+        return True
+
+    def dim(self) -> int:
+        return T.DIM
+
+    def encode(self, rows: DataFrame, text: str) -> DataFrame:
+        return embedded(rows.withColumn("__words", T.tokens(F.col(text))), "__words").drop("__words")
+
+
+def chosen(encoders: list) -> object:
+    """The first encoder of a list that is ready (one whose model isn't there is passed over), else the hashed one."""
+    return next((e for e in encoders if e.ready()), Hashed())

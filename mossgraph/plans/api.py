@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import links as L
 from ..functions import markdown
 from ..functions import text as T
-from ..operators import fulltext, graph, links, vector
+from ..operators import fulltext, graph, links, mutations, vector
 from ..sources import files as sources
 
 
@@ -89,13 +89,38 @@ def related_section(text: str, target: str, alias: str | None = None) -> str:
 class Engine:
     """The tables of a vault, derived once in one plan: files to documents, blocks and links."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame):
+    def __init__(self, spark: SparkSession, files: DataFrame, encoders: list | None = None):
+        """encoders: ones that search by meaning should use before the hashed one, in order; those not ready are passed over."""
         self.spark, self.files = spark, files.where("error IS NULL") if "error" in files.columns else files
+        self.encoder, self.requests = vector.chosen(encoders or []), 0
         self.documents = markdown.documents(self.files)
+        self.raw_links = self._links_in(self.files)
+        self._resolve()
+
+    @staticmethod
+    def _links_in(files: DataFrame) -> DataFrame:
+        return L.links_of(files).withColumn("link_id", F.sha2(F.concat_ws("|", "source", F.col("line").cast("string"), F.col("column").cast("string")), 256))
+
+    def _resolve(self) -> None:
+        """Blocks, and all links against the files of now, so none has to be healed later."""
         self.blocks = markdown.block_rows(self.documents)
-        raw = L.links_of(self.files).withColumn("link_id", F.sha2(F.concat_ws("|", "source", F.col("line").cast("string"), F.col("column").cast("string")), 256))
         names = self.documents.select(F.col("path").alias("file_id"), "path", "title")
-        self.links = links.resolved(raw, names).withColumn("is_resolved", F.col("file_id").isNotNull())
+        self.links = links.resolved(self.raw_links, names).withColumn("is_resolved", F.col("file_id").isNotNull())
+
+    def keep(self) -> Engine:
+        """Files, documents and links kept, so that what follows doesn't read the vault again."""
+        self.files, self.documents, self.raw_links = (graph.checkpointed(x) for x in (self.files, self.documents, self.raw_links))
+        self._resolve()
+        return self
+
+    def index(self, changed: DataFrame, removed: list[str] = ()) -> Engine:
+        """Take changed files (as files) in, and removed paths out: only they are parsed, other rows stay as they are kept."""
+        files = changed.select(self.files.columns)
+        gone = files.select("path").unionByName(self.spark.createDataFrame([(p,) for p in removed], "path string"))
+        self.files = mutations.replaced(self.files, files, "path", gone)
+        self.documents = mutations.replaced(self.documents, markdown.documents(files), "path", gone)
+        self.raw_links = mutations.replaced(self.raw_links, self._links_in(files), "source", gone.withColumnRenamed("path", "source"))
+        return self.keep()
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Engine:
@@ -167,10 +192,18 @@ class Engine:
         full = fulltext.bm25(rows, query, 3 * n)
         tokens = self.spark.range(1).select(T.tokens(F.lit(query)).alias("t")).first()["t"]
         known = rows if media is None else rows.unionByName(media.select(F.col("path").alias("block_id"), F.col("description").alias("content")))
-        near = vector.query_scores(known.select("block_id", T.tokens(F.col("content")).alias("tokens")), list(tokens)).select("block_id", F.round("score", 6).alias("score")).where("score > 0.01").orderBy(F.desc("score"), "block_id").limit(3 * n)
+        if not isinstance(self.encoder, vector.Hashed):
+            asked = self.encoder.encode(self.spark.createDataFrame([(query,)], "content string"), "content").first()["embedding"]
+            near = vector.nearest_to(self.encoder.encode(known, "content"), list(asked), 3 * n, 0.01, "block_id")
+        else:
+            near = self._near(known, list(tokens), 3 * n)
         legs = {"fts": {"fts": full}, "semantic": {"semantic": near}, "hybrid": {"fts": full, "semantic": near}}[mode]
         return fulltext.described(fulltext.fused(legs, n), self._told(media), query)
 
+    @staticmethod
+    def _near(known: DataFrame, tokens: list[str], k: int) -> DataFrame:
+        return vector.query_scores(known.select("block_id", T.tokens(F.col("content")).alias("tokens")), tokens).select("block_id", F.round("score", 6).alias("score")).where("score > 0.01").orderBy(F.desc("score"), "block_id").limit(k)
+
     def _told(self, media: DataFrame | None) -> DataFrame:
         """block_id, path, title, line, content of everything that can be found."""
         told = self.blocks.join(self.documents.select(F.col("id").alias("file_id"), "path", "title"), "file_id").select("block_id", "path", "title", F.col("line").cast("long").alias("line"), "content")
@@ -204,7 +237,7 @@ def dispatch(engine: Engine, request: dict, tools: dict = TOOLS) -> dict:
     A tool's rows are the text of the response's content, as JSON, and its structured content; a result of more than
     MOST_ROWS says that it was cut."""
     at, method, params = request.get("id"), request.get("method"), request.get("params") or {}
-    engine.requests = getattr(engine, "requests", 0) + 1
+    engine.requests += 1
     error = lambda code, text: {"jsonrpc": "2.0", "id": at, "error": {"code": code, "message": text}}
     answer = lambda result: {"jsonrpc": "2.0", "id": at, "result": result}
     if request.get("jsonrpc") != "2.0" or not method:

@@ -64,15 +64,34 @@ class Workspace(api.Engine):
 
     def __init__(self, spark: SparkSession, root: str, provider: workflow.Provider | None = None, downloader: Callable[[str, str], str] | None = None, ledger: DataFrame | None = None):
         self.root, self.provider, self.downloader, self.ledger = os.path.abspath(root), provider or workflow.Echo(), downloader, ledger
-        self.session, self.network, self.energy, self.themes = Session(), None, None, None
+        self.session, self.network, self.energy, self.themes, self.serving = Session(), None, None, None, False
         super().__init__(spark, sources.vault(spark, self.root))
 
     def reindex_vault(self) -> DataFrame:
         """indexed, skipped; the plans are made anew, so files that changed are read again."""
-        scanned = sources.vault(self.spark, self.root)
-        super().__init__(self.spark, scanned)
+        scanned, counted = sources.vault(self.spark, self.root), self.requests
+        super().__init__(self.spark, scanned, [self.encoder])
+        self.requests = counted
         return scanned.agg(F.count_if(F.col("error").isNull()).alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("skipped"))
 
+    # -- the server of tools, in this process: requests are dicts, and transport is others' work
+
+    def start_mcp_server(self) -> dict:
+        self.serving = True
+        return self.mcp_status()
+
+    def stop_mcp_server(self) -> dict:
+        self.serving = False
+        return self.mcp_status()
+
+    def mcp_status(self) -> dict:
+        return {"running": self.serving, "requests": self.requests, "tools": sorted(TOOLS)}
+
+    def handle(self, request: dict) -> dict:
+        if not self.serving:
+            raise ValueError("the server isn't running")
+        return api.dispatch(self, request, TOOLS)
+
     # -- files
 
     def _at(self, path: str) -> str:
@@ -332,6 +351,19 @@ class Workspace(api.Engine):
     def embeddings_model_status(self, manifest: DataFrame, folder: str = "models") -> DataFrame:
         return sources.models(sources.media_files(self.spark, self._at(folder), None), manifest)
 
+    def download_embeddings_model(self, name: str, manifest: DataFrame, folder: str = "models") -> DataFrame:
+        """Files of a model (name, path, size_bytes, url) that aren't there yet, by the downloader; then the model's status."""
+        if self.downloader is None:
+            raise ValueError("no downloader is set")
+        own = manifest.where(F.col("name") == name).collect()
+        if not own:
+            raise ValueError("no such model")
+        there = {r["path"]: r["size_bytes"] for r in sources.media_files(self.spark, self._at(folder), None).select("path", "size_bytes").collect()}
+        for r in own:
+            if there.get(r["path"]) != r["size_bytes"]:
+                self.downloader(r["url"], self._at(folder))
+        return self.embeddings_model_status(manifest.where(F.col("name") == name), folder)
+
     def list_skills(self, folder: str = "skills") -> DataFrame:
         return sources.skills(sources.vault(self.spark, self._at(folder)))
 
@@ -365,6 +397,35 @@ class Workspace(api.Engine):
         return self._ledger().orderBy(F.desc("ts"), F.desc("event_id")).limit(api.clamped(limit, 50, 1, 500))
 
 
+class Desk:
+    """The vault that is open, if one is: what opening, closing and asking for it mean in a process."""
+
+    def __init__(self, spark: SparkSession, **given):
+        self.spark, self.given, self.workspace = spark, given, None
+
+    def open_vault(self, root: str) -> dict:
+        if not os.path.isdir(root):
+            raise ValueError("no such folder")
+        self.workspace = Workspace(self.spark, root, **self.given)
+        return self.current_vault()
+
+    def close_vault(self) -> dict:
+        self.workspace = None
+        return self.current_vault()
+
+    def current_vault(self) -> dict:
+        return {"open": self.workspace is not None, "root": self.workspace.root if self.workspace else None}
+
+    def call(self, name: str, /, **arguments):
+        if name in DESK_COMMANDS:
+            return getattr(self, name)(**arguments)
+        if self.workspace is None:
+            raise ValueError("no vault is open")
+        return call(self.workspace, name, **arguments)
+
+
+DESK_COMMANDS = ("open_vault", "close_vault", "current_vault")
+
 #: Commands whose methods are named otherwise, by name.
 OTHER_NAMES = {
     "read_file": "read",
@@ -377,7 +438,8 @@ COMMANDS = """reindex_vault list_files read_file write_file create_file delete_f
 list_link_candidates resolve_embed get_graph_snapshot search_vault find_related rebuild_graph_rag graph_rag_query list_communities_at_level
 max_community_level ssm_status ssm_reset ssm_step_text streaming_chat media_tools_status ingest_media ingest_url scan_media list_media delete_media
 suggest_links find_orphan_notes apply_link_suggestion list_canvases read_canvas write_canvas create_canvas start_cortex stop_cortex send_observation
-cortex_status embeddings_model_status list_skills list_workflows run_workflow get_cache_stats get_today_cost_cents get_recent_audit_log""".split()
+cortex_status embeddings_model_status list_skills list_workflows run_workflow get_cache_stats get_today_cost_cents get_recent_audit_log
+start_mcp_server stop_mcp_server mcp_status download_embeddings_model""".split()
 
 #: The tools of a workspace: those that read, and a note's writing and questions to communities.
 TOOLS = api.TOOLS | {
@@ -386,7 +448,7 @@ TOOLS = api.TOOLS | {
 }
 
 
-def call(workspace: Workspace, name: str, **arguments):
+def call(workspace: Workspace, name: str, /, **arguments):
     """A command by its name."""
     if name not in COMMANDS:
         raise ValueError("no such command")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 #: Folders that a vault walk leaves out (an application's own folder comes as an option), and endings it takes; fixed values.
 PRUNED = (".git", "node_modules")
@@ -16,8 +16,13 @@ ENDINGS = (".md", ".markdown")
 
 
 def ignored(path: str, patterns: list[str]) -> bool:
-    """The last pattern that fits decides; a trailing slash means a folder, a leading one the top."""
-    out, parts = False, path.split("/")
+    return bool(verdict(path, patterns, False))
+
+
+def verdict(path: str, patterns: list[str], out: bool | None) -> bool | None:
+    """Whether a path is ignored, ``out`` where no pattern fits.  The last pattern that fits decides; a trailing slash means a
+    folder, a leading one the top."""
+    parts = path.split("/")
     for pattern in patterns:
         keep = pattern.startswith("!")
         p = pattern[1:] if keep else pattern
@@ -46,18 +51,32 @@ class VaultReader(DataSourceReader):
         self.pruned = {*PRUNED, *options.get("pruned", "").split()}
         self.endings = ("",) if options.get("every") else tuple(options.get("endings", " ".join(ENDINGS)).split())
 
-    def partitions(self) -> list[InputPartition]:
-        found, patterns = [], []
-        top = os.path.join(self.root, ".gitignore")
-        if os.path.isfile(top):
-            with open(top, errors="replace") as lines:
-                patterns = [x.strip() for x in lines if x.strip() and not x.startswith("#")]
+    def walked(self) -> Iterator[tuple[str, os.stat_result]]:
+        """Paths below the root that count, in order.  Each folder's ignore file holds below it, on top of those above; the
+        innermost one that says anything about a path decides."""
+        rules: dict[str, list[str]] = {}
         for folder, folders, names in os.walk(self.root):
             folders[:] = sorted(f for f in folders if f not in self.pruned)
+            here = os.path.relpath(folder, self.root).replace(os.sep, "/")
+            here = "" if here == "." else f"{here}/"
+            if ".gitignore" in names:
+                with open(os.path.join(folder, ".gitignore"), errors="replace") as lines:
+                    rules[here] = [x.strip() for x in lines if x.strip() and not x.startswith("#")]
             for name in sorted(names):
-                rel = os.path.relpath(os.path.join(folder, name), self.root).replace(os.sep, "/")
-                if name.endswith(self.endings) and not ignored(rel, patterns):
-                    found.append(rel)
+                rel = here + name
+                if not name.endswith(self.endings):
+                    continue
+                said = None
+                for top in sorted((t for t in rules if rel.startswith(t)), key=len):
+                    said = verdict(rel[len(top) :], rules[top], said)
+                if not said:
+                    try:
+                        yield rel, os.stat(os.path.join(folder, name))
+                    except OSError:
+                        continue  # gone meanwhile
+
+    def partitions(self) -> list[InputPartition]:
+        found = [rel for rel, _ in self.walked()]
         return [_Part(found[k :: self.parts]) for k in range(max(1, min(self.parts, len(found))))]  # none at all would be read as one without a name
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -83,6 +102,47 @@ class Vault(DataSource):
         return VaultReader(self.options)
 
 
+class ChangeReader(SimpleDataSourceStreamReader):
+    """What changed in a vault since the last batch: the offset is the list of its files with times and sizes."""
+
+    def __init__(self, options: dict):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"files": {}}
+
+    def now(self) -> dict:
+        return {"files": {rel: [int(s.st_mtime * 1000), s.st_size] for rel, s in VaultReader(self.options).walked()}}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        end = self.now()
+        return self.readBetweenOffsets(start, end), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        old, new = start["files"], end["files"]
+        kind = lambda path: "removed" if path not in new else "created" if path not in old else "modified"
+        return iter([(path, kind(path), (new.get(path) or old[path])[0]) for path in sorted({*old, *new}) if old.get(path) != new.get(path)])
+
+
+class Changes(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "vault_changes"
+
+    def schema(self) -> str:
+        return "path string, kind string, modified_at long"
+
+    def simpleStreamReader(self, schema) -> ChangeReader:
+        return ChangeReader(self.options)
+
+
+def changes(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """A stream of path, kind (created, modified, removed), modified_at; files changed several times between two batches
+    count once, so the trigger's interval is the debounce."""
+    spark.dataSource.register(Changes)
+    return spark.readStream.format("vault_changes").options(path=root, **options).load()
+
+
 def vault(spark: SparkSession, root: str, **options: str) -> DataFrame:
     """path (below the root), content, size_bytes, modified_at (ms), error.  The root is a folder all executors can read."""
     spark.dataSource.register(Vault)

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, state
@@ -141,3 +141,35 @@ def changes(old: DataFrame, new: DataFrame, key: str = "path", digest: str = "co
     joined = old.select(key, F.col(digest).alias("was")).join(new.select(key, F.col(digest).alias("now")), key, "full")
     kind = F.when(F.col("was").isNull(), "created").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "modified")
     return joined.select(key, kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def settled(events: DataFrame, key: str, at: str, kind: str, gap: str, order: str) -> DataFrame:
+    """key, at, kind: the last change of each burst of a key's changes, which ends when none comes for ``gap``."""
+    by = Window.partitionBy(key).orderBy(at, order)
+    apart = F.coalesce(F.lead(at).over(by) >= F.col(at) + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    return events.withColumn("__last", apart).where("__last").select(key, at, kind)
+
+
+def conflated(events: DataFrame, tick: str, order: list[str], value: str, every: int = 1) -> DataFrame:
+    """tick, value, seen of each tick from the first to the last: the latest observation of the tick wins, a tick without one
+    has zero; with ``every``, only each so many-th tick."""
+    latest = events.groupBy(tick).agg(F.max_by(value, F.struct(*order)).alias("value"), F.count(F.lit(1)).alias("seen"))
+    span = events.agg(F.min(tick).alias("a"), F.max(tick).alias("b"))
+    ticks = span.select(F.explode(F.sequence("a", "b")).alias(tick))
+    made = ticks.join(latest, tick, "left").fillna(0, ["seen"]).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return made.where(F.pmod(F.col(tick), F.lit(every)) == 0)
+
+
+def fires_twofold(rows: DataFrame, key: str, order: list[str], energy: str, progress: str, most: float, least: float, gap: int) -> DataFrame:
+    """key, tick, reason of each firing: energy first, else falling progress, not within ``gap`` ticks of the last firing; the
+    first is exempt.  The fold runs over the ticks that want to fire."""
+    why = F.when(F.col(energy) >= most, "energy").when(F.col(progress) <= least, "progress")
+    ticks = rows.select(key, why.alias("reason"), (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long").alias("tick"))
+    wanted = ticks.where("reason IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tick", "reason"))).alias("ts"))
+
+    def step(fired, x):
+        last = F.get(fired, F.size(fired) - 1)["tick"]
+        return F.when((F.size(fired) == 0) | (x["tick"] - last >= gap), F.concat(fired, F.array(x))).otherwise(fired)
+
+    folded = F.aggregate("ts", F.array().cast("array<struct<tick:bigint,reason:string>>"), step)
+    return wanted.select(key, F.inline(folded))

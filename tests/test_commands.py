@@ -28,7 +28,7 @@ def vault(spark, tmp_path):
 
 
 def test_every_command_has_a_method():
-    assert len(set(commands.COMMANDS)) == len(commands.COMMANDS) == 48
+    assert len(set(commands.COMMANDS)) == len(commands.COMMANDS) == 52 and len(commands.DESK_COMMANDS) == 3
     assert all(callable(getattr(commands.Workspace, commands.OTHER_NAMES.get(n, n))) for n in commands.COMMANDS)
 
 
@@ -110,6 +110,114 @@ def test_loop_and_telemetry(spark, vault):
     assert vault.get_recent_audit_log().count() == 1
 
 
+def test_desk_server_and_models(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A\n\nwords here\n")
+    desk = commands.Desk(spark, downloader=lambda url, folder: open(f"{folder}/m.bin", "wb").write(b"12345") and url)
+    with pytest.raises(ValueError):
+        desk.call("list_files")
+    with pytest.raises(ValueError):
+        desk.call("open_vault", root=str(tmp_path / "none"))
+    assert desk.call("open_vault", root=str(tmp_path))["open"] and desk.call("list_files").count() == 1
+    space = desk.workspace
+    with pytest.raises(ValueError):
+        space.handle({"jsonrpc": "2.0", "id": 1, "method": "ping"})
+    assert desk.call("start_mcp_server")["running"]
+    assert space.handle({"jsonrpc": "2.0", "id": 1, "method": "initialize"})["result"]["serverInfo"]["name"] == "mossgraph"
+    assert space.handle({"jsonrpc": "2.0", "id": 2, "method": "ping"})["result"] == {}
+    found = space.handle({"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "list_notes"}})["result"]
+    assert found["rows"][0]["path"] == "a.md" and not found["truncated"] and "a.md" in found["content"][0]["text"]
+    assert desk.call("mcp_status")["requests"] == 3 and not desk.call("stop_mcp_server")["running"]
+    (tmp_path / "models").mkdir()
+    manifest = spark.createDataFrame([("m", "m.bin", 5, "https://x/m.bin")], "name string, path string, size_bytes long, url string")
+    assert tuple(desk.call("download_embeddings_model", name="m", manifest=manifest).first()) == ("m", True, 5)
+    assert not desk.call("close_vault")["open"]
+
+
+def test_index_of_changed_files(spark):
+    """Taking changed files in gives what indexing everything would."""
+    kind = "path string, content string, size_bytes long, modified_at long, error string"
+    rows = {"a.md": "# A\n\nsee [[b]] and [[c#^x]]", "b.md": "to [[a]]", "c.md": "text\n^x"}
+    frame = lambda r: spark.createDataFrame([(p, t, len(t), 1, None) for p, t in r.items()], kind)
+    engine = api.Engine(spark, frame(rows)).keep()
+    changed = {"b.md": "# New\n\nto [[d]]", "d.md": "back to [[New]]"}
+    engine.index(frame(changed), ["c.md"])
+    whole = api.Engine(spark, frame({**rows, **changed} | {}).where("path != 'c.md'"))
+    for name in ("documents", "blocks", "links"):
+        assert sorted(map(str, getattr(engine, name).collect())) == sorted(map(str, getattr(whole, name).select(getattr(engine, name).columns).collect()))
+    assert [(r["source"], r["context"]) for r in engine.backlinks("d.md").collect()] == [("b.md", "to [[d]]")]
+
+
+def test_vault_changes_and_nested_ignore_files(spark, tmp_path):
+    from mossgraph.sources import files as sources
+
+    (tmp_path / "v" / "sub").mkdir(parents=True)
+    root = tmp_path / "v"
+    (root / ".gitignore").write_text("*.tmp.md\nsub/no.md\n")
+    (root / "sub" / ".gitignore").write_text("hidden.md\n!no.md\n")
+    for name in ("a.md", "b.tmp.md", "sub/no.md", "sub/hidden.md", "sub/c.md"):
+        (root / name).write_text(name)
+    assert sorted(r["path"] for r in sources.vault(spark, str(root)).collect()) == ["a.md", "sub/c.md", "sub/no.md"]
+    log, seen = str(tmp_path / "log"), []
+
+    def drain():
+        made = sources.changes(spark, str(root)).writeStream.option("checkpointLocation", log).foreachBatch(lambda b, n: seen.append(sorted((r["path"], r["kind"]) for r in b.collect()))).start()
+        made.processAllAvailable()
+        made.stop()
+
+    drain()
+    (root / "a.md").write_text("longer than before")
+    (root / "sub" / "c.md").unlink()
+    (root / "d.md").write_text("d")
+    drain()
+    got = [x for batch in seen for x in batch]
+    assert got == [("a.md", "created"), ("sub/c.md", "created"), ("sub/no.md", "created"), ("a.md", "modified"), ("d.md", "created"), ("sub/c.md", "removed")]
+
+
+def test_audited_calls_encoders_and_step_kinds(spark, tmp_path):
+    from mossgraph.operators import vector
+    from mossgraph.plans import workflow
+    from mossgraph.sources import store
+
+    at = store.Store(spark, str(tmp_path / "s"))
+    asked = workflow.Audited(workflow.Echo(), at, "some-opus", clock=lambda: 5)
+    assert asked.chat("x" * 400) == "[echo] " + "x" * 400
+    asked.chat("y")
+    rows = {r["input_tokens"]: r for r in at.read("audit_log").collect()}
+    assert len(rows) == 2 and rows[100]["status"] == "ok" and rows[100]["cost_micro_cents"] == round((100 * 1500 + 102 * 7500) / 1e6 * 10_000)
+
+    class Never(vector.Hashed):
+        def ready(self):
+            return False
+
+    class Other:
+        def ready(self):
+            return True
+
+        def dim(self):
+            return 2
+
+        def encode(self, rows, text):
+            return rows.withColumn("embedding", F.array(F.length(text).cast("double"), F.lit(1.0)))
+
+    assert isinstance(vector.chosen([Never()]), vector.Hashed) and isinstance(vector.chosen([Never(), Other()]), Other)
+    files = spark.createDataFrame([("a.md", "some words here", 15, 1, None)], "path string, content string, size_bytes long, modified_at long, error string")
+    hits = api.Engine(spark, files, [Other()]).search("some words", "semantic").collect()
+    assert hits[0]["path"] == "a.md" and hits[0]["snippet"] == "some words here"
+    done = workflow.run({"steps": [{"id": "1", "kind": "up", "args": {"t": "{{v}}"}}]}, {"v": "a"}, workflow.Echo(), kinds={"up": lambda args, before, *rest: args["t"].upper()})
+    assert done.outputs == ["A"] and workflow.run({"steps": [{"id": "1", "kind": "odd"}]}, {}, workflow.Echo()).error
+
+
+def test_filled_and_related_columns_like_their_plain_forms(spark):
+    texts = ["", "a\n", "# T\n\n## Related\n\n- [[x]]\n\n## Next\nb\n", "## Related\n", "x\n## Related\n- [[t]]\n", "# A\n\n## Related\n\n# B\n"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = {r["k"]: r["x"] for r in rows.select("k", api.with_related(F.col("t"), F.lit("t")).alias("x")).collect()}
+    assert {k: found[k] for k in (1, 2, 3, 4)} == {k: api.related_section(texts[k], "t") for k in (1, 2, 3, 4)}
+    templates = ["{{a}} {{ b }} {{c}}", "none", "{{a}}{{a}}", "", "{{a", "x {{b}}\ny {{a}} z"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(templates)], "k int, t string")
+    found = {r["k"]: r["x"] for r in rows.select("k", api.filled(F.col("t"), {"a": F.lit("{{b}}"), "b": F.lit("2")}).alias("x")).collect()}
+    assert found == {k: api.substituted(t, {"a": "{{b}}", "b": "2"}) for k, t in enumerate(templates)}
+
+
 def test_decisions_as_columns(spark):
     near = [("1", "I like tea", 0.95), ("2", "I do not like tea", 0.6)]
     cases = ["I like tea", "i  LIKE tea", "I never like tea", "I like tea with milk and sugar", "short"]
