@@ -8,9 +8,12 @@ forest of what they link, never all pairs; a group of very many fingerprints is
 become the groups.  Components are then joined by alternating star contraction, every round kept in the checkpoint folder.
 
 Two shapes are used.  ``CONTRACT``: 64 bits, three-word shingles, 2 errors, three tries.  Two fingerprints within 2 bits
-agree on one of three ranges, so no link is lost.  ``SIMILAR``: 256 bits over a text's different five-word shingles, which
-link when at least four fifths of the bits agree.  Texts with a Jaccard similarity of 0.8 differ in 15 % of the bits, so
-this takes them; texts that share nothing differ in half.  ``tries_for`` says how many tries that takes.
+agree on one of three ranges, so no link is lost.  ``SIMILAR``: 256 bits over a text's different five-word shingles, where
+at least four fifths of the bits have to agree.  Texts with a Jaccard similarity of 0.8 differ in 15 % of the bits, so this
+takes them; texts that share nothing differ in half.  ``tries_for`` says how many tries that takes.  Bits only estimate, so
+these links are candidates: each edge of the forest, a pair chosen close by close, is compared by its whole sets of
+shingles and stays if their Jaccard similarity is 0.8 or more.  No text is linked below that; a link is lost where its ends
+hang together, in each trie, through closer candidates of which one isn't similar enough.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows repeat in the result;
 null identifiers count only where a component has no other; an empty table gives an empty table; other columns pass
@@ -41,6 +44,8 @@ GROUP, ROWS = 1 << 15, 1 << 16
 FRONTIER, LEAF = 1 << 16, 16
 #: Accepted probability that fingerprints right at the budget of ``SIMILAR`` meet in none of its tries.
 MISS = 0.005
+#: Jaccard similarity of the sets of shingles from which wide fingerprints link, and edges that one copy of a text serves.
+LEAST, SERVED = 0.8, 256
 
 
 @dataclass(frozen=True)
@@ -106,12 +111,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted digests of a text's different shingles."""
+    parts = [np.frombuffer(h, dtype=">u8").astype(np.uint64) for h, _ in _digests(text, shingle)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are alike."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
 def wide_fingerprint(text: bytes | None, shape: Shape) -> bytes:
     """shape.words * 64 bits of a text's different shingles; a tie takes a bit of the whole set's own hash."""
-    parts = [np.frombuffer(h, dtype=">u8").astype(np.uint64) for h, _ in _digests(text, shape.shingle)]
-    if not parts:
+    found = shingle_set(text, shape.shingle)
+    if not len(found):
         return bytes(8 * shape.words)
-    found = np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
     turns = np.arange(1, shape.words + 1, dtype=np.uint64) * _ODD
     counts = np.zeros(64 * shape.words, dtype=np.int64)
     for k in range(0, len(found), STEP):
@@ -147,35 +163,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Forest:
-    """Connected rows, with a label array that numpy can compare."""
+    """Connected rows, with a label array that numpy can compare, and the pairs that connect them."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.pairs = [np.zeros((2, 0), dtype=np.int64)]
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+    def link(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        """Connect pairs of rows, far bits apart: each tree hangs on by the closest pair that leads to an earlier one."""
+        order = np.argsort(far, kind="stable")
+        a, b = a[order], b[order]
         while True:
             x, y = self.label[a], self.label[b]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            apart = low != high
+            apart = x != y
             if not apart.any():
                 return
-            a, b = a[apart], b[apart]
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            self.pairs.append(np.stack([a[first], b[first]]))
             parent = np.arange(len(self.label))
-            np.minimum.at(parent, high[apart], low[apart])
+            parent[high] = np.minimum(x, y)[first]
             while not np.array_equal(up := parent[parent], parent):
                 parent = up
             self.label = parent[self.label]
 
 
-def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, words: np.ndarray | None = None, shape: Shape = CONTRACT) -> np.ndarray:
-    """Labels of rows that are sorted by (group, side, key): rows linked through pairs within the budget share one.
+def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, words: np.ndarray | None = None, shape: Shape = CONTRACT) -> Forest:
+    """Rows that are sorted by (group, side, key): rows linked through pairs within the budget share a label.
 
     keys are the first 64 bits in the trie's order, words (a row each) all bits.  Groups with a side 1 join side 0 with
     side 1, others join with themselves.  A group's keys agree on their exact bits."""
     n = len(keys)
     forest = Forest(n)
     if n < 2:
-        return forest.label
+        return forest
     words = keys[:, None] if words is None else words
     turn = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     stop = np.r_[turn[1:], n]
@@ -212,8 +233,9 @@ def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, words:
                 b = f2[part][owner] + inside % wide[owner]
                 other = a != b
                 a, b = a[other], b[other]
-                near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= shape.budget
-                forest.link(a[near], b[near])
+                far = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+                near = far <= shape.budget
+                forest.link(a[near], b[near], far[near])
             front = front[:, ~small]
             lo1, hi1, lo2, hi2, left = front
         if not front.shape[1]:
@@ -234,7 +256,7 @@ def trie_forest(groups: np.ndarray, sides: np.ndarray, keys: np.ndarray, words:
         found = np.concatenate(nexts, axis=1)
         keep = (found[1] > found[0]) & (found[3] > found[2]) & (found[4] >= 0) & ~((found[0] == found[2]) & (found[1] - found[0] < 2))
         stack.append((depth - 1, found[:, keep]))
-    return forest.label
+    return forest
 
 
 def keys_of(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -254,10 +276,9 @@ def _linked(columns: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.nda
     order = np.lexsort([keys, side, high, low, prefix, trie])
     by = np.stack([trie, prefix, low, high])[:, order]
     groups = np.cumsum(np.r_[False, (by[:, 1:] != by[:, :-1]).any(axis=0)])
-    label = trie_forest(groups, side[order], keys[order], words[order], shape)
-    moved = label != np.arange(len(label))
-    names = fp[order]
-    return names[moved], names[label[moved]]
+    pairs = np.concatenate(trie_forest(groups, side[order], keys[order], words[order], shape).pairs, axis=1)
+    names = fp[order][pairs]
+    return names.max(axis=0), names.min(axis=0)
 
 
 def links(prints: DataFrame, shape: Shape = CONTRACT) -> DataFrame:
@@ -307,6 +328,32 @@ def links(prints: DataFrame, shape: Shape = CONTRACT) -> DataFrame:
     return for_python(dealt, F.col("*")).mapInArrow(tidy(joined), "u long, v long").where("u != v").distinct()
 
 
+def similar(edges: DataFrame, leads: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """The edges (u, v) whose texts have a Jaccard similarity of LEAST or more.  leads: fp, and doc_id and tie of one text.
+
+    A text with many edges is copied, once for each SERVED of them, and its edges are dealt over the copies."""
+    served = cut(edges.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("int").alias("copies")))
+    wanted = served.join(leads, "fp").select("fp", F.col("doc_id").alias("lead_id"), F.col("tie").alias("lead_tie"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("tie") == F.col("lead_tie"))).groupBy("fp").agg(F.min("text").alias("text"))
+    copied = cut(texts.join(served, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text"))
+    for end, other in (("u", "v"), ("v", "u")):
+        edges = edges.join(served.select(F.col("fp").alias(end), "copies"), end).withColumn(f"{end}_copy", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
+    for end in ("u", "v"):
+        edges = edges.join(copied.select(F.col("fp").alias(end), F.col("copy").alias(f"{end}_copy"), F.col("text").alias(f"{end}_text")), [end, f"{end}_copy"])
+
+    def each(batches):
+        for batch in batches:
+            keep, at, held = [], None, None
+            for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
+                if at != v:
+                    at, held = v, shingle_set(b.as_py(), shingle)
+                keep.append(similarity(shingle_set(a.as_py(), shingle), held) >= LEAST)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return for_python(edges, F.col("u"), F.col("v"), F.col("u_text"), F.col("v_text")).mapInArrow(tidy(each), "u long, v long")
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """node, root: root is the smallest node of the component.  Alternating star contraction until nothing changes, which
     takes a number of rounds in the order of the squared logarithm of the nodes."""
@@ -334,10 +381,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Without a shape, ``tries_for`` chooses it by the number of different fingerprints."""
     spark = docs.sparkSession
     rows = cut(fingerprints(docs, id_col, text_col, shape or tries_for(1)))
-    wide = [F.first("words").alias("words")] if "words" in rows.columns else []
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *wide))
+    wide = "words" in rows.columns
+    more = [F.first("words").alias("words"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("lead")] if wide else []
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *more))
     total, parts = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first(), shuffle_partitions(spark)
-    roots = stars(links(prints.drop("first_id", "n"), shape or tries_for(total[0])))
+    shape = shape or tries_for(total[0])
+    edges = links(prints.select("fp", *["words"] * wide), shape)
+    if wide:
+        edges = similar(cut(edges), prints.select("fp", "lead.doc_id", "lead.tie"), docs, id_col, text_col, shape.shingle)
+    roots = stars(edges)
     rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("prints"))
     table = rooted.join(whole, "root", "left").select("fp", "n", "root", "component_id", (F.col("prints") - 1).alias("n_links"))

@@ -323,10 +323,11 @@ def brute_wide(text):
 
 
 def brute_near(rows):
-    """Identifiers that stay: the smallest of each component of fingerprints that differ in at most 51 of 256 bits."""
-    prints = {}
-    for i, t in rows:
-        prints.setdefault(brute_wide(t), []).append(i)
+    """Identifiers that stay: the smallest of each component of texts with a Jaccard similarity of 0.8 or more."""
+    prints, texts = {}, {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        prints.setdefault(p := brute_wide(t), []).append(i)
+        texts.setdefault(p, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     root = {p: p for p in prints}
 
     def find(p):
@@ -335,7 +336,7 @@ def brute_near(rows):
         return p
 
     for a, b in itertools.combinations(sorted(root), 2):
-        if bin(a ^ b).count("1") <= 51:
+        if jaccard(texts[a], texts[b]) >= 0.8:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     groups = defaultdict(list)
@@ -364,7 +365,7 @@ def jaccard(a, b):
 
 
 def test_near_dedup_like_all_pairs(spark, docs, monkeypatch):
-    """Every pair of fingerprints within the budget is linked, texts as similar as 0.8 are, and unlike ones never."""
+    """The groups are those of all pairs of texts as similar as 0.8; others are never linked directly."""
     rows = near_texts()
     made = spark.createDataFrame(rows, "doc_id long, text string")
     for frame in (made, docs.select("doc_id", "text")):
@@ -381,6 +382,9 @@ def test_near_dedup_like_all_pairs(spark, docs, monkeypatch):
             assert found[a] == found[b]
         if similar == 0:
             assert not (a // 7 != b // 7 and found[a] == found[b])
+    hub = simhash.components(made, shape=None).groupBy("root").count().agg({"count": "max"}).first()[0]
+    monkeypatch.setattr(simhash, "SERVED", 1)
+    assert simhash.components(made, shape=None).groupBy("root").count().agg({"count": "max"}).first()[0] == hub
     long = [(1, LONG), (2, LONG + " end"), (3, "other " * 50_000)]
     assert sorted(r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(long, "doc_id long, text string")).collect()) == [1, 3]
     step = simhash.STEP
