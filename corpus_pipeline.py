@@ -2,8 +2,8 @@
 
 toxicity           documents that score 0.7 or more go
 exact_dedup        of equal texts the smallest identifier stays
-simhash_near_dedup of each component of texts whose fingerprints over five-word shingles agree in four fifths of their bits the
-                   smallest identifier stays
+simhash_near_dedup of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found
+                   by fingerprints and compared in full, the smallest identifier stays
 mixing             the documents are mixed to target weights: a row for each piece and slot, the text is the piece's
 byte_bpe           every piece is encoded and decoded
 
