@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+
+from pyspark.sql import SparkSession
+
 from .plans import graphs, ledger, numeric, retrieval, stores, streams, vaults
 
 PARTS = [retrieval, graphs, ledger, streams, vaults, numeric, stores]
@@ -13,3 +21,29 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for part in PARTS for name, sql in part.oracle_sql().items()}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of the session's executors, once, so that they find it from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_mossgraph_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="mossgraph-"), "mossgraph.zip")  # the driver serves it to executors
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                archive.write(full := os.path.join(folder, name), os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._mossgraph_shipped = True
+
+
+def shipped(query: Callable) -> Callable:
+    """The query, with the package sent first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
