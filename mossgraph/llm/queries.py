@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, license_scan, media, mixing, sharding, simhash, toxicity, url_filter
+from . import bpe, chat_format, exact_dedup, license_scan, media, mixing, packing, repair, sharding, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,15 @@ def op10_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.neighbouring_pairs(table(spark, sf_dir, "conversations"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.packed_documents(docs, tokenizer("word_bpe_49k.json")[0], keep_ids=False)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_toxicity, op2_mixing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_url_filter, op7_sharding, op8_simhash, op9_media, op10_chat_preference, pipeline]
+    named = [op1_toxicity, op2_mixing, op3_bpe, op4_exact_dedup, op5_license_scan, op6_url_filter, op7_sharding, op8_simhash, op9_media, op10_chat_preference, op11_packing, op12_repair, pipeline]
     return {f.__name__: f for f in named}
 
 
