@@ -54,19 +54,23 @@ WORD_END = b"\xff"
 # -- tokens
 
 
-def splitter(path: str) -> str:
-    """The vocabulary's splitter as a pattern of Python's: contractions, runs of letters, single numbers, runs of the rest.
+def splitter(path: str) -> tuple[str, dict[int, str]]:
+    """The vocabulary's splitter as a pattern of Python's (contractions, runs of letters, single numbers, runs of the rest),
+    and the lower case of letters that Python doesn't know.
 
-    Letters and numbers are those of Python's character table; the vocabulary's splitter is asked about the few that only a
-    later table has."""
+    Letters and numbers are those of Python's character table; the vocabulary is asked about the few that only a later
+    table has."""
     from tokenizers import Tokenizer
 
-    split, later = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str, regex.compile(r"[\p{L}\p{N}]").match
+    library, later, lower = Tokenizer.from_file(path), regex.compile(r"[\p{L}\p{N}]").match, {}
+    split = library.pre_tokenizer.pre_tokenize_str
     runs: dict[str, list[list[int]]] = {"L": [], "N": []}
     for code in range(sys.maxunicode + 1):
         kind = unicodedata.category(chr(code))
         if kind == "Cn" and later(chr(code)):
             kind = "L" if len(split("a" + chr(code))) == 1 else "N" if len(split(2 * chr(code))) == 2 else kind
+            if library.normalizer.normalize_str(chr(code)) != chr(code):
+                lower[code] = library.normalizer.normalize_str(chr(code))
         found = runs.get(kind[0])
         if found is not None:
             if found and found[-1][1] == code - 1:
@@ -74,7 +78,8 @@ def splitter(path: str) -> str:
             else:
                 found.append([code, code])
     letters, numbers = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found) for found in runs.values())
-    return rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+"
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+"
+    return pattern, lower
 
 
 def word_ranks(path: str) -> dict[bytes, int]:
@@ -120,12 +125,12 @@ def _merged(places: dict[tuple[str, str], int], word: str) -> list[str]:
 class WordEncoder(dict):
     """Ids of whole texts, as little-endian unsigned 32-bit integers; words between white space are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, lower: dict[int, str]):
         import tiktoken
 
         super().__init__()
         self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.older, self.used, self.pieces = {}, 0, re.compile(pattern).findall
+        self.older, self.used, self.lower, self.findall = {}, 0, lower, re.compile(pattern).findall
 
     def __missing__(self, word: str) -> bytes:
         packed = self.older.get(word)
@@ -140,6 +145,9 @@ class WordEncoder(dict):
             packed = struct.pack(f"<{len(ids)}I", *ids)
         return self._kept(word, packed)
 
+    def pieces(self, text: str) -> list[str]:
+        return self.findall(text.translate(self.lower) if not text.isascii() else text)
+
     def _kept(self, word: str, packed: bytes) -> bytes:
         if len(word) <= 64:
             if self.used >= MEMO_BYTES:
@@ -164,7 +172,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (array of int) for every piece of every row.
 
     The driver reads the vocabulary, whose size is that of its file, and broadcasts it."""
-    ranks = docs.sparkSession.sparkContext.broadcast((word_ranks(path), splitter(path)))
+    ranks = docs.sparkSession.sparkContext.broadcast((word_ranks(path), *splitter(path)))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     step = 4 * capacity

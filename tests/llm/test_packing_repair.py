@@ -34,7 +34,7 @@ def library(path):
 
 @pytest.fixture(scope="module")
 def encoder(path):
-    return packing.WordEncoder(packing.word_ranks(path), packing.splitter(path))
+    return packing.WordEncoder(packing.word_ranks(path), *packing.splitter(path))
 
 
 # -- packing
