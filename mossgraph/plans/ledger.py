@@ -14,8 +14,11 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def ledger(spark, sf_dir):
+    return ledger_of(table(spark, sf_dir, "events"))
+
+
+def ledger_of(e):
     """events as a ledger: value in cents becomes cost units, k of the props becomes token counts."""
-    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     return e.select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("user_id").alias("actor"), F.col("event_type").alias("operation"), telemetry.units(F.col("value")).alias("cost"), (k * 3).alias("input"), (k % 7).alias("cache_write"), (k * 2).alias("cache_read"), (k % 50).alias("output"))
 
