@@ -6,11 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import vector
 from .graph import checkpointed as graph_cut
 
 DIM = 10_000
@@ -30,29 +29,40 @@ def _seed_words(state: int) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
-def chacha_words(seed: int, n: int, rounds: int = 8) -> np.ndarray:
-    """The first n 32-bit words of the ChaCha stream of a seed, all blocks at once."""
+def chacha_streams(seeds: list[int], n: int, rounds: int = 8) -> np.ndarray:
+    """The first n 32-bit words of the ChaCha stream of each seed, as rows; all blocks of all seeds at once.
+
+    The 16 words of a block are four rows of four, so a round is four steps on whole rows, before and after the rows are
+    turned against each other."""
     blocks = -(-n // 16)
-    start = np.zeros((16, blocks), dtype=np.uint32)
-    start[:4] = np.frombuffer(b"expand 32-byte k", dtype="<u4")[:, None]
-    start[4:12] = _seed_words(seed)[:, None]
-    start[12] = np.arange(blocks, dtype=np.uint32)
-    x = start.copy()
-
-    def quarter(a: int, b: int, c: int, d: int) -> None:
-        for p, q, r, turn in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
-            x[p] += x[q]
-            x[r] ^= x[p]
-            x[r] = (x[r] << np.uint32(turn)) | (x[r] >> np.uint32(32 - turn))
+    start = np.zeros((4, 4, len(seeds), blocks), dtype=np.uint32)
+    start[0] = np.frombuffer(b"expand 32-byte k", dtype="<u4")[:, None, None]
+    if seeds:
+        start[1:3] = np.stack([_seed_words(seed) for seed in seeds]).T.reshape(2, 4, len(seeds), 1)
+    start[3, 0] = np.arange(blocks, dtype=np.uint32)
+    a, b, c, d = start.copy()
+
+    def half(x: np.ndarray, y: np.ndarray, z: np.ndarray, turn: int) -> None:
+        x += y
+        z ^= x
+        low = z >> np.uint32(32 - turn)
+        z <<= np.uint32(turn)
+        z |= low
 
     with np.errstate(over="ignore"):
-        for _ in range(rounds // 2):
-            for k in range(4):
-                quarter(k, 4 + k, 8 + k, 12 + k)
-            for k in range(4):
-                quarter(k, 4 + (k + 1) % 4, 8 + (k + 2) % 4, 12 + (k + 3) % 4)
-        x += start
-    return x.T.reshape(-1)[:n]
+        for k in range(rounds):
+            half(a, b, d, 16)
+            half(c, d, b, 12)
+            half(a, b, d, 8)
+            half(c, d, b, 7)
+            shift = -1 if k % 2 == 0 else 1
+            b, c, d = np.roll(b, shift, axis=0), np.roll(c, 2, axis=0), np.roll(d, -shift, axis=0)
+        x = np.stack([a, b, c, d]) + start
+    return x.transpose(2, 3, 0, 1).reshape(len(seeds), 16 * blocks)[:, :n]
+
+
+def chacha_words(seed: int, n: int, rounds: int = 8) -> np.ndarray:
+    return chacha_streams([seed], n, rounds)[0]
 
 
 def random_vector(seed: int, dim: int = DIM) -> np.ndarray:
@@ -132,10 +142,21 @@ class Packed(dict):
         self[token] = v = packed(random_vector(T.fnv1a(token), self.dim))
         return v
 
+    def draw(self, tokens: list[str]) -> None:
+        """Remember the vectors of tokens that aren't yet, a few dozen drawn at once."""
+        new = [t for t in dict.fromkeys(tokens) if t not in self]
+        for k in range(0, len(new), 32):
+            part = new[k : k + 32]
+            if len(self) + len(part) > self.most:
+                self.clear()
+            bits = chacha_streams([T.fnv1a(t) for t in part], self.dim) & 1
+            self.update(zip(part, map(bytes, np.packbits(bits == 1, axis=1, bitorder="little"))))
+
     def ones(self, tokens: list[str]) -> np.ndarray:
         """For each place, how many of the tokens' vectors are +1 there."""
         out = np.zeros(self.dim, dtype=np.int64)
         for k in range(0, len(tokens), 248):  # counted in bytes, eight places at once
+            self.draw(tokens[k : k + 248])
             bits = np.unpackbits(np.frombuffer(b"".join(map(self.__getitem__, tokens[k : k + 248])), dtype=np.uint8).reshape(-1, -(-self.dim // 8)), axis=1, bitorder="little")
             out += bits.view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)[: self.dim]
         return out
@@ -197,16 +218,152 @@ def related(vectors: DataFrame, query: bytes, k: int, dim: int = DIM) -> DataFra
     return vectors.select("id", F.round(score("hv"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def suggestions(vectors: DataFrame, edges: DataFrame, least: float = 0.18, per_source: int = 5, total: int = 100, dim: int = DIM) -> DataFrame:
-    """source, target, score, shared: similar notes that the source doesn't link to yet."""
-    from . import graph
+#: Rows that a block of ``packed_topk`` should hold, and rows of another block that one row meets in a step.
+BLOCK_ROWS, STEP = 2048, 512
+
+
+def packed_topk(vectors: DataFrame, k: int, least: float, linked: DataFrame | None = None, dim: int = DIM, blocks: int | None = None) -> DataFrame:
+    """source, target, score, rank: each packed vector's k most similar others of at least ``least`` that it isn't linked to.
+
+    Exact: rows are hashed into blocks and each pair of blocks meets once, for both directions; bits stay packed (a row is
+    dim / 8 bytes) and differing ones are counted 64 at a time.  Work is quadratic, memory is that of two blocks."""
+    if blocks is None:
+        blocks = vectors.count() // BLOCK_ROWS + 1
+    rows = vectors.select("id", "hv", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    if linked is not None:
+        out = linked.groupBy(F.col("source").alias("id")).agg(F.collect_set("target").alias("out"))
+        rows = rows.join(out, "id", "left")
+    else:
+        rows = rows.withColumn("out", F.lit(None).cast("array<long>"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = rows.select("id", "hv", "out", F.explode(F.filter(every, lambda b: b >= F.col("block"))).alias("b"), "block").select("id", "hv", "out", F.struct(F.col("block").alias("a"), "b").alias("pair"))
+    right = rows.select("id", "hv", "out", F.explode(F.filter(every, lambda a: a <= F.col("block"))).alias("a"), "block").select(F.col("id").alias("id2"), F.col("hv").alias("hv2"), F.col("out").alias("out2"), F.struct("a", F.col("block").alias("b")).alias("pair"))
+    limit, words = math.floor((1 - least) / 2 * dim + 1e-9), -(-dim // 64)
+
+    def bits(frame: pd.DataFrame) -> np.ndarray:
+        size = -(-dim // 8)
+        held = np.zeros((len(frame), words * 8), dtype=np.uint8)
+        held[:, :size] = np.frombuffer(b"".join(frame["hv"]), dtype=np.uint8).reshape(-1, size)
+        return held.view(np.uint64)
+
+    def best(src: np.ndarray, dst: np.ndarray, differs: np.ndarray, own: pd.DataFrame, ids: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort([ids[dst], differs, src])
+        src, dst, differs = src[order], dst[order], differs[order]
+        keep = np.ones(len(src), dtype=bool)
+        for at in np.unique(src):
+            span = slice(*np.searchsorted(src, [at, at + 1]))
+            if own["out"].iloc[at] is not None:
+                keep[span] &= ~np.isin(ids[dst[span]], np.asarray(own["out"].iloc[at]))
+            keep[span] &= np.cumsum(keep[span]) <= k
+        return pd.DataFrame({"source": own["id"].to_numpy()[src[keep]], "target": ids[dst[keep]], "score": np.round(1 - 2 * differs[keep] / dim, 6)})
+
+    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"source": [], "target": [], "score": []})
+        if not len(a) or not len(b):
+            return none
+        b = b.rename(columns={"id2": "id", "hv2": "hv", "out2": "out"})
+        a_bits, b_bits, a_ids, b_ids = bits(a), bits(b), a["id"].to_numpy(), b["id"].to_numpy()
+        found = []
+        for at in range(0, len(b), STEP):
+            other = b_bits[at : at + STEP]
+            for i in range(len(a)):
+                differs = np.bitwise_count(a_bits[i] ^ other).sum(axis=1, dtype=np.int32)
+                hit = np.flatnonzero((differs <= limit) & (a_ids[i] != b_ids[at : at + STEP]))
+                if len(hit):
+                    found.append((np.full(len(hit), i), at + hit, differs[hit]))
+        if not found:
+            return none
+        src, dst, differs = (np.concatenate(x) for x in zip(*found))
+        one = best(src, dst, differs, a, b_ids)
+        # A block that meets itself has each pair in both directions already.
+        return one if set(a_ids) == set(b_ids) else pd.concat([one, best(dst, src, differs, b, a_ids)])
+
+    pairs = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(met, "source long, target long, score double")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))).where(F.col("rank") <= k)
+
+
+def features(edges: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """id, feature, weight (unit length a note): what a note's vector is made of, as ``combined`` weighs it.
+
+    A note's text, each note it links to and each that links to it count one; the text's share is dealt to its tokens and
+    their neighbours (id, tokens)."""
+    ends = edges.select(F.col("src").alias("id"), F.struct(F.lit("o").alias("k"), F.col("dst").cast("string").alias("v")).alias("feature")).unionByName(edges.select(F.col("dst").alias("id"), F.struct(F.lit("i").alias("k"), F.col("src").cast("string").alias("v")).alias("feature")))
+    parts = ends.distinct().withColumn("w", F.lit(1.0))
+    if tokens is not None:
+        words = tokens.select("id", F.explode(F.concat("tokens", T.bigrams(F.col("tokens")))).alias("t")).groupBy("id", "t").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        norm = words.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+        parts = parts.unionByName(words.join(norm, "id").select("id", F.struct(F.lit("t").alias("k"), F.col("t").alias("v")).alias("feature"), (F.col("n") / F.col("norm")).alias("w")))
+    size = parts.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return parts.join(size, "id").select("id", "feature", (F.col("w") / F.col("size")).alias("weight"))
+
+
+def margin(least: float, dim: int = DIM) -> float:
+    """Cosine of two notes' features below which their vectors don't reach a similarity, but for chance of 3.5 deviations.
+
+    Two sums of random signs agree in sign by the arc sine of their correlation, and the features' cosine is no less
+    than that correlation (the text's share of it comes through an arc sine of its own)."""
+    return math.sin(math.pi / 2 * max(0.0, least - 3.5 / math.sqrt(dim)))
+
+
+def prefixed(weights: DataFrame, least: float) -> DataFrame:
+    """weights of the features that a pair of at least this cosine has to share: each note's, rarest first, up to where the
+    rest is shorter than the cosine; with ``df``, the number of notes that keep the feature."""
+    often = weights.groupBy("feature").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("id").orderBy(F.desc("often"), "feature")  # a note's own features
+    rest = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = weights.join(often, "feature").withColumn("rest", rest).where(F.col("rest") >= least * least - 1e-12).select("id", "feature", "weight")
+    return kept.join(kept.groupBy("feature").agg(F.count(F.lit(1)).alias("df")), "feature")
+
+
+def candidates(weights: DataFrame, kept: DataFrame, least: float) -> DataFrame:
+    """a, b (a < b): notes whose features have at least this cosine; exact.
+
+    Pairs that share a kept feature are proposed, and their cosine is summed over all features: what a note doesn't keep is
+    shorter than the cosine asked for, so no pair is missed."""
+    held = kept.where("df > 1").select("id", "feature")
+    near = held.withColumnRenamed("id", "a").join(held.withColumnRenamed("id", "b"), "feature").where("a < b").select("a", "b").distinct()
+    lists = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("f"))
+    both = near.join(lists.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(lists.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
+    dot = F.aggregate(F.map_entries("fa"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("fb", e["key"]), F.lit(0.0)))
+    return both.where(dot >= least).select("a", "b")
+
+
+def verified(pairs: DataFrame, vectors: DataFrame, least: float, dim: int = DIM) -> DataFrame:
+    """source, target, score in both directions of the pairs (a, b) whose vectors are that similar; bits compared packed."""
 
-    def each(frames):
-        for frame in frames:
-            yield pd.DataFrame({"vec_id": frame["id"], "embedding": [unpacked(h, dim).astype(float) for h in frame["hv"]]})
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        one, two = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), -1) for v in (x, y))
+        return pd.Series(1 - 2 * np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) / dim)
+
+    held = pairs.join(vectors.select(F.col("id").alias("a"), F.col("hv").alias("x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("hv").alias("y")), "b")
+    told = held.select("a", "b", F.round(score("x", "y"), 6).alias("score")).where(F.col("score") >= least)
+    return told.select(F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("a").alias("target")))).alias("p"), "score").select("p.*", "score")
+
+
+def suggestions(vectors: DataFrame, edges: DataFrame, least: float = 0.18, per_source: int = 5, total: int = 100, dim: int = DIM, tokens: DataFrame | None = None, exact: bool | None = None) -> DataFrame:
+    """source, target, score, shared: similar notes that the source doesn't link to yet.
+
+    Exact compares all pairs of vectors; otherwise vectors are compared where the notes' features (links and tokens) have
+    the cosine that such a similarity comes from.  By default the way with less to do is taken: pairs that share a kept feature
+    against all pairs, at a quarter each, since they have to be shuffled.  The ways differ by pairs that are similar by
+    chance: of notes with one or three links, whose even sums tie (ties count as +1), or beyond 3.5 deviations."""
+    from . import graph
 
-    dense = vectors.select("id", "hv").mapInPandas(each, "vec_id long, embedding array<double>")
-    near = vector.all_pairs_topk(dense, per_source, least, linked=edges.select(F.col("src").alias("source"), F.col("dst").alias("target")))
+    links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    weights = kept = None
+    if not exact:
+        weights = graph_cut(features(edges, tokens))
+        kept = graph_cut(prefixed(weights, margin(least, dim)))
+        if exact is None:
+            shared = kept.groupBy("feature").agg(F.first("df").cast("double").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+            n = vectors.count()
+            exact = shared > n * (n - 1) / 8
+    if exact:
+        near = packed_topk(vectors, per_source, least, links, dim)
+    else:
+        found = verified(candidates(weights, kept, margin(least, dim)), vectors, least, dim).join(links, ["source", "target"], "left_anti")
+        near = found.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))).where(F.col("rank") <= per_source)
     best = near.orderBy(F.desc("score"), "source", "target").limit(total).select(F.col("source").alias("a"), F.col("target").alias("b"), "score")
     shared = graph.shared_neighbours(edges, best.select("a", "b"))
     return best.join(shared, ["a", "b"]).select(F.col("a").alias("source"), F.col("b").alias("target"), "score", F.col("shared").cast("long").alias("shared"))

@@ -50,9 +50,12 @@ def change_feed(spark, sf_dir):
     return jobs.changes(at(e.where(F.col("event_id") <= half)), at(e), "fact_id")
 
 
+def _part_tokens(spark, sf_dir):
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
+
+
 def _hypervectors(spark, sf_dir):
-    parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
-    return graph.checkpointed(hyper.combined(hyper.encoded(parts), graphs.edges_of(spark, sf_dir)))
+    return graph.checkpointed(hyper.combined(hyper.encoded(_part_tokens(spark, sf_dir)), graphs.edges_of(spark, sf_dir)))
 
 
 def hdc_related(spark, sf_dir):
@@ -62,7 +65,7 @@ def hdc_related(spark, sf_dir):
 
 
 def hdc_suggest(spark, sf_dir):
-    return hyper.suggestions(_hypervectors(spark, sf_dir), graphs.edges_of(spark, sf_dir).select("src", "dst"))
+    return hyper.suggestions(_hypervectors(spark, sf_dir), graphs.edges_of(spark, sf_dir).select("src", "dst"), tokens=_part_tokens(spark, sf_dir))
 
 
 def vsa_recall(spark, sf_dir):
