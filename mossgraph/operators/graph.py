@@ -137,19 +137,24 @@ def _gains(node: int, own: int, near: dict, part: dict, weight: dict, total: dic
     return best
 
 
-def leiden(edges: list[tuple[int, int, float]], nodes: list[int], gamma: float = 1.0, levels: int = 4, sweeps: int = 30) -> list[dict[int, int]]:
+def leiden(
+    edges: list[tuple[int, int, float]], nodes: list[int], gamma: float = 1.0, levels: int = 4, sweeps: int = 30, weight: dict | None = None, part: dict | None = None, m: float | None = None
+) -> list[dict[int, int]]:
     """A partition for each level, finest first; labels are smallest members, so results don't depend on any order.
 
+    ``weight``, ``part`` and ``m`` are those of a contracted graph: the weight of each node with what is inside it, the community
+    it begins in, and half of the weight of the whole graph.
+
     Local moves, refinement inside the communities found, and aggregation of the refined parts, until nothing merges."""
     near: dict = {n: Counter() for n in nodes}
     for a, b, w in edges:
         if a in near and b in near and a != b:
             near[a][b] += w
             near[b][a] += w
-    weight = {n: sum(near[n].values()) for n in nodes}
-    m = sum(weight.values()) / 2
+    weight = weight or {n: sum(near[n].values()) for n in nodes}
+    m = sum(weight.values()) / 2 if m is None else m
     members = {n: [n] for n in nodes}
-    part = {n: n for n in nodes}
+    part = part or {n: n for n in nodes}
     found = []
     for _ in range(levels):
         if not m:
@@ -209,33 +214,6 @@ def leiden(edges: list[tuple[int, int, float]], nodes: list[int], gamma: float =
     return found
 
 
-def leiden_by_component(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, largest: int = 2_000_000) -> DataFrame:
-    """id, level, label.  A connected component is one task's work (modularity never joins components), and components are
-    found by label contraction first; one with more than ``largest`` edges raises."""
-    spread = edges.select("src", "dst", "weight")
-    labels = nodes.select("id", F.col("id").alias("label"))
-    near = both_ways(undirected(edges)).distinct()
-    while True:
-        low = near.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("low"))
-        new = checkpointed(labels.join(low, labels["id"] == low["src"], "left").select("id", "label", F.least("label", F.coalesce("low", "label")).alias("new")))
-        jumped = new.alias("a").join(new.select(F.col("id").alias("j"), F.col("new").alias("up")), F.col("a.new") == F.col("j")).select("id", "label", F.least("a.new", "up").alias("new"))
-        jumped = checkpointed(jumped)
-        done = jumped.where("label != new").isEmpty()
-        labels = jumped.select("id", F.col("new").alias("label"))
-        if done:
-            break
-
-    def work(ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
-        if len(es) > largest:
-            raise ValueError("a component is too large for one task")
-        out = leiden(list(es[["src", "dst", "weight"]].itertuples(index=False, name=None)), ns["id"].tolist(), gamma)
-        return pd.DataFrame([(n, k, c) for k, level in enumerate(out) for n, c in level.items()], columns=["id", "level", "label"])
-
-    owned = spread.join(labels.select(F.col("id").alias("src"), F.col("label").alias("component")), "src")
-    grouped = labels.withColumnRenamed("label", "component").groupBy("component").cogroup(owned.groupBy("component"))
-    return grouped.applyInPandas(work, "id long, level long, label long")
-
-
 #: Rows of a strip of pairs; its numbers should stay in a core's cache.
 STRIP = 128
 

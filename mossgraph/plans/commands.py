@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown, media
 from ..functions import text as T
-from ..operators import communities, graph, hyper, links, loop, state, telemetry, vector
+from ..operators import communities, graph, hyper, links, loop, partitions, state, telemetry, vector
 from ..sources import files as sources
 from . import api, workflow
 
@@ -204,7 +204,7 @@ class Workspace(api.Engine):
         A component that needs fewer levels than others keeps its last partition as its top."""
         nodes = self._nodes()
         weighted = graph.undirected(self._pairs()).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-        levels = graph.checkpointed(graph.leiden_by_component(nodes.select("id"), weighted, resolution))
+        levels = graph.checkpointed(partitions.leiden(nodes.select("id"), weighted, resolution))
         up = levels.select("id", (F.col("level") - 1).alias("level"), F.col("label").alias("parent"))
         grouped = levels.join(up, ["id", "level"], "left").join(nodes, "id")
         lead = self.files.select(F.xxhash64("path").alias("id"), T.leading_text(F.regexp_replace("content", r"(?s)^\x{FEFF}?---\n.*?\n---\n?", ""), communities.LEAD).alias("lead"))

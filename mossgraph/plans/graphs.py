@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links as L
 from ..functions import text as T
-from ..operators import communities, graph, links, vector
+from ..operators import communities, graph, links, partitions, vector
 from .retrieval import table, vector_query
 
 
@@ -115,7 +115,7 @@ def modularity(spark, sf_dir):
 
 
 def leiden(spark, sf_dir):
-    return graph.leiden_by_component(_nodes(spark, sf_dir), edges_of(spark, sf_dir))
+    return partitions.leiden(_nodes(spark, sf_dir), edges_of(spark, sf_dir))
 
 
 def layout(spark, sf_dir):

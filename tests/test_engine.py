@@ -10,7 +10,7 @@ from mossgraph import catalog
 from mossgraph.functions import links as L
 from mossgraph.functions import markdown, media
 from mossgraph.functions import text as T
-from mossgraph.operators import communities, fulltext, graph, hyper, kernels, links, mutations, state, telemetry, vector
+from mossgraph.operators import communities, fulltext, graph, hyper, kernels, links, mutations, partitions, state, telemetry, vector
 from mossgraph.plans import api
 from mossgraph.sources import files as sources
 from mossgraph.streaming import jobs
@@ -159,7 +159,7 @@ def test_graph_kernels(spark):
     labels = spark.createDataFrame(list(part.items()), "id long, label long")
     assert graph.modularity(frame, labels).first()["q"] > 0.25
     nodes = spark.createDataFrame([(i,) for i in range(8)], "id long")
-    found = {r["id"]: r["label"] for r in graph.leiden_by_component(nodes, frame).where("level = 0").collect()}
+    found = {r["id"]: r["label"] for r in partitions.leiden(nodes, frame).where("level = 0").collect()}
     assert len(set(found.values())) == 4
     clique = [(a, b, 1) for a in range(5) for b in range(a)]
     assert len(set(graph.leiden(clique, list(range(5)))[-1].values())) == 1 and len(set(graph.leiden([], [1, 2, 3])[-1].values())) == 3
