@@ -9,8 +9,8 @@ become the groups.  Components are then joined by alternating star contraction,
 
 Two shapes are used.  ``CONTRACT``: 64 bits, three-word shingles, 2 errors, three tries.  Two fingerprints within 2 bits
 agree on one of three ranges, so no link is lost.  ``SIMILAR``: 256 bits over a text's different five-word shingles, where
-at least four fifths of the bits have to agree.  Texts with a Jaccard similarity of 0.8 differ in 15 % of the bits, so this
-takes them; texts that share nothing differ in half.  ``tries_for`` says how many tries that takes.  Bits only estimate, so
+at least four fifths of the bits have to agree.  Texts with a Jaccard similarity of 0.8 differ in 15 % of the bits on average, and
+in more than 51 for one or two pairs in a hundred, which are missed unless a chain links them; texts that share nothing differ in half.  ``tries_for`` says how many tries that takes.  Bits only estimate, so
 these links are candidates: each edge of the forest, a pair chosen close by close, is compared by its whole sets of
 shingles and stays if their Jaccard similarity is 0.8 or more.  No text is linked below that; a link is lost where its ends
 hang together, in each trie, through closer candidates of which one isn't similar enough.
