@@ -52,6 +52,15 @@ def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     return edges.select("src", "dst", *extra).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *extra))
 
 
+def neighbour_lists(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, links_to, linked_from: each node's neighbours in both directions, in order and without repeats; nodes without
+    links have empty lists.  A hub's list is one cell of the result."""
+    ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.lit(None).cast("long").alias("frm")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(None).cast("long").alias("to"), F.col("src").alias("frm")))
+    held = ends.groupBy("id").agg(F.sort_array(F.collect_set("to")).alias("links_to"), F.sort_array(F.collect_set("frm")).alias("linked_from"))
+    none = F.array().cast("array<long>")
+    return nodes.select("id").distinct().join(held, "id", "left").select("id", F.coalesce("links_to", none).alias("links_to"), F.coalesce("linked_from", none).alias("linked_from"))
+
+
 #: Ends of edges up to which neighbour lists are broadcast (16 bytes each, with room for the arrays).
 LIST_ENDS = 4_000_000
 

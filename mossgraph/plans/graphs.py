@@ -96,6 +96,12 @@ def graph_neighbours(spark, sf_dir):
     return near.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"), F.min("dst").alias("first"), F.max("dst").alias("last"))
 
 
+def graph_neighbour_lists(spark, sf_dir):
+    """Both lists of every part, joined by commas."""
+    made = graph.neighbour_lists(_nodes(spark, sf_dir), edges_of(spark, sf_dir))
+    return made.select("id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("links_to", "linked_from")])
+
+
 def shared_neighbours(spark, sf_dir):
     edges = graph.checkpointed(edges_of(spark, sf_dir))
     return graph.shared_neighbours(edges, edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("a", "b", F.col("shared").cast("long").alias("shared"))
@@ -162,7 +168,7 @@ def graphrag_context(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [link_extract, link_classify, link_resolve_priority, backlinks, outgoing_links, orphans, dangling_edges, asof_source_block, graph_degree, graph_neighbours, shared_neighbours, edge_weights, label_propagation_k, modularity, leiden, layout, community_members, community_report, community_top_level, extractive_summary, graphrag_query, graphrag_context]
+    named = [link_extract, link_classify, link_resolve_priority, backlinks, outgoing_links, orphans, dangling_edges, asof_source_block, graph_degree, graph_neighbours, graph_neighbour_lists, shared_neighbours, edge_weights, label_propagation_k, modularity, leiden, layout, community_members, community_report, community_top_level, extractive_summary, graphrag_query, graphrag_context]
     return {f.__name__: f for f in named}
 
 
@@ -193,6 +199,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_degree": f"WITH {SQL_NEAR} SELECT src AS id, count(*) AS degree FROM n GROUP BY 1",
         "graph_neighbours": f"WITH {SQL_NEAR} SELECT src AS id, count(*) AS neighbours, min(dst) AS first, max(dst) AS last FROM n GROUP BY 1",
         "shared_neighbours": f"WITH {SQL_NEAR} SELECT e.src AS a, e.dst AS b, count(y.dst) AS shared FROM e LEFT JOIN n x ON x.src = e.src LEFT JOIN n y ON y.src = e.dst AND y.dst = x.dst GROUP BY 1, 2",
+        "graph_neighbour_lists": f"WITH {SQL_E}, t AS (SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS links_to FROM e GROUP BY 1), f AS (SELECT dst AS id, string_agg(src::VARCHAR, ',' ORDER BY src) AS linked_from FROM e GROUP BY 1) SELECT p_partkey AS id, coalesce(links_to, '') AS links_to, coalesce(linked_from, '') AS linked_from FROM part LEFT JOIN t ON t.id = p_partkey LEFT JOIN f ON f.id = p_partkey",
         "edge_weights": f"WITH {SQL_E} SELECT * FROM e",
         "label_propagation_k": _lpa(3),
         "modularity": f"WITH {SQL_E}, m AS (SELECT a.p_brand AS ls, b.p_brand AS ld, weight FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst), w AS (SELECT label, sum(weight) AS ends FROM (SELECT ls AS label, weight FROM m UNION ALL SELECT ld, weight FROM m) GROUP BY 1) SELECT round((SELECT sum(weight) FROM m WHERE ls = ld)::DOUBLE / (sum(ends)::DOUBLE / 2) - sum(ends::DOUBLE * ends) / (sum(ends)::DOUBLE * sum(ends)), 6) AS q FROM w",
