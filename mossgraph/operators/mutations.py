@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, kept: list[str]) -> DataFrame:
-    """Rows by key: new values where there are any; ``kept`` columns of known keys stay as they were."""
-    o, n = old.alias("o"), new.alias("n")
-    joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
-    changed = F.col(f"n.{key}").isNotNull()
-    known = F.col(f"o.{key}").isNotNull()
+    """Rows by key: new values where there are any; ``kept`` columns of known keys stay as they were.
+
+    The null key is a key like any other: a new row with it takes the place of the old one."""
+    o, n = old.withColumn("__known", F.lit(True)).alias("o"), new.withColumn("__changed", F.lit(True)).alias("n")
+    joined = o.join(n, F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full")
+    changed, known = F.col("n.__changed").isNotNull(), F.col("o.__known").isNotNull()
     pick = lambda c: F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) if c in kept or c == key else F.when(changed, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return joined.select(*[pick(c).alias(c) for c in old.columns])
 

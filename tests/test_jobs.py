@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from jobs import activity_ledger, index_documents
 from jobs import queries as registered
-from mossgraph.operators import fulltext, postings
+from mossgraph.operators import fulltext, mutations, postings
 from mossgraph.plans import retrieval
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -146,3 +146,12 @@ def test_command_line(job, table, written, sf, tmp_path):
             first = found
         else:
             assert not log and found == first
+
+
+def test_upsert_of_the_null_key(spark):
+    kind = "id long, made string, text string"
+    old = spark.createDataFrame([(None, "a", "old"), (1, "b", "old"), (2, "c", None)], kind)
+    new = spark.createDataFrame([(None, "x", "new"), (2, "y", "new"), (3, "z", None)], kind)
+    found = {tuple(r) for r in mutations.upserted(old, new, "id", ["made"]).collect()}
+    assert found == {(None, "a", "new"), (1, "b", "old"), (2, "c", "new"), (3, "z", None)}
+    assert mutations.upserted(old.limit(0), new.limit(0), "id", ["made"]).count() == 0
