@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import repulsion
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Lineage is cut once a round, in the folder all executors share."""
@@ -245,31 +247,9 @@ def _pushed(at: np.ndarray, others: np.ndarray, mass: np.ndarray, own: np.ndarra
     return move
 
 
-def _far(at: np.ndarray, half: np.ndarray, cells: int = 40) -> np.ndarray:
-    """Repulsion of many nodes: exact inside a cell of a grid, by centres of mass from all other cells."""
-    place = np.minimum(((at + half) / (2 * half) * cells).astype(np.int64), cells - 1)
-    own = place[:, 0] * cells + place[:, 1]
-    order = np.argsort(own, kind="stable")
-    found, begin = np.unique(own[order], return_index=True)
-    mass = np.diff(np.r_[begin, len(at)])
-    centre = np.add.reduceat(at[order], begin, axis=0) / mass[:, None]
-    move = _pushed(at, centre, mass, np.searchsorted(found, own))
-    # Pairs of a cell by their distance in its order: each pass takes the next one of every node that has one.
-    inner, stop = np.zeros_like(at), np.repeat(np.r_[begin[1:], len(at)], mass)
-    rows, sorted_ = np.arange(len(at)), at[order]
-    step = 1
-    while len(rows := rows[rows + step < stop[rows]]):
-        d = sorted_[rows] - sorted_[rows + step]
-        d /= np.maximum((d**2).sum(axis=1, keepdims=True), 2e-4)
-        inner[rows] += d
-        inner[rows + step] -= d
-        step += 1
-    move[order] += inner
-    return move
-
-
 def layout(n: int, edges: np.ndarray, iterations: int = 250, width: float = 1000.0, height: float = 1000.0, seed: int = 7, exact: int = 4096) -> tuple[np.ndarray, int]:
-    """Fruchterman-Reingold positions and the rounds run; repulsion is of all pairs, in strips of rows, up to ``exact`` nodes."""
+    """Fruchterman-Reingold positions and the rounds run; repulsion is of all pairs, in strips of rows, up to ``exact`` nodes,
+    and by the tree of ``repulsion`` above (within a thousandth of the sum of all pairs)."""
     rng = np.random.default_rng(seed)
     half = np.array([width / 2, height / 2])
     at = rng.uniform(-1, 1, size=(n, 2)) * half
@@ -278,13 +258,16 @@ def layout(n: int, edges: np.ndarray, iterations: int = 250, width: float = 1000
     k2 = width * height / n
     heat = max(width, height) / 10
     edges = np.asarray(edges, dtype=np.int64).reshape(-1, 2)
+    a, b = np.ascontiguousarray(edges[np.argsort(edges[:, 0], kind="stable")].T)
     for done in range(1, iterations + 1):
-        move = k2 * (_far(at, half) if n > exact else _pushed(at, at, np.ones(n), np.arange(n)))
-        if len(edges):
-            d = at[edges[:, 0]] - at[edges[:, 1]]
-            pull = d * (np.sqrt((d**2).sum(axis=1, keepdims=True)).clip(0.01) / math.sqrt(k2))
+        move = k2 * (repulsion.pushed(at) if n > exact else _pushed(at, at, np.ones(n), np.arange(n)))
+        if len(a):
+            d = [np.ascontiguousarray(at[:, axis]) for axis in (0, 1)]
+            d = [x[a] - x[b] for x in d]
+            pull = np.sqrt(d[0] * d[0] + d[1] * d[1]).clip(0.01) / math.sqrt(k2)
             for axis in (0, 1):
-                move[:, axis] += np.bincount(edges[:, 1], pull[:, axis], n) - np.bincount(edges[:, 0], pull[:, axis], n)
+                d[axis] *= pull
+                move[:, axis] += np.bincount(b, d[axis], n) - np.bincount(a, d[axis], n)
         size = np.sqrt((move**2).sum(axis=1, keepdims=True)).clip(1e-6)
         at = np.clip(at + move / size * np.minimum(size, heat), -half, half)
         heat *= 0.95
