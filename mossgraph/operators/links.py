@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def resolved(links: DataFrame, files: DataFrame, link_id: str = "link_id", target: str = "target") -> DataFrame:
     """links with file_id (null if none).  files: file_id, path, title.
@@ -43,16 +45,16 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, within: list[str] | None = None) -> DataFrame:
-    """left with the value of the last right row of its key at or before it: a union and one window, no range join.
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, within: list[str] | None = None, largest: int = ordered.LARGEST) -> DataFrame:
+    """left with the value of the last right row of its key at or before it: a union in order, no range join; of right rows of
+    one time the greatest value counts.
 
-    A key with very many rows can be split by ``within`` (further key columns)."""
+    Where a key has more rows than ``largest``, its rows lie in chunks by time and each hands its last value on."""
     keys = [key, *(within or [])]
     kept = [c for c in left.columns if c not in keys and c != at]
     a = left.select(*keys, at, F.struct(*kept).alias("__row"), F.lit(1).alias("__late"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     b = right.select(*keys, at, F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.lit(0).alias("__late"), F.col(value).alias("__v"))
-    window = Window.partitionBy(*keys).orderBy(at, "__late", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn(f"{value}_as_of", F.last("__v", ignorenulls=True).over(window))
+    both = ordered.latest(a.unionByName(b), keys, [at, "__late", "__v"], "__v", f"{value}_as_of", largest)
     return both.where("__late = 1").select(*keys, at, *[F.col(f"__row.{c}").alias(c) for c in kept], f"{value}_as_of")
 
 

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import vector
+from . import ordered, vector
 
 #: Share of the old state that a step keeps.
 ALPHA = 0.82
@@ -34,26 +34,24 @@ def blended(state: Column, asked: Column, share: float = 0.5) -> Column:
     return scaled(F.zip_with(state, asked, lambda h, x: h * share + x * (1 - share)))
 
 
-def learning_progress(rows: DataFrame, key: str, order: list[str], value: str, size: int = WINDOW) -> DataFrame:
-    """rows with progress: mean of the older half of the last ``size`` values less that of the newer, 0 until there are so many."""
-    by = Window.partitionBy(key).orderBy(*order)
+def learning_progress(rows: DataFrame, key: str, order: list[str], value: str, size: int = WINDOW, largest: int = ordered.LARGEST) -> DataFrame:
+    """rows with progress: mean of the older half of the last ``size`` values less that of the newer, 0 until there are so many.
+
+    Rows are numbered in their key first, so that a key's windows can be computed in blocks."""
+    by = Window.partitionBy(key, "__block").orderBy("__tick")
     half = size // 2
     old, new = by.rowsBetween(-(size - 1), -half), by.rowsBetween(-(half - 1), 0)
-    full = F.count(F.lit(1)).over(by.rowsBetween(-(size - 1), 0)) == size
-    return rows.withColumn("progress", F.when(full, F.avg(value).over(old) - F.avg(value).over(new)).otherwise(F.lit(0.0)))
+    full = F.col("__tick") >= size - 1
+    progress = F.when(full, F.avg(value).over(old) - F.avg(value).over(new)).otherwise(F.lit(0.0))
+    ticks = ordered.ticked(rows, [key], order, "__tick", largest)
+    return ordered.sliding(ticks, [key], size, {"progress": progress}, "__tick", max(size, ordered.BLOCK)).drop("__tick")
 
 
-def debounced(rows: DataFrame, key: str, order: list[str], fires: str, gap: int) -> DataFrame:
+def debounced(rows: DataFrame, key: str, order: list[str], fires: str, gap: int, largest: int = ordered.LARGEST) -> DataFrame:
     """key, tick of each firing: a row that fires does so only ``gap`` ticks after the last firing of its key; the first
-    is exempt.  Ticks number a key's rows from 0.  An ordered fold over the ticks that want to fire, not over all rows."""
-    ticks = rows.select(key, fires, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long").alias("tick"))
-    wanted = ticks.where(fires).groupBy(key).agg(F.sort_array(F.collect_list("tick")).alias("ts"))
-
-    def step(fired: Column, tick: Column) -> Column:
-        last = F.get(fired, F.size(fired) - 1)
-        return F.when((F.size(fired) == 0) | (tick - last >= gap), F.concat(fired, F.array(tick))).otherwise(fired)
-
-    return wanted.select(key, F.explode(F.aggregate("ts", F.array().cast("array<long>"), step)).alias("tick"))
+    is exempt.  Ticks number a key's rows from 0."""
+    ticks = ordered.ticked(rows.select(key, *order, fires), [key], order, "tick", largest)
+    return ordered.spaced(ticks.where(fires).select(key, "tick"), key, gap)
 
 
 # -- facts

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: Cents a million tokens by model class (part of the name): input, cache write, cache read, output; fixed values.
 PRICES = {"haiku": (100.0, 125.0, 10.0, 500.0), "opus": (1500.0, 1875.0, 150.0, 7500.0)}
 #: Of models in none of the classes.
@@ -47,13 +49,11 @@ def cache_ratio(ledger: DataFrame, now: Column, hours: int, at: str = "ts", acto
     return sums.select(F.round(F.col("r") / F.nullif(F.col("r") + F.col("w") + F.col("i"), F.lit(0)), 6).alias("ratio"))
 
 
-def running_budget(ledger: DataFrame, cap: int, key: str = "day", at: str = "ts", order: str = "event_id", cost: str = "cost") -> DataFrame:
+def running_budget(ledger: DataFrame, cap: int, key: str = "day", at: str = "ts", order: str = "event_id", cost: str = "cost", largest: int = ordered.LARGEST) -> DataFrame:
     """ledger with what its day had spent before the row, and whether the row is let through.
 
-    One day's rows are ordered in one task; a ledger with more rows a day than that allows should add an hour to the key
-    and start each hour from the sums before it."""
-    window = Window.partitionBy(key).orderBy(at, order).rowsBetween(Window.unboundedPreceding, -1)
-    return ledger.withColumn("spent_before", F.coalesce(F.sum(cost).over(window), F.lit(0)).cast("long")).withColumn("allowed", F.col("spent_before") < cap)
+    A day of more rows than ``largest`` lies in several chunks, to which the sums of those before are carried."""
+    return ordered.running(ledger, [key], [at, order], F.col(cost), "spent_before", largest).withColumn("allowed", F.col("spent_before") < cap)
 
 
 def wilson(positive: Column, n: Column, z: float = Z) -> tuple[Column, Column]:

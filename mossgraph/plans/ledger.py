@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import mutations, state, telemetry
+from ..operators import links, mutations, state, telemetry
 from .retrieval import table, texts
 
 NOW = "TIMESTAMP '2024-01-20 18:00:00'"
@@ -89,6 +89,35 @@ def debounced_trigger(spark, sf_dir):
     return state.debounced(table(spark, sf_dir, "events").withColumn("fires", F.col("value") >= 40), "user_id", ["ts", "event_id"], "fires", 10)
 
 
+def _everyone(spark, sf_dir):
+    """events as the rows of one key."""
+    return table(spark, sf_dir, "events").withColumn("everyone", F.lit(0).cast("long"))
+
+
+def budget_of_all(spark, sf_dir):
+    """One budget for all events: one key has every row, in chunks at every size."""
+    made = telemetry.running_budget(ledger(spark, sf_dir).withColumn("all", F.lit(0)), 20_000 * 10_000, "all", largest=0)
+    return made.select("event_id", "spent_before", "allowed")
+
+
+def progress_of_all(spark, sf_dir):
+    made = state.learning_progress(_everyone(spark, sf_dir), "everyone", ["ts", "event_id"], "value", largest=0)
+    return made.select("event_id", F.round("progress", 6).alias("progress"))
+
+
+def debounced_of_all(spark, sf_dir):
+    fires = _everyone(spark, sf_dir).withColumn("fires", F.col("value") >= 40)
+    return state.debounced(fires, "everyone", ["ts", "event_id"], "fires", 10, largest=0).select("tick")
+
+
+def asof_click_of_all(spark, sf_dir):
+    """Each purchase with the last click of anyone at or before it; of clicks at one time, the one of the largest number."""
+    events = _everyone(spark, sf_dir)
+    bought = events.where("event_type = 'purchase'").select("everyone", "ts", "event_id")
+    clicks = events.where("event_type = 'click'").select("everyone", "ts", F.col("event_id").alias("click"))
+    return links.as_of(bought, clicks, "everyone", "ts", "click", largest=0).select("event_id", "click_as_of")
+
+
 def _fact_events(spark, sf_dir):
     """Each event changes its user's fact of that type: errors below 5 delete, others add or update it."""
     op = F.when((F.col("value") < 5), "DELETE").when(F.col("value") < 20, "ADD").otherwise("UPDATE")
@@ -167,7 +196,7 @@ def json_props(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [daily_cost, cache_hit_ratio, recent_log, budget_running_sum, ledger_rollup, model_costs, wilson_ab, wilson_promotion, champion_version, ema_state, learning_progress, debounced_trigger, fact_current_state, fact_history, fact_counts, fact_extract, fact_decide, upsert_merge, replace_partition, cascade_delete, set_null_delete, json_props]
+    named = [daily_cost, cache_hit_ratio, recent_log, budget_running_sum, budget_of_all, progress_of_all, debounced_of_all, asof_click_of_all, ledger_rollup, model_costs, wilson_ab, wilson_promotion, champion_version, ema_state, learning_progress, debounced_trigger, fact_current_state, fact_history, fact_counts, fact_extract, fact_decide, upsert_merge, replace_partition, cascade_delete, set_null_delete, json_props]
     return {f.__name__: f for f in named}
 
 
@@ -206,6 +235,12 @@ SELECT user_id, max(k) AS steps, {', '.join(f'round(arg_max(h, k)[{i + 1}], 6) A
         "debounced_trigger": f"""WITH RECURSIVE n AS (SELECT user_id, k - 1 AS tick FROM ({numbered}) WHERE value >= 40),
 r AS (SELECT user_id, min(tick) AS tick FROM n GROUP BY 1 UNION ALL SELECT user_id, tick FROM (SELECT r.user_id, min(n.tick) AS tick FROM r JOIN n ON n.user_id = r.user_id AND n.tick >= r.tick + 10 GROUP BY r.user_id, r.tick))
 SELECT user_id, tick FROM r""",
+        "budget_of_all": f"WITH {SQL_L}, s AS (SELECT event_id, coalesce(sum(cost) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM l) SELECT *, spent_before < 200000000 AS allowed FROM s",
+        "progress_of_all": "SELECT event_id, round(CASE WHEN count(*) OVER f = 32 THEN avg(value) OVER a - avg(value) OVER b ELSE 0 END, 6) AS progress FROM events WINDOW f AS (ORDER BY ts, event_id ROWS BETWEEN 31 PRECEDING AND CURRENT ROW), a AS (ORDER BY ts, event_id ROWS BETWEEN 31 PRECEDING AND 16 PRECEDING), b AS (ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)",
+        "debounced_of_all": """WITH RECURSIVE n AS (SELECT k - 1 AS tick FROM (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS k FROM events) WHERE value >= 40),
+r AS (SELECT min(tick) AS tick FROM n UNION ALL SELECT tick FROM (SELECT min(n.tick) AS tick FROM r JOIN n ON n.tick >= r.tick + 10 GROUP BY r.tick))
+SELECT tick FROM r""",
+        "asof_click_of_all": "SELECT event_id, click_as_of FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_type = 'purchase', event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS click_as_of FROM events WHERE event_type IN ('click', 'purchase')) WHERE event_type = 'purchase'",
         "fact_current_state": "WITH e AS (SELECT user_id || '/' || event_type AS fact_id, event_id, CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, value FROM events) SELECT * FROM (SELECT fact_id, max(event_id) AS event_id, arg_max(op, event_id) AS op, arg_max(value, event_id) AS value FROM e GROUP BY 1) WHERE op <> 'DELETE'",
         "fact_history": "SELECT fact_id, row_number() OVER w AS step, event_id, op, lag(value) OVER w AS prev_value, value AS new_value FROM (SELECT user_id || '/' || event_type AS fact_id, event_id, CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, value FROM events) WINDOW w AS (PARTITION BY fact_id ORDER BY event_id)",
         "fact_counts": "SELECT CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, count(*) AS n, count(DISTINCT user_id || '/' || event_type) AS facts FROM events GROUP BY 1",

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, state
+from ..operators import graph, ordered, state
 
 LATE = "10 minutes"
 
@@ -162,14 +162,7 @@ def conflated(events: DataFrame, tick: str, order: list[str], value: str, every:
 
 def fires_twofold(rows: DataFrame, key: str, order: list[str], energy: str, progress: str, most: float, least: float, gap: int) -> DataFrame:
     """key, tick, reason of each firing: energy first, else falling progress, not within ``gap`` ticks of the last firing; the
-    first is exempt.  The fold runs over the ticks that want to fire."""
+    first is exempt."""
     why = F.when(F.col(energy) >= most, "energy").when(F.col(progress) <= least, "progress")
-    ticks = rows.select(key, why.alias("reason"), (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long").alias("tick"))
-    wanted = ticks.where("reason IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tick", "reason"))).alias("ts"))
-
-    def step(fired, x):
-        last = F.get(fired, F.size(fired) - 1)["tick"]
-        return F.when((F.size(fired) == 0) | (x["tick"] - last >= gap), F.concat(fired, F.array(x))).otherwise(fired)
-
-    folded = F.aggregate("ts", F.array().cast("array<struct<tick:bigint,reason:string>>"), step)
-    return wanted.select(key, F.inline(folded))
+    ticks = ordered.ticked(rows.select(key, *order, why.alias("reason")), [key], order)
+    return ordered.spaced(ticks.where("reason IS NOT NULL").select(key, "tick", "reason"), key, gap, ["reason"])
