@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import media
 from ..functions import text as T
 from ..operators import graph, hyper, state
-from ..streaming import jobs
+from ..streaming import bounded, jobs
 from . import graphs
 from .ledger import TYPES, _fact_events, about_oneself
 from .retrieval import spread, table
@@ -38,6 +38,21 @@ def stream_triggers(spark, sf_dir):
     return made.select("user_id", F.explode("ticks").alias("tick"))
 
 
+def stream_firings_released(spark, sf_dir):
+    """Firings of the rows that the watermark has passed, from a state of the rows within its delay."""
+    made = bounded.firings(events_stream(spark, sf_dir), "user_id", "ts", "event_id", 40, 10, jobs.LATE)
+    at = jobs.shared_folder(spark)
+    return bounded.appended(made, f"{at}/out", f"{at}/log").select(F.col("key").alias("user_id"), "tick")
+
+
+def stream_averages_released(spark, sf_dir):
+    """The moving state of each user over the rows that the watermark has passed."""
+    made = bounded.averages(events_stream(spark, sf_dir), "user_id", "ts", "event_id", "event_type", TYPES, jobs.LATE)
+    at = jobs.shared_folder(spark)
+    last = bounded.appended(made, f"{at}/out", f"{at}/log").groupBy("key").agg(F.max("steps").alias("steps"), F.max_by("state", "steps").alias("state"))
+    return last.select(F.col("key").alias("user_id"), "steps", *[F.round(F.get("state", F.lit(i)), 6).alias(t) for i, t in enumerate(TYPES)])
+
+
 def session_counts(spark, sf_dir):
     return jobs.sessions(table(spark, sf_dir, "events"))
 
@@ -105,7 +120,7 @@ def memory_ingest(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [stream_window_counts, stream_dedup, stream_ema, stream_triggers, session_counts, change_feed, hdc_related, hdc_suggest, vsa_recall, fhrr_recall, media_fingerprint, media_embedding, memory_ingest]
+    named = [stream_window_counts, stream_dedup, stream_ema, stream_triggers, stream_firings_released, stream_averages_released, session_counts, change_feed, hdc_related, hdc_suggest, vsa_recall, fhrr_recall, media_fingerprint, media_embedding, memory_ingest]
     return {f.__name__: f for f in named}
 
 
@@ -113,12 +128,15 @@ def oracle_sql() -> dict[str, str]:
     from . import ledger
 
     known = ledger.oracle_sql()
+    passed = "FROM (SELECT * FROM events WHERE epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 FROM events))"
     state_at = lambda cond: f"(SELECT fact_id, value FROM (SELECT fact_id, arg_max(op, event_id) AS op, arg_max(value, event_id) AS value FROM f WHERE {cond} GROUP BY 1) WHERE op <> 'DELETE')"
     return {
         "stream_window_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
         "stream_dedup": "SELECT DISTINCT event_id, user_id FROM events",
         "stream_ema": known["ema_state"],
         "stream_triggers": known["debounced_trigger"],
+        "stream_firings_released": known["debounced_trigger"].replace("FROM events", passed),
+        "stream_averages_released": known["ema_state"].replace("FROM events", passed),
         "session_counts": "WITH s AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM n GROUP BY user_id, k",
         "change_feed": f"WITH f AS (SELECT user_id || '/' || event_type AS fact_id, event_id, CASE WHEN value < 5 THEN 'DELETE' WHEN value < 20 THEN 'ADD' ELSE 'UPDATE' END AS op, value FROM events), o AS {state_at('event_id <= (SELECT floor(max(event_id) / 2) FROM events)')}, n AS {state_at('true')} SELECT * FROM (SELECT coalesce(o.fact_id, n.fact_id) AS fact_id, CASE WHEN o.fact_id IS NULL THEN 'created' WHEN n.fact_id IS NULL THEN 'removed' WHEN o.value <> n.value THEN 'modified' END AS kind FROM o FULL JOIN n ON o.fact_id = n.fact_id) WHERE kind IS NOT NULL",
         "media_fingerprint": "WITH p AS (SELECT page_id, octet_length(encode(html)) AS s, CASE page_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'image' END AS kind FROM pages) SELECT page_id, kind, coalesce(kind || ' ', '') || page_id || ' site ' || CASE WHEN s < 1024 THEN s || 'B' WHEN s < 1048576 THEN printf('%.1fKB', s / 1024.0::DOUBLE) ELSE printf('%.1fMB', s / 1048576.0::DOUBLE) END AS description FROM p",
