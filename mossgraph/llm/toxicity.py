@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-Examples are labelled texts; terms are words, and the first letters of long words.  The vocabulary is the terms that go
-with label 1: of V different terms in the examples, those at least LIFT times as frequent there whose log-likelihood ratio
+Examples are labelled texts; terms are words, the first letters of long words (``stem*``), and first letters that several
+different words of the text share (``stem**``), since one such word may be chance where three are a theme.  The vocabulary
+is the terms that go with label 1: of V different terms in the examples, those at least LIFT times as frequent there whose log-likelihood ratio
 exceeds 2 ln V, the level that chance alone is expected not to reach among so many.  (Cosine over all terms, and over the
 terms of both labels, was tried: it mostly finds texts of the same language and matter, see the README.)  Inverse document frequencies are over all documents.  A text's nearest examples by exact TF-IDF
 cosine come from an inverted index whose postings are cut into blocks of examples, each with the largest weight of the
@@ -37,7 +38,7 @@ EXAMPLES = 6_000
 LIFT = 2
 NEIGHBOURS, BLOCK = 15, 64
 #: First letters of longer words that are a term of their own.
-STEM = 6
+STEM = 5
 THRESHOLD = 0.7
 #: Term counts that a worker hands on at once.
 PAIRS = 50_000
@@ -47,12 +48,19 @@ _WORDS = re.compile(r"\w+").findall
 
 def terms_of(text: str | None) -> Counter:
     counts = Counter(_WORDS((text or "").lower()))
+    shared = sharing(counts)
     for word, n in list(counts.items()):
         if len(word) > STEM:
             counts[word[:STEM] + "*"] += n
+    counts.update({stem + "**": n for stem, n in shared.items() if n > 1})
     return counts
 
 
+def sharing(words, stems: frozenset | None = None) -> Counter:
+    """How many of the different words have each stem (of those asked for)."""
+    return Counter(w[:STEM] for w in words if len(w) > STEM and (stems is None or w[:STEM] in stems))
+
+
 @dataclass
 class Model:
     """A block-max index over the examples, and the calibration."""
@@ -79,8 +87,11 @@ class Model:
         for word in different & terms.keys():
             found[terms[word]] = words.count(word)
         for word in [w for w in different if w[:STEM] in stems and len(w) > STEM]:
-            t = terms[word[:STEM] + "*"]
-            found[t] = found.get(t, 0) + words.count(word)
+            if (t := terms.get(word[:STEM] + "*")) is not None:
+                found[t] = found.get(t, 0) + words.count(word)
+        for stem, n in sharing(different, stems).items():
+            if n > 1 and (t := terms.get(stem + "**")) is not None:
+                found[t] = n
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         at = np.fromiter(sorted(found), dtype=np.int64)
@@ -202,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     chosen_terms = tested.where((F.col("g") >= level) & (a * n0 > LIFT * b * n1)).select("term")
     vocabulary = sorted(r["term"] for r in chosen_terms.collect())
     terms = {t: i for i, t in enumerate(vocabulary)}
-    stems = frozenset(t[:-1] for t in vocabulary if t.endswith("*"))
+    stems = frozenset(t.rstrip("*") for t in vocabulary if t.endswith("*"))
     bag = counts.join(F.broadcast(chosen_terms), "term").select("id", "term", "n").toPandas()
 
     def frequencies(batches):
@@ -212,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             for text in batch.column(0):
                 words = set(_WORDS((text.as_py() or "").lower()))
                 here = words & terms.keys()
-                here |= {w[:STEM] + "*" for w in words if len(w) > STEM and w[:STEM] in stems}
+                for stem, n in sharing(words, stems).items():
+                    here |= {t for t in (stem + "*", stem + "**")[: 1 + (n > 1)] if t in terms}
                 for t in here:
                     seen[terms[t]] += 1
         found = np.flatnonzero(seen)

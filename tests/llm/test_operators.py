@@ -729,6 +729,26 @@ def test_toxicity_held_out(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if not r["predicted"]} and kept.columns == docs.columns
 
 
+def test_toxicity_shared_stems(spark):
+    """Several different words of one stem are a term of their own; short words and repeats of one word are not."""
+    bag = toxicity.terms_of("Painter painted paint painter pain")
+    assert bag["paint*"] == 3 and bag["paint**"] == 2 and "paint***" not in bag and bag["painter"] == 2
+    assert "paint**" not in toxicity.terms_of("painter painter painter") and not toxicity.terms_of(None)
+    rows = [(i, f"common words of text {i} with slimed" + (" slimes slimer" if i % 3 == 0 else "")) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    out = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()}
+    assert min(s for i, s in out.items() if i % 3 == 0) > max(s for i, s in out.items() if i % 3)
+
+
+def test_toxicity_held_out_of_the_larger_table(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels)).where("held_out").join(labels, "doc_id")
+    hits = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    assert hits[1, 1] >= 0.9 * (hits[1, 1] + hits[1, 0]) and hits[0, 1] <= 0.01 * (hits[0, 0] + hits[0, 1])
+
+
 def test_toxicity_odd_input(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (3, 1), (4, 0), (None, 1), (5, 0), (77, 1)], "doc_id long, toxic int")
     empty = spark.createDataFrame([], "doc_id long, toxic int")
