@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from .plans import graphs, indexes, ledger, numeric, retrieval, stores, streams, vaults
+from .plans import graphs, images, indexes, ledger, numeric, retrieval, stores, streams, vaults
 
-PARTS = [retrieval, indexes, graphs, ledger, streams, vaults, numeric, stores]
+PARTS = [retrieval, indexes, graphs, ledger, streams, vaults, numeric, stores, images]
 
 
 def queries() -> dict:
