@@ -70,7 +70,7 @@ def store_fact_history(spark, sf_dir):
 
 
 def reflection_notes(spark, sf_dir):
-    """Snapshots worth a note, written as a file each under their day, and read back."""
+    """Snapshots worth a note, written under their day, and read back."""
     from ..operators import loop
 
     snaps = table(spark, sf_dir, "events").select((F.col("event_id") * 10).alias("tick"), "ts", (F.col("value") / 10).alias("energy"), (-F.col("value") / 3).alias("progress")).where("tick % 100 = 0")
