@@ -4,6 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
+from mossgraph.operators import postings
 from mossgraph.sources import files as sources
 from mossgraph.sources import store
 
@@ -17,3 +18,14 @@ def test_notes_need_few_files(spark, tmp_path):
     store.note_files(some, f"{tmp_path}/vault")
     found = sources.vault(spark, f"{tmp_path}/vault", endings=".txt").select("content").collect()
     assert sorted(r["content"] for r in found) == sorted(r["text"] for r in some.collect())
+
+
+def test_the_index_shuffles_texts_once(spark, tmp_path):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.lit("one two two"), F.lit(" "), F.concat(F.lit("word"), F.col("id").cast("string"))).alias("text"))
+    rows = postings.rows_of(docs)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    postings.updated(spark, f"{tmp_path}/index", docs)
+    postings.updated(spark, f"{tmp_path}/index", docs.where("doc_id = 5").withColumn("text", F.lit("two")))
+    index = postings.opened(spark, f"{tmp_path}/index")
+    assert sorted(map(tuple, index.where("term = 'two'").groupBy("chunk").agg(F.sum("n"), F.max("most_tf")).collect())) == [(0, 256, 2), (1, 256, 2), (2, 88, 2)]
+    assert index.where("term = 'word5'").count() == 0 and index.where("term = 'word6'").count() == 1
