@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +64,68 @@ def embedded(rows: DataFrame, words: str = "tokens") -> DataFrame:
     return rows.withColumn("embedding", encode(F.col(words)))
 
 
+#: Rows whose hashed embeddings are dense at once.
+DENSE = 1024
+
+
+def counts(words: pa.ListArray) -> Iterator[np.ndarray]:
+    """Hashed embeddings before they are scaled, DENSE rows after another.  Each different token and pair of a batch is hashed
+    once, a pair by going on from its left token's state."""
+    values, offsets = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    coded = values.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = coded.dictionary.cast(pa.large_binary())
+    data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
+    at = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, dtype=np.int64)
+    own = _from(data, at, np.arange(len(raw)), np.full(len(raw), T.FNV_BASIS, dtype=np.uint64))
+    row = np.repeat(np.arange(len(words)), np.diff(offsets))
+    left = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.zeros(0, dtype=np.int64)
+    pairs, which = np.unique(code[left] * max(len(raw), 1) + code[left + 1], return_inverse=True)
+    first, second = pairs // max(len(raw), 1), pairs % max(len(raw), 1)
+    with np.errstate(over="ignore"):
+        spaced = (own[first] ^ np.uint64(32)) * np.uint64(T.FNV_PRIME) if len(pairs) else np.zeros(0, dtype=np.uint64)
+    both = _from(data, at, second, spaced)
+    h = np.concatenate([own[code], both[which]])
+    rows = np.concatenate([row, row[left]])
+    place, sign = (h % np.uint64(T.DIM)).astype(np.int64), np.where(h >> np.uint64(56) & np.uint64(1), -1.0, 1.0)
+    order = np.argsort(rows, kind="stable")
+    rows, place, sign = rows[order], place[order], sign[order]
+    for k in range(0, len(words), DENSE):
+        n = min(DENSE, len(words) - k)
+        part = slice(*np.searchsorted(rows, [k, k + n]))
+        yield np.bincount((rows[part] - k) * T.DIM + place[part], sign[part], n * T.DIM).reshape(n, T.DIM)
+
+
+def _from(data: np.ndarray, at: np.ndarray, chosen: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """FNV-1a of chosen strings (data from offset to offset), each going on from its own state, a byte of all at a time."""
+    begin, size = at[:-1][chosen], np.diff(at)[chosen]
+    order = np.argsort(-size, kind="stable")
+    begin, size, state, live = begin[order], size[order], start[order], len(order)
+    with np.errstate(over="ignore"):
+        for k in range(int(size[0]) if len(order) else 0):
+            live = int(np.searchsorted(-size[:live], -k, side="left"))
+            state[:live] = (state[:live] ^ data[begin[:live] + k]) * np.uint64(T.FNV_PRIME)
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
 def query_scores(rows: DataFrame, query_words: list[str], words: str = "tokens") -> DataFrame:
     """rows with score: cosine of each row's tokens and the query, exact in integers up to the final division."""
     wanted = places(query_words)
     length = math.sqrt(sum(v * v for v in wanted.values()))
+    asked = np.zeros(T.DIM)
+    asked[list(wanted)] = list(wanted.values())
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hasher = Hasher()
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = np.zeros(len(batch))
-            for k, found in enumerate(batch):
-                found, own = list(found), {}
-                for feature in [*found, *(f"{a} {b}" for a, b in zip(found, found[1:]))]:
-                    at, s = hasher[feature]
-                    own[at] = own.get(at, 0) + s
-                dot = sum(v * own.get(at, 0) for at, v in wanted.items())
-                if dot:
-                    out[k] = dot / (math.sqrt(sum(v * v for v in own.values())) * length)
-            yield pd.Series(out)
+            out = [np.zeros(0)]
+            for own in counts(batch):
+                dot, size = own @ asked, np.sqrt((own * own).sum(axis=1))
+                out.append(np.divide(dot, size * length, out=np.zeros(len(own)), where=dot != 0))
+            yield pa.array(np.concatenate(out))
 
     return rows.withColumn("score", score(F.col(words)))
 

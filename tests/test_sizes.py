@@ -1,10 +1,14 @@
 """What may not grow with the rows: files, batches, passes over the texts."""
 
 import glob
+import math
 
 from pyspark.sql import functions as F
 
-from mossgraph.operators import postings
+from mossgraph import catalog
+from mossgraph.functions import markdown
+from mossgraph.operators import postings, vector
+from mossgraph.plans import vaults
 from mossgraph.sources import files as sources
 from mossgraph.sources import store
 
@@ -29,3 +33,26 @@ def test_the_index_shuffles_texts_once(spark, tmp_path):
     index = postings.opened(spark, f"{tmp_path}/index")
     assert sorted(map(tuple, index.where("term = 'two'").groupBy("chunk").agg(F.sum("n"), F.max("most_tf")).collect())) == [(0, 256, 2), (1, 256, 2), (2, 88, 2)]
     assert index.where("term = 'word5'").count() == 0 and index.where("term = 'word6'").count() == 1
+
+
+def test_hashed_scores_of_odd_tokens(spark):
+    rows = [["ab", "ab", "cd"], [], ["ü" * 40, "x", "🙂"], ["one"], ["one", "two", "one", "two"]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "id long, tokens array<string>")
+    asked = vector.places(["one", "two"])
+    for r in vector.query_scores(frame, ["one", "two"]).collect():
+        own = vector.places(rows[r["id"]])
+        dot = sum(v * own.get(k, 0) for k, v in asked.items())
+        assert r["score"] == (dot / (math.sqrt(sum(v * v for v in own.values())) * math.sqrt(sum(v * v for v in asked.values()))) if dot else 0)
+
+
+def test_a_vault_query_reads_what_it_needs(spark, sf):
+    catalog.bound(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    plan = vaults.vault_read(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "ArrowEval" not in plan and "Scan ExistingRDD" not in plan
+    plan = vaults.vault_blocks(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_words_that_a_reader_sees():
+    assert markdown.visible_words("# A *b* -- c's\n\n| x | - |\n|---|---|\n| 1 | ü |\n\n> q … r\n") == 8
