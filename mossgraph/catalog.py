@@ -38,12 +38,23 @@ def ship(spark: SparkSession) -> None:
     context._mossgraph_shipped = True
 
 
+#: Bytes of an Arrow batch that goes to Python, where the session doesn't name any; rows of long texts would not fit otherwise.
+BATCH_BYTES = 8 << 20
+
+
+def bound(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, str((1 << 63) - 1)):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shipped(query: Callable) -> Callable:
-    """The query, with the package sent first."""
+    """The query, with the package sent first and batches bounded."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str):
         ship(spark)
+        bound(spark)
         return query(spark, sf_dir)
 
     return run

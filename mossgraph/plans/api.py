@@ -93,6 +93,7 @@ class Engine:
         """encoders: ones that search by meaning should use before the hashed one, in order; those not ready are passed over."""
         self.spark, self.files = spark, files.where("error IS NULL") if "error" in files.columns else files
         self.encoder, self.requests = vector.chosen(encoders or []), 0
+        self.kept = False
         self.documents = markdown.documents(self.files)
         self.raw_links = self._links_in(self.files)
         self._resolve()
@@ -103,13 +104,18 @@ class Engine:
 
     def _resolve(self) -> None:
         """Blocks, and all links against the files of now, so none has to be healed later."""
+        if not self.kept:
+            self.titles = markdown.titles(self.files)  # not by the documents, which read the whole text
+        else:
+            self.titles = self.documents.select("path", "title")
         self.blocks = markdown.block_rows(self.documents)
-        names = self.documents.select(F.col("path").alias("file_id"), "path", "title")
+        names = self.titles.select(F.col("path").alias("file_id"), "path", "title")
         self.links = links.resolved(self.raw_links, names).withColumn("is_resolved", F.col("file_id").isNotNull())
 
     def keep(self) -> Engine:
         """Files, documents and links kept, so that what follows doesn't read the vault again."""
         self.files, self.documents, self.raw_links = (graph.checkpointed(x) for x in (self.files, self.documents, self.raw_links))
+        self.kept = True
         self._resolve()
         return self
 
@@ -134,12 +140,12 @@ class Engine:
 
     def placed_blocks(self) -> DataFrame:
         """Blocks with their file's path as source."""
-        return self.blocks.join(self.documents.select(F.col("id").alias("file_id"), F.col("path").alias("source")), "file_id")
+        return self.blocks
 
     def contexts(self) -> DataFrame:
         """Every resolved link with its source's title and the block it stands in."""
         made = links.in_context(self.links.where("is_resolved").select("source", "line", "column", "raw", "link_type", "file_id"), self.placed_blocks())
-        return made.join(self.documents.select(F.col("path").alias("source"), F.col("title").alias("source_title")), "source")
+        return made.join(self.titles.select(F.col("path").alias("source"), F.col("title").alias("source_title")), "source")
 
     def block_targets(self) -> DataFrame:
         """Links to anchors with the block they name."""
@@ -157,7 +163,7 @@ class Engine:
 
     def candidates(self, asked: str = "", limit: int | None = None) -> DataFrame:
         """Files whose path or title holds a text, the newest first."""
-        named = self.documents.select("path", "title").join(self.files.select("path", "modified_at"), "path")
+        named = self.titles.join(self.files.select("path", "modified_at"), "path")
         found = named.where(F.lower("path").contains(asked.lower()) | F.lower("title").contains(asked.lower())) if asked else named
         return found.orderBy(F.desc("modified_at"), "path").limit(clamped(limit, 50, 1, 500))
 
@@ -174,11 +180,11 @@ class Engine:
 
     def degrees(self) -> DataFrame:
         """Files without links included."""
-        return self.documents.select(F.col("path").alias("id")).join(graph.degrees(self.edges()), "id", "left").fillna(0, ["degree"])
+        return self.files.select(F.col("path").alias("id")).join(graph.degrees(self.edges()), "id", "left").fillna(0, ["degree"])
 
     def link_sources(self) -> DataFrame:
         """Each link with the block it stands in: the last that starts at or before its line."""
-        starts = self.blocks.join(self.documents.select(F.col("id").alias("file_id"), F.col("path").alias("source")), "file_id").select("source", "line", "block_id")
+        starts = self.blocks.select("source", "line", "block_id")
         return links.as_of(self.links.select("source", "line", "link_id"), starts, "source", "line", "block_id")
 
     def search(self, query: str, mode: str = "hybrid", limit: int | None = None, media: DataFrame | None = None) -> DataFrame:
@@ -206,7 +212,7 @@ class Engine:
 
     def _told(self, media: DataFrame | None) -> DataFrame:
         """block_id, path, title, line, content of everything that can be found."""
-        told = self.blocks.join(self.documents.select(F.col("id").alias("file_id"), "path", "title"), "file_id").select("block_id", "path", "title", F.col("line").cast("long").alias("line"), "content")
+        told = self.blocks.withColumnRenamed("source", "path").join(self.titles, "path").select("block_id", "path", "title", F.col("line").cast("long").alias("line"), "content")
         return told if media is None else told.unionByName(media.select(F.col("path").alias("block_id"), "path", F.element_at(F.split("path", "/"), -1).alias("title"), F.lit(None).cast("long").alias("line"), F.col("description").alias("content")))
 
     def read(self, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import markdown
-from ..operators import graph
+from ..operators import graph, links
 from ..sources import files as sources
 from . import api
 from .retrieval import spread, table
@@ -44,12 +44,20 @@ def files(spark, sf_dir):
     return d.select(path.alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("size_bytes"), (i * 1000).alias("modified_at"), F.lit(None).cast("string").alias("error"))
 
 
-def engine(spark, sf_dir) -> api.Engine:
-    """The vault's engine over files that are kept, so that its parts read them once."""
-    made = api.Engine(spark, graph.checkpointed(files(spark, sf_dir)))
-    made.documents = graph.checkpointed(made.documents)
-    made.blocks = markdown.block_rows(made.documents)
-    made.links = graph.checkpointed(made.links)
+def engine(spark, sf_dir, *keep: str):
+    """The vault's engine.  Texts are made and read by the query that needs them; only what a query uses more than once
+    is kept: narrow tables (titles, links, blocks without their content)."""
+    made = api.Engine(spark, files(spark, sf_dir))
+    if "links" in keep:
+        made.titles = graph.checkpointed(made.titles)
+        made.raw_links = graph.checkpointed(made.raw_links)
+        names = made.titles.select(F.col("path").alias("file_id"), "path", "title")
+        made.links = graph.checkpointed(links.resolved(made.raw_links, names).withColumn("is_resolved", F.col("file_id").isNotNull()))
+    if "anchors" in keep:
+        made.blocks = graph.checkpointed(made.blocks.drop("content"))
+    if "blocks" in keep:
+        made.titles = graph.checkpointed(made.titles)
+        made.blocks = graph.checkpointed(made.blocks.select("block_id", "source", "line", "content"))
     return made
 
 
@@ -80,7 +88,7 @@ l AS (SELECT r.i, r.path AS source, r.line, instr(r.content, x.raw) - 1 AS col,
 
 
 def vault_documents(spark, sf_dir):
-    return engine(spark, sf_dir).documents.select("id", "path", "title", "content_hash", "size_bytes", "word_count", "frontmatter")
+    return markdown.facts(engine(spark, sf_dir).files).select("id", "path", "title", "content_hash", "size_bytes", "word_count", "frontmatter")
 
 
 def vault_blocks(spark, sf_dir):
@@ -99,26 +107,26 @@ def vault_sections(spark, sf_dir):
 
 
 def vault_links(spark, sf_dir):
-    return engine(spark, sf_dir).links.select("source", "raw", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "target", "heading", "block_ref", "display", "link_type", "file_id", "is_resolved")
+    return engine(spark, sf_dir, "links").links.select("source", "raw", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "target", "heading", "block_ref", "display", "link_type", "file_id", "is_resolved")
 
 
 def vault_backlinks(spark, sf_dir):
     """Backlinks of every file with the source's title and the block that each stands in."""
-    return engine(spark, sf_dir).contexts().select(F.col("file_id").alias("path"), "source", "source_title", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "block_type", F.sha2("context", 256).alias("context_hash"))
+    return engine(spark, sf_dir, "links").contexts().select(F.col("file_id").alias("path"), "source", "source_title", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "block_type", F.sha2("context", 256).alias("context_hash"))
 
 
 def vault_block_refs(spark, sf_dir):
-    made = engine(spark, sf_dir)
+    made = engine(spark, sf_dir, "links", "anchors")
     named = made.blocks.select(F.col("block_id").alias("target_block_id"), F.col("content_hash").alias("target_hash"))
     return made.block_targets().join(named, "target_block_id", "left").select("source", "block_ref", "file_id", "target_hash")
 
 
 def vault_embeds(spark, sf_dir):
-    return engine(spark, sf_dir).embeds().select("source", F.col("column").cast("long").alias("col"), F.sha2("shown", 256).alias("shown_hash"))
+    return engine(spark, sf_dir, "links").embeds().select("source", F.col("column").cast("long").alias("col"), F.sha2("shown", 256).alias("shown_hash"))
 
 
 def vault_degrees(spark, sf_dir):
-    return engine(spark, sf_dir).degrees().select(F.col("id").alias("path"), "degree")
+    return engine(spark, sf_dir, "links").degrees().select(F.col("id").alias("path"), "degree")
 
 
 def vault_tree(spark, sf_dir):
@@ -153,7 +161,7 @@ def search_hits(spark, sf_dir):
     """Hybrid hits as a user sees them: block, path, title, line and snippet, with pages as media by their descriptions."""
     from . import streams
 
-    made = engine(spark, sf_dir)
+    made = engine(spark, sf_dir, "blocks")
     pages = streams._page_files(spark, sf_dir).select("path", streams.media.description(F.col("path"), F.col("size")).alias("description"))
     found = made.search("links site audio", "hybrid", 30, pages)
     return found.select("block_id", "score", "matched_via", "path", "title", "line", "snippet")
