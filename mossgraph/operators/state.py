@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 
@@ -117,6 +118,8 @@ class Memory:
 
     def __init__(self, nearest: int = 5, policy=decide):
         self.nearest, self.policy, self.facts, self.history, self.count = nearest, policy, {}, [], 0
+        self.lengths: dict[str, float] = {}
+        self.holders: dict[int, dict[str, int]] = {}  # facts by place, with their value there
 
     @staticmethod
     def _places(text: str) -> dict[int, int]:
@@ -127,20 +130,27 @@ class Memory:
 
     def take(self, candidate: str) -> str:
         own = self._places(candidate)
-        size = lambda v: math.sqrt(sum(x * x for x in v.values()))
-        near = []
-        for i, (text, places) in self.facts.items():
-            scale = size(own) * size(places)
-            near.append((i, text, sum(v * places.get(k, 0) for k, v in own.items()) / scale if scale else 0.0))
-        near = sorted(near, key=lambda n: (-n[2], n[0]))[: self.nearest]
+        length = math.sqrt(sum(x * x for x in own.values()))
+        # Facts that share a place are found by it; the others' similarity is nought.
+        dots: dict[str, int] = {}
+        for k, v in own.items():
+            for i, w in self.holders.get(k, {}).items():
+                dots[i] = dots.get(i, 0) + v * w
+        near = [(i, dot / (length * self.lengths[i]) if length * self.lengths[i] else 0.0) for i, dot in dots.items()]
+        if sum(sim > 0 for _, sim in near) < self.nearest:
+            near += [(i, 0.0) for i in self.facts if i not in dots]
+        near = [(i, self.facts[i][0], sim) for i, sim in heapq.nsmallest(self.nearest, near, key=lambda n: (-n[1], n[0]))]
         op, about = self.policy(candidate, near)
         before = self.facts[about][0] if about is not None else None
         if op == "ADD":
             about, self.count = f"f{self.count:06d}", self.count + 1
+        if op in ("UPDATE", "DELETE"):
+            for k in self.facts.pop(about)[1]:
+                del self.holders[k][about]
         if op in ("ADD", "UPDATE"):
-            self.facts[about] = (candidate, own)
-        elif op == "DELETE":
-            del self.facts[about]
+            self.facts[about], self.lengths[about] = (candidate, own), length
+            for k, v in own.items():
+                self.holders.setdefault(k, {})[about] = v
         self.history.append((about, op, before, candidate))
         return op
 
