@@ -160,12 +160,22 @@ def all_pairs_topk(vectors: DataFrame, k: int = 5, least: float = -1.0, blocks:
         unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
         other, ids, found = unit(np.stack(b["r_v"])).T, b["r_id"].to_numpy(), []
         # A product of some rows at a time, so that memory doesn't grow with the square of a block.
-        scores = (row for k in range(0, len(a), 256) for row in np.round(unit(np.stack(a["v"].iloc[k : k + 256])) @ other, 6))
-        for row, own, out in zip(scores, a["id"], a["out"]):
-            row = np.where((ids == own) | (row < least) | (np.isin(ids, out) if out is not None else False), -np.inf, row)
-            best = np.lexsort([ids, -row])[:k]
-            found += [(own, ids[j], row[j]) for j in best if row[j] > -np.inf]
-        return pd.DataFrame(found, columns=["source", "target", "score"])
+        own_ids, banned = a["id"].to_numpy(), a["out"].tolist()
+        for at in range(0, len(a), 256):
+            scores = np.round(unit(np.stack(a["v"].iloc[at : at + 256])) @ other, 6)
+            out_of = (ids == own_ids[at : at + 256, None]) | ~(scores >= least)
+            for i, out in enumerate(banned[at : at + 256]):
+                if out is not None:
+                    out_of[i] |= np.isin(ids, out)
+            scores[out_of] = -np.inf
+            # Of each row those that reach its k-th score are sorted, not all.
+            reach = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+            i, j = np.nonzero((scores >= reach) & (scores > -np.inf))
+            order = np.lexsort([ids[j], -scores[i, j], i])
+            i, j = i[order], j[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append(pd.DataFrame({"source": own_ids[at + i[best]], "target": ids[j[best]], "score": scores[i[best], j[best]]}))
+        return pd.concat(found)
 
     pairs = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(product, "source long, target long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target")))

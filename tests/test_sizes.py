@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mossgraph import catalog
 from mossgraph.functions import markdown
-from mossgraph.operators import postings, vector
+from mossgraph.operators import postings, state, vector
 from mossgraph.plans import vaults
 from mossgraph.sources import files as sources
 from mossgraph.sources import store
@@ -56,3 +56,20 @@ def test_a_vault_query_reads_what_it_needs(spark, sf):
 
 def test_words_that_a_reader_sees():
     assert markdown.visible_words("# A *b* -- c's\n\n| x | - |\n|---|---|\n| 1 | ü |\n\n> q … r\n") == 8
+
+
+def test_facts_find_neighbours_by_their_places():
+    memory = state.Memory()
+    for k in range(50):
+        memory.take(f"I like thing{k}")
+    memory.take("I do not like thing7")
+    assert memory.history[-1][1] == "DELETE" and memory.history[-1][2] == "I like thing7" and len(memory.facts) == 49
+    assert set(memory.lengths) >= set(memory.facts) and all(set(h) <= set(memory.facts) for h in memory.holders.values())
+
+
+def test_all_pairs_with_ties_and_odd_vectors(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(40)] + [(90, [0.0, 0.0]), (91, [float("nan"), 1.0])]
+    found = vector.all_pairs_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 4, blocks=3).collect()
+    for r in (r for r in found if r["source"] == 0):
+        assert r["score"] == 1 and r["target"] == 3 * r["rank"]
+    assert len([r for r in found if r["source"] == 0]) == 4 and not [r for r in found if 91 in (r["source"], r["target"])]
