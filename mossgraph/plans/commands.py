@@ -189,7 +189,7 @@ class Workspace(api.Engine):
         if own is None:
             raise ValueError("no such file")
         near = hyper.related(vectors.where(F.col("id") != own["id"]), bytes(own["hv"]), api.clamped(limit, 10, 1, 50))
-        shared = graph.shared_neighbours(self._pairs(), near.select(F.lit(own["id"]).alias("a"), F.col("id").alias("b")))
+        shared = graph.shared_neighbours(self._pairs(), near.select(F.lit(own["id"]).alias("a"), F.col("id").alias("b")), few=True)
         return near.join(shared.select(F.col("b").alias("id"), "shared"), "id").join(nodes, "id").select("path", "title", "score", "shared").orderBy(F.desc("score"), "path")
 
     def suggest_links(self, least: float | None = None, per_source: int | None = None, total: int | None = None) -> DataFrame:

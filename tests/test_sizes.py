@@ -2,12 +2,15 @@
 
 import glob
 import math
+import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from mossgraph import catalog
 from mossgraph.functions import markdown
-from mossgraph.operators import postings, state, vector
+from mossgraph.operators import graph, postings, state, vector
 from mossgraph.plans import vaults
 from mossgraph.sources import files as sources
 from mossgraph.sources import store
@@ -73,3 +76,24 @@ def test_all_pairs_with_ties_and_odd_vectors(spark):
     for r in (r for r in found if r["source"] == 0):
         assert r["score"] == 1 and r["target"] == 3 * r["rank"]
     assert len([r for r in found if r["source"] == 0]) == 4 and not [r for r in found if 91 in (r["source"], r["target"])]
+
+
+@pytest.mark.parametrize("far", [1, 1 << 36])
+@pytest.mark.parametrize("ends", [200, 10**6])
+def test_shared_neighbours_of_blocks(spark, monkeypatch, ends, far):
+    """Repeated edges and queries, hubs, nodes without edges and nulls; one block and many; near ids and far ones."""
+    monkeypatch.setattr(graph, "BLOCK_ENDS", ends, raising=False)
+    rng = random.Random(2)
+    edges = [(rng.randrange(60) * far, rng.randrange(60) * far) for _ in range(300)] + [(7 * far, n * far) for n in range(60)]
+    edges += edges[:40] + [(None, 3 * far), (65_537 * far, 0)]
+    query = [(rng.randrange(-2, 70) * far, rng.randrange(-2, 70) * far) for _ in range(500)] + [(7 * far, 8 * far)] * 2 + [(None, 3 * far), (0, 65_537 * far), (10**7 * far, 0)]
+    near = Counter()
+    for a, b in edges:
+        if a is not None:
+            near[a, b] += 1
+            near[b, a] += 1
+    of = lambda a: {n for x, n in near if x == a}
+    want = [(a, b, sum(near[b, n] for n in of(a))) for a, b in query]
+    frames = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(query, "a long, b long")
+    for few in (False, True):
+        assert Counter(map(tuple, graph.shared_neighbours(*frames, few=few).collect())) == Counter(want)
