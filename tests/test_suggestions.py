@@ -85,3 +85,39 @@ def test_streams_are_those_of_single_seeds():
     seeds = [0, 1, 2**64 - 1, 77]
     many = hyper.chacha_streams(seeds, 1000)
     assert (many == np.stack([hyper.chacha_words(s, 1000) for s in seeds])).all() and hyper.chacha_streams([], 10).shape == (0, 10)
+
+
+@pytest.mark.parametrize("remembered", [1, 64 << 20])
+@pytest.mark.parametrize("dim", [200, 10_000])
+def test_neighbourhoods_are_sums_of_the_notes_vectors(monkeypatch, remembered, dim):
+    monkeypatch.setattr(hyper, "REMEMBERED", remembered)
+    out, into = [[3, 9, 9], None, [5] * 300, []], [[9], [1, 2], None, []]
+    vector = lambda n: hyper.random_vector(hyper.T.fnv1a(f"note:{n}"), dim).astype(int)
+    found = np.full((4, dim), 99)
+    for lo, hi, k, sums in hyper.neighbourhoods(out, into, dim):
+        found[k, lo:hi] = sums
+    zero = np.zeros(dim, dtype=int)
+    want = [sum(map(vector, o or []), zero) + hyper.permute(sum(map(vector, i or []), zero)) for o, i in zip(out, into)]
+    assert (found == np.stack(want)).all()
+
+
+def test_a_note_is_bundled_with_its_links(spark, monkeypatch):
+    """With hubs and without: the sign of the text's vector, the linked notes' and the shifted linking notes'."""
+    edges = [(1, 2), (1, 3), (3, 1), (4, 1), (5, 1)] + [(6, n) for n in range(10, 40)]
+    texts = hyper.encoded(spark.createDataFrame([(n, ["a", f"t{n}"]) for n in range(1, 9)], "id long, tokens array<string>"), dim=320)
+    own = {r["id"]: hyper.unpacked(r["hv"], 320).astype(int) for r in texts.collect()}
+    vector = lambda n: hyper.random_vector(hyper.T.fnv1a(f"note:{n}"), 320).astype(int)
+    for hub in (20_000, 8):
+        monkeypatch.setattr(hyper, "HUB", hub)
+        found = {r["id"]: hyper.unpacked(r["hv"], 320) for r in hyper.combined(texts, spark.createDataFrame(edges, "src long, dst long"), 320).collect()}
+        for n, text in own.items():
+            total = text + sum(vector(b) for a, b in edges if a == n) + hyper.permute(sum((vector(a) for a, b in edges if b == n), np.zeros(320, dtype=int)))
+            assert (found[n] == np.where(total >= 0, 1, -1)).all()
+        assert set(found) == set(own)
+
+
+def test_packed_texts_are_text_vectors():
+    for dim in (100, 10_000):
+        words, tokens = hyper.Words(dim, 3), hyper.Tokens(dim)
+        for text in ([], ["a"], ["a", "b"], ["a", "a", "b", "c", "a", "d"] * 60):
+            assert words.text(text) == hyper.packed(hyper.text_vector(text, tokens))
