@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mossgraph import catalog
 from mossgraph.functions import markdown
-from mossgraph.operators import graph, postings, state, vector
+from mossgraph.operators import graph, postings, pull, state, vector
 from mossgraph.plans import vaults
 from mossgraph.sources import files as sources
 from mossgraph.sources import store
@@ -97,3 +97,24 @@ def test_shared_neighbours_of_blocks(spark, monkeypatch, ends, far):
     frames = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(query, "a long, b long")
     for few in (False, True):
         assert Counter(map(tuple, graph.shared_neighbours(*frames, few=few).collect())) == Counter(want)
+
+
+def test_rounds_make_no_row_for_each_end(spark):
+    """Labels by brute force, with several blocks; repeated edges, loops and ends that are no nodes; no join has the edges' ends."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(70), rng.randrange(70)) for _ in range(400)] + [(1, 900), (900, 901), (5, 5)]
+    nodes = [n for n in range(72) if n != 33]
+    label = {n: n for n in nodes}
+    for _ in range(3):
+        votes = {n: Counter() for n in nodes}
+        for a, b in edges:
+            if a != b and a in label and b in label:
+                votes[a][label[b]] += 1
+                votes[b][label[a]] += 1
+        label = {n: min(v, key=lambda x: (-v[x], x)) if v else label[n] for n, v in votes.items()}
+    frames = spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "src long, dst long")
+    for size in (pull.BLOCK_ENDS, 150):
+        made = pull.dealt(frames[0], graph.both_ways(graph.undirected(frames[1])), ends=size)
+        assert made.blocks == (1 if size > 150 else 6) and made.lists.count() == len(nodes)
+        found = graph.label_propagation(*frames, 3, ends=size)
+        assert dict(map(tuple, found.collect())) == label
