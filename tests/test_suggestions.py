@@ -121,3 +121,17 @@ def test_packed_texts_are_text_vectors():
         words, tokens = hyper.Words(dim, 3), hyper.Tokens(dim)
         for text in ([], ["a"], ["a", "b"], ["a", "a", "b", "c", "a", "d"] * 60):
             assert words.text(text) == hyper.packed(hyper.text_vector(text, tokens))
+
+
+@pytest.mark.parametrize("features", [500, 10**6])
+def test_candidates_of_blocks(planted, features):
+    """As by brute force, whatever is kept and however many blocks there are."""
+    _, links, tokens, _ = planted
+    weights = hyper.features(links, tokens)
+    rows = {}
+    for r in weights.collect():
+        rows.setdefault(r["id"], {})[tuple(r["feature"])] = r["weight"]
+    least = hyper.margin(0.18)
+    want = {(a, b) for a in rows for b in rows if a < b and sum(w * rows[b].get(f, 0) for f, w in rows[a].items()) >= least + 1e-9}
+    got = [tuple(r) for r in hyper.candidates(weights, hyper.prefixed(weights, least / 2), least, features=features).collect()]
+    assert want <= set(got) and len(got) == len(set(got)) <= len(want) + 3
