@@ -166,3 +166,32 @@ def test_blocks_of_notes_give_the_same_vectors(spark, monkeypatch, ends, dim):
     want = {r["id"]: bytes(r["hv"]) for r in hyper.combined(hyper.encoded(tokens, dim=dim), graph.group_pairs(groups, "g", "n").distinct(), dim).collect()}
     found = [(r["id"], bytes(r["hv"])) for r in hyper.over_blocks(made, tokens, dim).collect()]
     assert made.closed == (ends > 8) and len(found) == len(want) and dict(found) == want
+
+
+def test_pairs_in_closed_blocks(spark):
+    """All that brute force over features finds, within blocks and between those, by links, by texts and by both; and which are linked."""
+    from mossgraph.operators import blocks
+
+    rng = random.Random(9)
+    groups = [(g, 100 * (g % 3) + n) for g in range(60) for n in rng.sample(range(30), 4)]
+    groups += [(1000 + k * 10 + e, 100 * k + n) for k in range(3) for e in range(5) for n in (40, 60 + e)] + [(1000 + k * 10 + e, 100 * k + 41) for k in range(3) for e in range(5)]
+    texts = {n: [f"w{rng.randrange(30)}" for _ in range(4)] for n in [*range(0, 30), *range(100, 130), 240, 241]}
+    texts |= {n: ["same", "words", f"x{n // 2}"] for n in (90, 91, 190, 191, 290, 291)}  # without links
+    tokens = spark.createDataFrame([*texts.items(), (299, [])], "id long, tokens array<string>")
+    items = spark.createDataFrame(groups, "g long, n long")
+    edges = graph.group_pairs(items, "g", "n").distinct()
+    made = blocks.dealt(blocks.sets_of(items, "g", "n"))
+    assert made.closed and made.held.count() == 6
+    rows = {}
+    for r in hyper.features(edges, tokens).collect():
+        rows.setdefault(r["id"], {})[tuple(r["feature"])] = r["weight"]
+    linked = {tuple(r) for r in edges.collect()}
+    for least in (0.2, 0.45):
+        want = {(a, b) for a in rows for b in rows if a < b and sum(w * rows[b].get(f, 0) for f, w in rows[a].items()) >= least + 1e-9}
+        found = [tuple(r) for r in hyper.candidates_of_blocks(made, tokens, least).collect()]
+        assert want <= {x[:2] for x in found} and len(found) == len({x[:2] for x in found})
+        assert all(x[2] == (x[:2] in linked) for x in found)
+    assert (40, 41) in want and (90, 91) in want and (90, 190) in want
+    vectors = hyper.over_blocks(made, tokens)
+    best = {(r["source"], r["target"]) for r in hyper.suggestions(vectors, edges, tokens=tokens, made=made).collect()}
+    assert best and best.isdisjoint(linked) and {(90, 91), (191, 190)} <= best
