@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-#: Rows that a block of ``all_pairs_topk`` should hold: there are as many blocks as that takes, whatever the table's size.
-BLOCK_ROWS = 4096
+#: Rows whose nearest others a block of ``all_pairs_topk`` keeps, rows that are packed together, and rows that pass by in one task.
+BLOCK_ROWS, CELL_ROWS, SLICE_ROWS = 32_768, 2_048, 500_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -141,47 +141,127 @@ def nearest_to(vectors: DataFrame, query: list[float], k: int | None = None, thr
 def all_pairs_topk(vectors: DataFrame, k: int = 5, least: float = -1.0, blocks: int | None = None, linked: DataFrame | None = None, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """source, target, score: each row's k nearest others that score at least ``least`` and aren't linked from it.
 
-    Rows are hashed into blocks; a block meets every block in one matrix product, which leaves k rows of each source,
-    and a window with a group limit merges those.  Links are taken out before the ranking."""
+    Rows are hashed into blocks, and all rows pass by each block in packed cells, once; the block keeps the k best of its rows so far.
+    So a row is shuffled as often as there are blocks, and what comes out is k rows of each source and slice of the passing
+    rows, which a window merges.  Links are taken out before the ranking."""
+    n = vectors.where(F.col(col).isNotNull()).count()
     if blocks is None:
-        blocks = vectors.count() // BLOCK_ROWS + 1
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
-    left = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "block").select("id", "v", F.struct(F.col("block").alias("a"), F.col("other").alias("b")).alias("pair"))
-    right = rows.select(F.col("id").alias("r_id"), F.col("v").alias("r_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "block").select("r_id", "r_v", F.struct(F.col("other").alias("a"), F.col("block").alias("b")).alias("pair"))
-    banned = linked.select(F.col("source").alias("id"), F.col("target").alias("t")) if linked is not None else None
-    if banned is not None:
-        left = left.join(banned.groupBy("id").agg(F.collect_set("t").alias("out")), "id", "left")
+        blocks = n // BLOCK_ROWS + 1
+    parallel = vectors.sparkSession.sparkContext.defaultParallelism
+    slices = max(min(-(-2 * parallel // blocks), n // CELL_ROWS + 1), n // SLICE_ROWS + 1)
+    rows = vectors.where(F.col(col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.col(col).alias("v"))
+    kind = np.dtype("<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8")
+    rows = rows.withColumn("v", F.col("v").cast("array<float>" if kind.itemsize == 4 else "array<double>"))
+    none = F.array().cast("array<long>")
+    if linked is not None:
+        out = linked.select(F.col("source").alias("id"), F.col("target").alias("t")).groupBy("id").agg(F.collect_set("t").alias("out"))
+        rows = rows.join(out, "id", "left").withColumn("out", F.coalesce("out", none))
     else:
-        left = left.withColumn("out", F.lit(None).cast("array<long>"))
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"source": [], "target": [], "score": []})
-        unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
-        other, ids, found = unit(np.stack(b["r_v"])).T, b["r_id"].to_numpy(), []
-        # A product of some rows at a time, so that memory doesn't grow with the square of a block.
-        own_ids, banned = a["id"].to_numpy(), a["out"].tolist()
-        for at in range(0, len(a), 256):
-            scores = np.round(unit(np.stack(a["v"].iloc[at : at + 256])) @ other, 6)
-            out_of = (ids == own_ids[at : at + 256, None]) | ~(scores >= least)
-            for i, out in enumerate(banned[at : at + 256]):
-                if out is not None:
-                    out_of[i] |= np.isin(ids, out)
-            scores[out_of] = -np.inf
-            # Of each row those that reach its k-th score are sorted, not all.
-            reach = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
-            i, j = np.nonzero((scores >= reach) & (scores > -np.inf))
-            order = np.lexsort([ids[j], -scores[i, j], i])
-            i, j = i[order], j[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i) < k
-            found.append(pd.DataFrame({"source": own_ids[at + i[best]], "target": ids[j[best]], "score": scores[i[best], j[best]]}))
-        return pd.concat(found)
-
-    pairs = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(product, "source long, target long, score double")
+        rows = rows.withColumn("out", none)
+    cell = "tasks array<int>, kind int, n int, ids binary, v binary, sizes binary, out binary"
+    names = [c.split(" ")[0] for c in cell.split(", ")]
+
+    def packed(batches) -> Iterator[pa.RecordBatch]:
+        held, turn = [], 0
+
+        def told(tasks: list, what: int, ids: np.ndarray, v: np.ndarray, out: list) -> pa.RecordBatch:
+            sizes, flat = np.array([len(x) for x in out], dtype=np.int64), np.concatenate([np.zeros(0, dtype=np.int64), *out]).astype(np.int64)
+            data = [x.tobytes() for x in (ids, v, sizes, flat)]
+            return pa.RecordBatch.from_arrays([pa.array([tasks], pa.list_(pa.int32())), pa.array([what], pa.int32()), pa.array([len(ids)], pa.int32()), *[pa.array([x], pa.binary()) for x in data]], names=names)
+
+        def sent(rows: pa.Table):
+            ids, block = rows.column("id").to_numpy(), rows.column("block").to_numpy()
+            v = np.stack(rows.column("v").to_pylist()).astype(kind)
+            out = [np.array(x, dtype=np.int64) for x in rows.column("out").to_pylist()]
+            yield told([b * slices + turn % slices for b in range(blocks)], 1, ids, v, [])
+            for b in np.unique(block):
+                at = np.flatnonzero(block == b)
+                yield told([int(b) * slices + s for s in range(slices)], 0, ids[at], v[at], [out[i] for i in at])
+
+        for batch in batches:
+            held.append(batch)
+            while sum(x.num_rows for x in held) >= CELL_ROWS:
+                rows = pa.Table.from_batches(held)
+                held = rows.slice(CELL_ROWS).combine_chunks().to_batches()
+                yield from sent(rows.slice(0, CELL_ROWS))
+                turn += 1
+        if sum(x.num_rows for x in held):
+            yield from sent(pa.Table.from_batches(held))
+
+    def unit(row: dict) -> np.ndarray:
+        x = np.frombuffer(row["v"].as_buffer(), dtype=kind).reshape(row["n"].as_py(), -1).astype(float)
+        return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
+
+    def numbers(row: dict, name: str) -> np.ndarray:
+        return np.frombuffer(row[name].as_buffer(), dtype=np.int64)
+
+    def met(batches) -> Iterator[pa.RecordBatch]:
+        parts, best = [], None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {c: batch.column(c)[at] for c in batch.schema.names}
+                if not row["kind"].as_py():
+                    parts.append((numbers(row, "ids"), unit(row), np.split(numbers(row, "out"), np.cumsum(numbers(row, "sizes"))[:-1])))
+                    continue
+                if best is None and parts:
+                    best = Best(np.concatenate([x for x, *_ in parts]), np.concatenate([x for _, x, _ in parts]), [o for *_, out in parts for o in out], k, least)
+                    parts = []
+                if best is not None:
+                    best.meet(numbers(row, "ids"), unit(row))
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows()], names=["source", "target", "score"])
+
+    dealt = rows.mapInArrow(packed, cell).select(F.explode("tasks").alias("task"), *names[1:]).repartitionById(blocks * slices, F.col("task")).sortWithinPartitions("kind")
+    pairs = dealt.mapInArrow(met, "source long, target long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target")))
     return ranked.where(F.col("rank") <= k)
 
 
+class Best:
+    """The k best others so far of some rows (of length one), of equals the smallest ids."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, out: list[np.ndarray], k: int, least: float):
+        self.ids, self.v, self.out, self.k, self.least = ids, v, out, k, least
+        self.score, self.target = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
+        self.banned = any(len(x) for x in out)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray, strip: int = 256) -> None:
+        for at in range(0, len(self.ids), strip):
+            scores = self.v[at : at + strip] @ v.T
+            reach = np.maximum(self.score[at : at + strip, -1], self.least)[:, None]
+            if not np.isfinite(self.score[at : at + strip, -1]).all() and len(ids) > self.k:
+                # Nothing to compare with yet: of each row those that reach its k-th score are looked at, not all.
+                scores[self.ids[at : at + strip, None] == ids] = -np.inf
+                if self.banned:
+                    for i, out in enumerate(self.out[at : at + strip]):
+                        scores[i, np.isin(ids, out)] = -np.inf
+                scores[np.isnan(scores)] = -np.inf
+                reach = np.maximum(reach, np.round(np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k, None], 6))
+            i, j = np.nonzero(scores >= reach - 1e-6)
+            score = np.round(scores[i, j], 6)
+            keep = (score >= reach[i, 0]) & np.isfinite(score) & (self.ids[at + i] != ids[j])
+            i, j, score = i[keep], j[keep], score[keep]
+            if self.banned:
+                keep = np.array([ids[y] not in self.out[at + x] for x, y in zip(i, j)], dtype=bool)
+                i, j, score = i[keep], j[keep], score[keep]
+            if len(i):
+                self._take(at + i, ids[j], score)
+
+    def _take(self, row: np.ndarray, target: np.ndarray, score: np.ndarray) -> None:
+        some = np.unique(row)
+        rows = np.r_[np.repeat(some, self.k), row]
+        targets, scores = np.r_[self.target[some].reshape(-1), target], np.r_[self.score[some].reshape(-1), score]
+        order = np.lexsort([targets, -scores, rows])
+        rows, targets, scores = rows[order], targets[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        first = place < self.k
+        self.score[rows[first], place[first]], self.target[rows[first], place[first]] = scores[first], targets[first]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = np.nonzero(np.isfinite(self.score))
+        return self.ids[i], self.target[i, j], self.score[i, j]
+
+
 def to_bytes(vector: list[float]) -> bytes:
     return np.asarray(vector, dtype="<f4").tobytes()
 

@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,23 @@ def test_rounds_make_no_row_for_each_end(spark):
         assert made.blocks == (1 if size > 150 else 6) and made.lists.count() == len(nodes)
         found = graph.label_propagation(*frames, 3, ends=size)
         assert dict(map(tuple, found.collect())) == label
+
+
+@pytest.mark.parametrize("of", ["float", "double"])
+def test_all_pairs_pass_by_each_block_once(spark, monkeypatch, of):
+    """As by brute force, whatever the blocks, cells and slices; links left out; a row is sent once to each block of sources."""
+    monkeypatch.setattr(vector, "CELL_ROWS", 16)
+    monkeypatch.setattr(vector, "SLICE_ROWS", 70)
+    rng = np.random.default_rng(4)
+    v = np.round(rng.standard_normal((150, 5)), 1).astype("f4" if of == "float" else "f8")
+    v[20:40] = v[:20]
+    frame = spark.createDataFrame([(i, v[i].tolist()) for i in range(150)] + [(999, None)], f"vec_id long, embedding array<{of}>")
+    linked = {(a, b) for a in range(0, 150, 2) for b in range(0, 60, 3)}
+    unit = v.astype(float) / np.sqrt((v.astype(float) ** 2).sum(axis=1, keepdims=True))
+    score = np.round(unit @ unit.T, 6)
+    for links in (set(), linked):
+        want = {(a, b, s) for a in range(150) for s, b in [(-s, b) for s, b in sorted((-score[a, b], b) for b in range(150) if a != b and (a, b) not in links and score[a, b] >= -0.2)[:4]]}
+        for blocks in (1, 4):
+            given = spark.createDataFrame(sorted(links), "source long, target long") if links else None
+            found = vector.all_pairs_topk(frame, 4, -0.2, blocks=blocks, linked=given).collect()
+            assert {(r["source"], r["target"], r["score"]) for r in found} == want and len(found) == len(want)
