@@ -139,3 +139,21 @@ def test_all_pairs_pass_by_each_block_once(spark, monkeypatch, of):
             given = spark.createDataFrame(sorted(links), "source long, target long") if links else None
             found = vector.all_pairs_topk(frame, 4, -0.2, blocks=blocks, linked=given).collect()
             assert {(r["source"], r["target"], r["score"]) for r in found} == want and len(found) == len(want)
+
+
+def test_an_update_takes_some_segments_at_a_time(spark, tmp_path, monkeypatch):
+    """Each group sees its own segments only, and what it kept is gone afterwards; rows are those of an index built at once."""
+    monkeypatch.setattr(postings, "GROUP", 2)
+    texts = {n: f"one w{n % 7}\ntwo w{n % 3}" for n in [*range(0, 40), *range(4090, 4110), *range(9000, 9010), *range(20_000, 20_010), *range(40_000, 40_004)]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    postings.updated(spark, f"{tmp_path}/index", docs)
+    changed = {5: "", 4096: "new\nwords", 9001: None, 20_003: "one", 50_000: "one more", 60_000: ""}
+    seen, rewritten = [], postings._rewritten
+    monkeypatch.setattr(postings, "_rewritten", lambda s, p, i, d: (seen.append({r["doc_id"] // postings.SEGMENT for r in d.collect()}), rewritten(s, p, i, d)))
+    postings.updated(spark, f"{tmp_path}/index", spark.createDataFrame([*changed.items(), (None, "x")], "doc_id long, text string"))
+    assert len(seen) >= 3 and sum(map(len, seen)) == len(set().union(*seen)) == len({n // postings.SEGMENT for n in changed})
+    postings.updated(spark, f"{tmp_path}/whole", spark.createDataFrame(list((texts | changed).items()), "doc_id long, text string"))
+    of = lambda name: sorted(map(str, postings.opened(spark, f"{tmp_path}/{name}").select(*postings.COLUMNS).collect()))
+    assert of("index") == of("whole")
+    folder = graph.shared_folder(spark).removeprefix("file:")
+    assert not glob.glob(f"{folder}/index-update-*")
